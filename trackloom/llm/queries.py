@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import sharding, simhash
+from trackloom.llm import sharding, simhash, substring
 from trackloom.llm.common import table
 
 
@@ -12,12 +12,16 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40, seed=0)
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_sharding, op10_simhash)}
+    return {f.__name__: f for f in (op3_sharding, op4_substring, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
