@@ -25,7 +25,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Fixed value: the byte-level pre-tokenizer's pattern, as the vocabulary's public description states it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a worker's cache of words, emptied when full: it bounds memory, not results.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 CACHE_PAIRS = 2_000_000
 LONGEST_CACHED = 64
 #: A space is not certainly the start of a piece where white space stands on both its sides.

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import bpe, packing, sharding, simhash, substring, tokencount, vectors
+from trackloom.llm import bpe, langid, packing, quality, sharding, simhash, substring, tokencount, vectors
 from trackloom.llm.common import table
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40, seed=0)
 
@@ -37,7 +45,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_sharding, op4_substring, op5_vectors, op6_packing, op7_tokencount, op8_bpe, op10_simhash)}
+    return {f.__name__: f for f in (op1_langid, op2_quality, op3_sharding, op4_substring, op5_vectors, op6_packing, op7_tokencount, op8_bpe, op10_simhash)}
 
 
 #: Cosines are summed in double precision over the components; label and finiteness rules as in the operator.
