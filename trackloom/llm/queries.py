@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import bpe, langid, packing, quality, sharding, simhash, substring, tokencount, vectors
+from trackloom.llm import bpe, fingerprint, langid, packing, quality, sharding, simhash, substring, tokencount, vectors
 from trackloom.llm.common import table
 
 
@@ -40,12 +40,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_langid, op2_quality, op3_sharding, op4_substring, op5_vectors, op6_packing, op7_tokencount, op8_bpe, op10_simhash)}
+    return {f.__name__: f for f in (op1_langid, op2_quality, op3_sharding, op4_substring, op5_vectors, op6_packing, op7_tokencount, op8_bpe, op9_fingerprint, op10_simhash)}
 
 
 #: Cosines are summed in double precision over the components; label and finiteness rules as in the operator.
