@@ -215,7 +215,7 @@ def keep_texts(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) ->
     marked = docs.withColumn("_key", _version())
     # copies lose everything; of the rest, those in cut have a new text
     gone = report.where("n_removed = n_words and n_words > 0").select(*keys).distinct()
-    new = cut.where("n_removed < n_words").select(*keys, F.col("text").alias("_kept"))
+    new = cut.where("text <> ''").select(*keys, F.col("text").alias("_kept"))
     at = lambda side: (marked["doc_id"].cast("long") == side["_id"]) & (marked["_key"] == side["_version"])
     left = marked.join(gone, at(gone), "left_anti")
     out = left.join(new, at(new), "left").withColumn("text", F.coalesce("_kept", "text"))
