@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "position_gaps"
 #: Modules that define QUERIES and ORACLES.
-MODULES: tuple[str, ...] = tuple(f"trackloom.operators.{m}" for m in ("windows", "topk", "aggregates"))
+MODULES: tuple[str, ...] = tuple(f"trackloom.operators.{m}" for m in ("windows", "topk", "aggregates", "joins", "predicates"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
