@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import map_arrow, texts, word_list
+from trackloom.llm.common import free_name, map_arrow, texts, word_list
 from trackloom.session import discard, fresh_path, materialize, remove
 
 WINDOW = 50
@@ -211,14 +211,15 @@ def keep_texts(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) ->
     Unchanged rows keep their text as it is, null, empty and wordless ones too.
     """
     report, cut = _run(docs, window, batches, version=True)
-    keys = F.col("doc_id").cast("long").alias("_id"), F.col("version").alias("_version")
-    marked = docs.withColumn("_key", _version())
+    key, kept = free_name(docs, "_key"), free_name(docs, "_kept")
+    pair = lambda i, v: F.struct(i.cast("long").alias("i"), v.alias("v"))
+    name = pair(F.col("doc_id"), F.col("version")).alias(f"{key}of")
+    marked = docs.withColumn(key, pair(F.col("doc_id"), _version()))
     # copies lose everything; of the rest, those in cut have a new text
-    gone = report.where("n_removed = n_words and n_words > 0").select(*keys).distinct()
-    new = cut.where("text <> ''").select(*keys, F.col("text").alias("_kept"))
-    at = lambda side: (marked["doc_id"].cast("long") == side["_id"]) & (marked["_key"] == side["_version"])
-    left = marked.join(gone, at(gone), "left_anti")
-    out = left.join(new, at(new), "left").withColumn("text", F.coalesce("_kept", "text"))
+    gone = report.where("n_removed = n_words and n_words > 0").select(name).distinct()
+    new = cut.where("text <> ''").select(name, F.col("text").alias(kept))
+    left = marked.join(gone, F.col(key) == F.col(f"{key}of"), "left_anti")
+    out = left.join(new, F.col(key) == F.col(f"{key}of"), "left").withColumn("text", F.coalesce(kept, "text"))
     return out.select(*docs.columns)
 
 

@@ -126,6 +126,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
         .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
     out = rows.join(named, ["label", "embedding"], "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")
+        "vec_id",
+        F.coalesce(F.when(F.col("vec_id").isNotNull(), F.col("n_links")), F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"),
     )
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
