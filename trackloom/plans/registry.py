@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "position_gaps"
 #: Modules that define QUERIES and ORACLES.
-MODULES: tuple[str, ...] = tuple(f"trackloom.operators.{m}" for m in ("windows", "topk", "aggregates", "joins", "predicates", "dedupe", "upserts", "scalars", "gazetteer", "products"))
+MODULES: tuple[str, ...] = (
+    *(f"trackloom.operators.{m}" for m in ("windows", "topk", "aggregates", "joins", "predicates", "dedupe", "upserts", "scalars", "gazetteer", "products")),
+    "trackloom.sources.landed",
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
