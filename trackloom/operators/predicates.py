@@ -67,9 +67,9 @@ def collapse_imprecise(df: DataFrame, imprecise: Column) -> DataFrame:
 
 def gate(df: DataFrame, now_year: int) -> DataFrame:
     """Headlines that name a struck word or a figure, are not too old by a year in the text, and have a source on the list."""
-    years = F.transform(F.regexp_extract_all("text", F.lit(r"\b(19\d\d|20\d\d)\b")), lambda y: y.cast("int"))
+    years = F.transform(F.regexp_extract_all("text", F.lit(r"(?<!\w)(19\d\d|20\d\d)(?!\w)")), lambda y: y.cast("int"))
     fresh = ~F.exists(years, lambda y: F.lit(now_year) - y >= 5)
-    words = F.col("text").rlike(r"(?i)\b(the|und|les|los)\b")
+    words = F.col("text").rlike(r"(?i)(?<!\w)(the|und|les|los)(?!\w)")
     return df.where(words & fresh & F.col("source").isin("src1", "src2", "src3") & (F.length("text") > 40))
 
 

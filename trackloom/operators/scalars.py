@@ -143,7 +143,7 @@ QUERIES = {
     "fn_reliability": lambda s, d: reports(s, d).withColumn("score", reliability(F.col("mentions") % 5, F.col("mentions"), (F.col("report_id") % 4).cast("double"))).select("report_id", "score", band(F.col("score")).alias("band")),
     "fn_sentinels": lambda s, d: positions(s, d).select("event_id", speed_or_null(F.col("speed")).alias("speed"), course_or_null(F.col("course").cast("double")).alias("course"), ship_class(F.col("ship_type")).alias("class")),
     "fn_urls": lambda s, d: table(s, d, "pages").select("page_id", host(F.col("url")).alias("host"), strip_tracking(F.col("url")).alias("clean")),
-    "fn_largest_number": lambda s, d: table(s, d, "documents").select("doc_id", largest_number(F.col("text"), r"\b(\d{1,6})\b").alias("n")),
+    "fn_largest_number": lambda s, d: table(s, d, "documents").select("doc_id", largest_number(F.col("text"), r"(?<!\w)(\d{1,6})(?!\w)").alias("n")),
     "fn_identifiers": lambda s, d: table(s, d, "customer").select("c_custkey", identifier(F.col("c_name"), 9).alias("ident")),
     "fn_unpack_eta": lambda s, d: positions(s, d).withColumn("p", (F.col("event_id") * 977) % 1_048_576).select("event_id", *[c.cast("long").alias(n) for c, n in zip(unpack_eta(F.col("p")), ("month", "day", "hour", "minute"))]),
     "fn_dates": lambda s, d: table(s, d, "orders").select("o_orderkey", F.datediff(any_date(F.expr("case o_orderkey % 4 when 0 then date_format(o_orderdate, 'yyyy-MM-dd') when 1 then date_format(o_orderdate, 'yyyyMMdd') when 2 then date_format(o_orderdate, 'dd.MM.yyyy') else 'soon' end")), F.lit("1970-01-01").cast("date")).alias("day")),
