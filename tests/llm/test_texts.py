@@ -75,6 +75,9 @@ def test_forward_sums_all_segmentations():
     for w in ("the", "thereé", "ß漢a", "ing"):
         got = langid.log_scores(path, w, p, 2)
         assert np.allclose(got, [math.log(brute("▁" + w, k)) for k in (0, 1)])
+    words = ["the", "a", "ß漢a", "thereé", "x" * langid.LONG, "ing"]
+    batch = langid.Scorer(langid.LanguageModel(["x", "y"], np.array(p))).batch_scores(words)
+    assert np.allclose(batch, [langid.log_scores(path, w, p, 2) for w in words])
     long = "there" * 40
     cut, langid.LONG = langid.LONG, 10**6
     try:

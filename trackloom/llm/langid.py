@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -25,6 +26,8 @@ SMOOTHING = 0.05
 LETTER = 1e-6
 #: A worker's cache, emptied when full: words, and log scores over all languages.
 CACHE_WORDS, CACHE_SCORES = 800_000, 8_000_000
+#: Characters of the texts that are scored together.
+TOGETHER = 2_000_000
 #: Words longer than this are scored with rescaling and not cached.
 LONG = 24
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -51,7 +54,7 @@ def vocabulary(path: str) -> tuple[str, ...]:
 def _automaton(path: str) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
     for i, p in enumerate(vocabulary(path)):
-        a.add_word(p, (i, len(p)))
+        a.add_word(p, i << 6 | len(p))
     a.make_automaton()
     return a
 
@@ -70,7 +73,7 @@ def matches(path: str, word: str) -> list[tuple[int, int, int]]:
     """(start, end, piece) of all pieces in a marked word, by end; piece -1 spells a letter that no single piece does."""
     marked, single = _SPACE + word, _single(path)
     spare = [(k, k + 1, -1) for k, c in enumerate(marked) if c not in single]
-    found = [(end + 1 - n, end + 1, i) for end, (i, n) in _automaton(path).iter(marked)]
+    found = [(end + 1 - (v & 63), end + 1, v >> 6) for end, v in _automaton(path).iter(marked)]
     return sorted(spare + found, key=lambda m: m[1]) if spare else found
 
 
@@ -181,37 +184,87 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, rounds: int = ROUNDS, path: s
 
 
 class Scorer:
-    """One worker's scoring state: log scores of the words it has met."""
+    """One worker's scoring state: log scores of the words it has met. New words are scored together, position by position."""
 
     def __init__(self, model: LanguageModel):
         self.model, self.k, self.path = model, len(model.languages), model.path or default_path()
+        self.p = np.vstack([model.p, np.full((1, self.k), LETTER)])  # the last row spells unknown letters
         self.room = max(1, min(CACHE_WORDS, CACHE_SCORES // max(1, self.k)))
-        self.p, self.words, self.rows = model.p.tolist(), {}, np.empty((self.room, self.k))
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text) if text else []
-        if not words:
-            return UNKNOWN, 0.0
+        self.words: dict[str, int] = {}
+        self.rows = np.empty((self.room, self.k))
+        self.single = np.array(sorted(map(ord, _single(self.path))), np.uint32)
+
+    def batch_scores(self, words: list[str]) -> np.ndarray:
+        """Log probabilities (word, language) of words of up to LONG letters: the forward sums of all words at once."""
+        out, step = np.empty((len(words), self.k)), max(1, CACHE_SCORES // (2 * (LONG + 2) * max(1, self.k)))
+        for k in range(0, len(words), step):
+            part = words[k : k + step]
+            text = "\n".join([_SPACE + w for w in part])  # no piece holds a line break
+            lengths = np.fromiter(map(len, part), np.int64, len(part)) + 1
+            first = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+            found = np.fromiter(chain.from_iterable(_automaton(self.path).iter(text)), np.int64).reshape(-1, 2)
+            chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            spare = np.flatnonzero(~np.isin(chars, self.single) & (chars != 10))
+            end = np.concatenate([found[:, 0], spare])
+            piece = np.concatenate([found[:, 1] >> 6, np.full(len(spare), -1)])
+            size = np.concatenate([found[:, 1] & 63, np.ones(len(spare), np.int64)])
+            word = np.repeat(np.arange(len(part)), lengths + 1)[end]
+            upto = end - first[word] + 1
+            order = np.argsort(upto.astype(np.uint8), kind="stable")
+            cuts = np.searchsorted(upto[order], np.arange(1, lengths.max() + 2))
+            sums = np.zeros((int(lengths.max()) + 1, len(part), self.k))
+            sums[0] = 1.0
+            for e in range(1, int(lengths.max()) + 1):
+                sel = order[cuts[e - 1] : cuts[e]]
+                w = word[sel]
+                mass = sums[e - size[sel], w] * self.p[piece[sel]]
+                for c in range(self.k):
+                    sums[e, :, c] = np.bincount(w, weights=mass[:, c], minlength=len(part))
+            out[k : k + step] = np.log(sums[lengths, np.arange(len(part))])
+        return out
+
+    def score(self, texts_: list[str | None]) -> list[tuple[str, float]]:
+        """(language, posterior) of each text; the texts are few enough to hold their words at once."""
         if not self.k:
-            return UNKNOWN, 0.0
-        total, ids, known = np.zeros(self.k), [], self.words
-        for w in words:
-            i = known.get(w)
-            if i is None:
-                score = log_scores(self.path, w, self.p, self.k)
+            return [(UNKNOWN, 0.0)] * len(texts_)
+        lists, known = [words_of(t) if t else [] for t in texts_], self.words
+        short = lambda ws: {w for ws_ in ws for w in ws_ if w not in known and len(w) <= LONG}
+        new = short(lists)
+        if len(known) + len(new) > self.room:
+            known.clear()
+            new = short(lists)
+            if len(new) > len(self.rows):
+                self.rows = np.empty((len(new), self.k))
+        if new:
+            ordered, base = sorted(new), len(known)
+            self.rows[base : base + len(ordered)] = self.batch_scores(ordered)
+            known.update(zip(ordered, range(base, base + len(ordered))))
+        out = []
+        for ws in lists:
+            if not ws:
+                out.append((UNKNOWN, 0.0))
+                continue
+            ids = [i for i in map(known.get, ws) if i is not None]
+            total = self.rows[ids].sum(axis=0)
+            for w in ws if len(ids) < len(ws) else ():
                 if len(w) > LONG:
-                    total += score
-                    continue
-                if len(known) >= self.room:
-                    total += self.rows[ids].sum(axis=0)
-                    ids.clear()
-                    known.clear()
-                i = known[w] = len(known)
-                self.rows[i] = score
-            ids.append(i)
-        total += self.rows[ids].sum(axis=0)
-        best = int(np.argmax(total))  # ties: the first language
-        return self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
+                    total = total + log_scores(self.path, w, self.p, self.k)
+            best = int(np.argmax(total))  # ties: the first language
+            out.append((self.model.languages[best], float(1 / np.exp(total - total[best]).sum())))
+        return out
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[list[str | None]]:
+    """The texts of a batch in groups of about TOGETHER characters; a longer text is a group of its own."""
+    held, size = [], 0
+    for t in texts(batch):
+        if held and size + len(t or "") > TOGETHER:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t or "")
+    if held:
+        yield held
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -225,7 +278,8 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value)
         for b in batches:
-            lang, p = zip(*map(score, texts(b))) if b.num_rows else ((), ())
+            got = [r for group in _groups(b) for r in score.score(group)]
+            lang, p = zip(*got) if got else ((), ())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(b.num_columns - 1)), pa.array(lang, pa.string()), pa.array(p, pa.float64())], names)
 
     slim = docs.select("doc_id", held_out().alias("held_out"), "text")
