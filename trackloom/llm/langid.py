@@ -293,6 +293,13 @@ def identify(docs: DataFrame, rows: int = TRAIN_ROWS, path: str | None = None) -
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is found with a posterior of `least` or more; all columns stay. Null doc_ids are kept."""
-    bad = identify(docs).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_gone"], "left_anti")
+    """The rows of docs whose language is found with a posterior of `least` or more, learned as identify() does; all columns stay and no row moves."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(~held_out())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(shared.value)
+        for b in batches:
+            got = [lang != UNKNOWN and p >= least for group in _groups(b) for lang, p in score.score(group)]
+            yield b.filter(pa.array(got, pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
