@@ -183,11 +183,13 @@ def _repeats(index: WindowIndex, batch: DataFrame, known: DataFrame, window: int
     asked = materialize(every.join(contested.hint("merge"), "mark", "left_semi").groupBy("doc_id", "version").agg(F.collect_list("mark").alias("marks")), "contested")
     windows = materialize(_windows(known.join(asked, ["doc_id", "version"]), window), "windows")
     first = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    # written, so that the join below has a shuffle of its own on either side, which AQE can split where a window is common
+    first = materialize(first, "first-windows")
     inside = batch.select("doc_id").distinct()
     again = windows.join(first, ["a", "b"]).where("doc_id > first").groupBy("doc_id", "version").agg(F.collect_list("at").alias("starts")).join(inside, "doc_id", "left_semi")
     out = materialize(again, "repeats")
-    discard(windows)
-    discard(asked)
+    for done in (windows, first, asked):
+        discard(done)
     index.append(new)
     return out
 
