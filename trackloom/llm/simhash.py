@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.llm import shingles
 from trackloom.llm.common import map_arrow, min_labels, texts
 from trackloom.operators.graph import connected_components
 from trackloom.session import materialize
@@ -211,39 +212,20 @@ def word_fingerprint(text: str | None, seed: int) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(words), bitorder="little").tobytes(), "little")
 
 
-def near_copies(docs: DataFrame, seeds: tuple[int, ...] = WORD_SEEDS, threshold: int = THRESHOLD) -> DataFrame:
+def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id and component_id of the documents that have a near-copy: texts alike in 0.8 or more of their five-word shingles.
 
-    At that likeness four bits on shingles are too narrow: changing one word changes five shingles. On distinct words the
-    same texts differ in few bits, so a text has one fingerprint of its words per seed, and two texts link if any of these
-    differ in `threshold` or fewer bits. With the four seeds, links reached 99 % of the pairs of 0.8 or more in a measured
-    corpus; near-copies below 0.8 may link too. component_id is the least doc_id reachable. Rows with a null doc_id are left out.
+    At that likeness no few bits of a SimHash are right: changing one word changes five shingles, and a new tail changes
+    many words. So links come from the exact search of shingles.py. component_id is the least doc_id reachable.
+    Rows with a null doc_id are left out.
     """
-    names = [f"f{k}" for k in range(len(seeds))]
+    return shingles.near_copies(docs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            f = np.array([[word_fingerprint(t, s) for s in seeds] for t in texts(b)], np.uint64).reshape(-1, len(seeds)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(len(seeds)))], ["doc_id", *names])
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    fps = materialize(map_arrow(slim, run, ", ".join(["doc_id long", *(f"{n} long" for n in names)])), "word-fps")
-    edges = None
-    for n in names:
-        first = materialize(fps.groupBy(F.col(n).alias("fp")).agg(F.min("doc_id").alias("rep")), "word-first")
-        links = similar_fingerprints(first, threshold)
-        u, v = (first.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_doc")) for c in "uv")
-        alike = links.join(u, "u").join(v, "v").select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v"))
-        same = fps.join(first, fps[n] == first["fp"]).where("doc_id > rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-        both = materialize(alike.unionByName(same), "word-edges")
-        edges = both if edges is None else edges.unionByName(both)
-    return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-
-
-def keep_first(docs: DataFrame, seeds: tuple[int, ...] = WORD_SEEDS) -> DataFrame:
+
+def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the first (least doc_id) of their group of near_copies(); all columns are kept.
 
     Rows with a null doc_id cannot be named and are kept. Repeated rows of a kept doc_id are all kept.
     """
-    gone = near_copies(docs, seeds).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    gone = near_copies(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
