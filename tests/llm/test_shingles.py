@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline as P
 from trackloom.llm import shingles, simhash
 from trackloom.llm.common import table
@@ -24,6 +26,38 @@ def brute(rows):
     return components({i for i, _ in sets}, linked)
 
 
+def families(r):
+    """Texts with copies on both sides of 0.8: edited inside, with new tails, cut, and short."""
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(4, 8)))
+    rows = []
+    for n in (1, 4, 5, 6, 14, 20, 40, 100, 200, 300):
+        for _ in range(6):
+            w = [word() for _ in range(n)]
+            copies = [list(w) for _ in range(3)]
+            for c in copies[1:]:
+                for at in r.sample(range(n), min(n, max(1, n // 40 if c is copies[1] else n // 20))):
+                    c[at] = word()
+            copies += [w + [word() for _ in range(k)] for k in (n // 10, n // 5, n // 4, n // 3)]
+            copies += [w[: n - k] for k in (1, n // 8, n // 5, n // 4)] + [w[:-1] + [word()], [word(), *w]]
+            rows += [" ".join(c) for c in copies]
+    rows += [None, "", " \t", "One  two", "one TWO", "one two three"]
+    r.shuffle(rows)
+    out = list(enumerate(rows))
+    return out + [out[5], out[5], (9, rows[70]), (None, rows[3]), (None, None)]
+
+
+@pytest.mark.parametrize("tile", [3, shingles.TILE])
+def test_groups_equal_brute_force(spark, tile):
+    rows = families(random.Random(11))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = shingles.near_copies(df, tile).collect()
+    want = brute(rows)
+    ids = {r.doc_id: r.component_id for r in got}
+    assert len(ids) == len(got)
+    assert {i: ids.get(i, i) for i in want} == want
+    assert 100 < sum(want[i] != i for i in want) < len(want) - 100
+
+
 def test_pairs_that_no_bucket_end_links(spark):
     # a chain of copies under one common passage: most links are between texts that are neither end of their bucket
     r = random.Random(5)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import map_arrow, texts
 from trackloom.operators.graph import connected_components
-from trackloom.session import materialize
+from trackloom.session import discard, materialize
 
 SHINGLE = 5
 SEED = 42
@@ -32,6 +32,8 @@ PARITY_BITS = 1024
 TILE = 4096
 PAIRS_AT_ONCE = 1 << 20
 WORDS_KEPT = 1 << 17
+#: Up to so many ids are broadcast.
+FEW_IDS = 1 << 17
 
 
 def shingle_set(text: str | None, known: dict[bytes, int], shingle: int = SHINGLE) -> np.ndarray:
@@ -189,8 +191,22 @@ def _apart(shared: DataFrame, reps: DataFrame, roots: DataFrame, tile: int) -> D
     return map_arrow(dealt.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j"), _pairs, "u long, v long").distinct()
 
 
-def _whole(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """k, doc and its whole set, of the ids (k, rep)."""
+def _open(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (u, v) that sizes and bitmaps don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, PARITY_BITS // 64) for c in (3, 4))
+            ok = 9 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= b.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(c).to_numpy()[ok]) for c in range(2)], ["u", "v"])
+
+    x, y = (reps.select(F.col("k").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in "uv")
+    both = pairs.join(x, "u").join(y, "v").select("u", "v", (F.col("u_n") + F.col("v_n")).alias("n"), "u_bits", "v_bits")
+    return map_arrow(both, run, "u long, v long")
+
+
+def _whole(docs: DataFrame, reps: DataFrame, pairs: DataFrame, repeated: bool) -> DataFrame:
+    """k, doc and the whole set of the ends of the pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -198,8 +214,12 @@ def _whole(docs: DataFrame, ids: DataFrame) -> DataFrame:
             sets = [shingle_set(t, known) for t in texts(b)]
             yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["k", "doc", "s"])
 
-    slim = docs.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    return map_arrow(slim, run, "k long, doc long, s array<long>").dropDuplicates(["k"])
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("k")).distinct()
+    ids = materialize(reps.select("k", F.col("rep").alias("doc_id")).join(ends, "k", "left_semi").select("doc_id").distinct(), "shingle-ends")
+    if ids.count() <= FEW_IDS:
+        ids = F.broadcast(ids)  # spares the texts a shuffle
+    out = map_arrow(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), run, "k long, doc long, s array<long>")
+    return materialize(out.dropDuplicates(["k"]) if repeated else out, "shingle-whole")
 
 
 def _checked(pairs: DataFrame, whole: DataFrame) -> DataFrame:
@@ -220,18 +240,24 @@ def near_copies(docs: DataFrame, tile: int = TILE) -> DataFrame:
     sets = materialize(_sets(slim), "shingle-sets")
     reps = materialize(sets.groupBy("k").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "bits", "prefix"))), "shingle-reps")
     same = sets.select("doc_id", "k").join(reps.select("k", "rep"), "k").where("doc_id > rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    same = materialize(same, "shingle-same")
+    repeated = bool(sets.groupBy("doc_id").count().where("count > 1").take(1))
+    discard(sets)
 
     buckets = reps.select(F.explode("prefix").alias("b"), "k", "n")
     shared = materialize(map_arrow(buckets.repartition("b").sortWithinPartitions("b"), _shared, "b long, k long, n int"), "shingle-buckets")
-    # the whole sets of all that share a bucket are read by both checks
-    whole = materialize(_whole(slim, reps.select("k", "rep").join(shared.select("k"), "k", "left_semi")), "shingle-whole")
-
     ends = shared.groupBy("b").agg(F.min(F.struct("k", "n")).alias("low"), F.max(F.struct("k", "n")).alias("high"))
     meets = shared.join(ends, "b").select("k", "n", F.explode(F.array("low", "high")).alias("end")).where("k <> end.k and 5 * least(n, end.n) >= 4 * greatest(n, end.n)")
-    first = materialize(meets.select(F.least("k", "end.k").alias("u"), F.greatest("k", "end.k").alias("v")).distinct(), "shingle-first")
+    first = meets.select(F.least("k", "end.k").alias("u"), F.greatest("k", "end.k").alias("v")).distinct()
+    first = materialize(_open(first, reps), "shingle-first")
+    whole = _whole(slim, reps, first, repeated)
     linked = materialize(_checked(first, whole), "shingle-linked")
+    discard(whole)
 
     left = _apart(shared, reps, connected_components(linked.select("u", "v")), tile)
-    rest = materialize(_checked(left.join(first, ["u", "v"], "left_anti"), whole), "shingle-linked")
+    left = materialize(left.join(first, ["u", "v"], "left_anti"), "shingle-left")
+    whole = _whole(slim, reps, left, repeated)
+    rest = materialize(_checked(left, whole), "shingle-linked")
+    discard(whole)
     edges = linked.unionByName(rest).select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v")).unionByName(same)
     return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
