@@ -2,53 +2,97 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.session import discard, materialize
+from trackloom.functions.spread import hot_least, join_by_key
+from trackloom.session import discard, materialize, ship
+
+#: Edges that a task contracts at once.
+AT_ONCE = 1 << 20
+
+
+def min_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges (node, least node of its component) of the links a[i]-b[i], without the roots themselves."""
+    nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = inv[: len(a)], inv[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    off = label != np.arange(len(nodes))
+    return nodes[off], nodes[label[off]]
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges to star edges with the same components, over up to AT_ONCE edges of a partition at a time."""
+    held, n = [], 0
+
+    def stars() -> pa.RecordBatch:
+        u, v = min_labels(*(np.concatenate([np.asarray(b.column(c)) for b in held]) for c in range(2)))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= AT_ONCE:
+            yield stars()
+            held, n = [], 0
+    if n:
+        yield stars()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return join_by_key(both, low, "u", hot_least(2 * rows)).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, rows: int) -> DataFrame:
     # every edge points from its larger to its smaller end here
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_by_key(edges, low, "u", hot_least(rows)).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph: one row (node, component) per node with an edge, component = least node reachable.
+    """Components of an undirected graph of longs: one row (node, component) per node with an edge, component = least node reachable.
 
-    Large-star and small-star rounds alternate until no edge changes; the number of rounds grows with the
-    logarithm of the graph. Each round is materialised in the shared folder, so lineage stays short; nothing
-    is collected but one count and one checksum a round. Null ends and loops are ignored; an empty edge table gives an empty result.
-    Hubs are safe: minima are combined before the shuffle and the join back is one that AQE can split.
+    Edges are first contracted to stars inside their partitions; then large-star and small-star rounds alternate until no
+    edge changes, and their number grows with the logarithm of the graph. Each round is written to the shared folder, so
+    lineage stays short; nothing is collected but the count and checksum that are taken while writing. Null ends and
+    loops are ignored; an empty edge table gives an empty result. Hubs are safe: minima combine before the shuffle, and a
+    node with many edges meets its minimum by broadcast (at most HOT_KEYS such nodes), not in one task.
     """
-    now = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(f"{u} is not null and {v} is not null and u > v" if {u, v} != {"u", "v"} else "u is not null and v is not null and u > v").distinct()
-    now = materialize(now, "cc")
-    mark = _mark(now)
+    ship(edges.sparkSession)
+    slim = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
+    now = _written(slim.mapInArrow(_contract, "u long, v long").distinct())
     for _ in range(max_rounds):
-        if not mark[0]:
+        if not now.measured["n"]:
             break
-        after = materialize(_small_star(_large_star(now)), "cc")
-        new = _mark(after)
+        after = _written(_small_star(_large_star(now, now.measured["n"]), now.measured["n"]))
+        done = after.measured == now.measured
         discard(now)
         now = after
-        if new == mark:
+        if done:
             break
-        mark = new
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _mark(edges: DataFrame) -> tuple:
-    # decimal sums cannot overflow, so equal marks mean equal edge sets but for a hash collision
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], r["h"]
+def _written(edges: DataFrame) -> DataFrame:
+    # decimal sums cannot overflow, so equal measures mean equal edge sets but for a hash collision; a task that is run
+    # again may add to them, which costs a further round at most
+    return materialize(edges, "cc", n=F.count("*"), h=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
@@ -44,29 +44,69 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one is set where none is, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). In local mode a temporary one is set where none is; a cluster must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = current.get() if current.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it is removed when the application ends."""
+    sc = spark.sparkContext
+    path = f"{shared_dir(spark).rstrip('/')}/trackloom-{sc.applicationId}"
+    if getattr(sc, "_trackloom_scratch", None) != path:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        sc._trackloom_scratch, sc._trackloom_made = path, []
+    return path
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the scratch folder; release() removes those made since a point."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.sparkContext._trackloom_made.append(path)
+    return path
+
+
+def made(spark: SparkSession) -> int:
+    """A point for release()."""
+    scratch_dir(spark)
+    return len(spark.sparkContext._trackloom_made)
+
+
+def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Remove the intermediate tables made since a point of made(), save those of `keep`; what read them must be written by now."""
+    paths, kept = spark.sparkContext._trackloom_made, {getattr(df, "_trackloom_path", None) for df in keep}
+    for path in paths[since:]:
+        if path not in kept:
+            remove(spark, path)
+    paths[since:] = [p for p in paths[since:] if p in kept]
+
 
+def materialize(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
+    """Cut lineage: write to the shared folder as Parquet and read it back, so that a lost executor costs no recomputation.
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write to the shared folder as Parquet and read it back, so that a lost executor costs no recomputation."""
+    metrics are aggregates taken while writing; their values are in the `measured` dict of the result.
+    """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path, schema, seen = fresh_path(spark, name), df.schema, None
+    if metrics:
+        seen = Observation()
+        df = df.observe(seen, *[c.alias(k) for k, c in metrics.items()])
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     out._trackloom_path = path
+    out.measured = seen.get if seen else {}
     return out
 
 
@@ -75,6 +115,9 @@ def discard(df: DataFrame) -> None:
     path = getattr(df, "_trackloom_path", None)
     if path:
         remove(df.sparkSession, path)
+        paths = df.sparkSession.sparkContext._trackloom_made
+        if path in paths:
+            paths.remove(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
