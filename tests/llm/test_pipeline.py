@@ -5,10 +5,11 @@ import hashlib
 import pytest
 
 import corpus_pipeline as P
-from trackloom.llm import langid, packing, quality, simhash
+from trackloom.llm import langid, packing, quality
 from trackloom.llm.common import table
 
-from .test_tables import brute_repeats, components
+from .test_shingles import brute
+from .test_tables import brute_repeats
 
 
 @pytest.fixture(scope="module")
@@ -37,12 +38,10 @@ def test_filters_take_the_operators_decisions(spark, small, stages):
 
 
 def test_one_of_each_group_stays(stages):
+    """Groups of links at 0.8 or more of five-word shingles, by brute force."""
     a, b = stages["near_duplicates"]
-    rows = [(r.doc_id, r.text) for r in a.collect()]
-    fps = {i: [simhash.word_fingerprint(t, s) for s in simhash.WORD_SEEDS] for i, t in rows}
-    near = [(x, y) for x in fps for y in fps if x < y and any((p ^ q).bit_count() <= 4 for p, q in zip(fps[x], fps[y]))]
-    root = components(fps, near)
-    assert {r.doc_id for r in b.collect()} == {i for i in fps if root[i] == i}
+    root = brute([(r.doc_id, r.text) for r in a.collect()])
+    assert {r.doc_id for r in b.collect()} == {i for i in root if root[i] == i}
 
 
 def test_repeats_go_from_texts(stages):
@@ -67,3 +66,22 @@ def test_empty_documents_pass_through(spark, small):
     for _, f in P.STAGES:
         docs = f(spark, docs, small)
     assert docs.count() == 0
+
+
+def test_edge_rows_pass_all_stages(spark, small):
+    """Null ids, null, empty and very long texts, repeated rows and columns named like the operators' own."""
+    docs = table(spark, small, "documents")
+    fine = [r.text for r in docs.where("n_chars > 300").orderBy("doc_id").limit(3).collect()]
+    long = " ".join(fine * 300)
+    rows = [(None, fine[0], "en", "a", 1), (None, None, None, None, None), (900001, None, "en", "b", 0), (900002, "", "en", "b", 0), (900003, long, "en", None, len(long)), (900004, fine[1], "en", "c", 1), (900004, fine[1], "en", "c", 1)]
+    extra = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    start = docs.unionByName(extra).withColumn("version", docs.doc_id).withColumn("k", docs.doc_id).withColumn("_gone", docs.doc_id)
+    done = start
+    for name, f in P.STAGES:
+        before, done = done, f(spark, done, small).cache()
+        assert name == "packing" or done.columns == start.columns
+    kept = before.collect()
+    assert sum(r.doc_id is None for r in kept) <= 2 and all(r.doc_id != 900001 for r in kept)
+    sizes = sorted(len((r.text or "").encode()) for r in kept)
+    got = done.groupBy("doc_id", "source").agg({"size": "sum"}).collect()
+    assert sum(r["sum(size)"] for r in got) == sum(sizes)

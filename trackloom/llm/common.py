@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from trackloom.operators.graph import min_labels  # noqa: F401
 from trackloom.session import ship
 
 #: Rows of one Arrow batch; it bounds a Python worker's memory where texts are long.
@@ -53,21 +53,3 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[str | None]:
 def word_list(text: str | None) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ as UTF-8; bytes.split() cuts at exactly these six characters."""
     return [] if text is None else text.encode("utf-8").split()
-
-
-def min_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges (node, least node of its component) of the links a[i]-b[i], without the roots themselves."""
-    nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = inv[: len(a)], inv[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    off = label != np.arange(len(nodes))
-    return nodes[off], nodes[label[off]]

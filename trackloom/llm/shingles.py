@@ -1,8 +1,10 @@
 """Exact links of texts alike in 0.8 or more of their distinct five-word shingles (Jaccard), and their components.
 
-Search. Shingles have one global order: those that a sample finds in few documents first, then by hash. Two sets of
-Jaccard 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, whatever the order, so the search misses no pair;
-the order only keeps common shingles out of these prefixes. Equal sets are one node.
+Search. First the SimHash covering of simhash.py over the shingles: what it finds is checked on the whole sets. It can't
+find all, since texts alike in 0.8 of their shingles differ in more bits than the covering spans. The rest comes from
+prefixes: with shingles ordered by the number of texts that hold them, then by hash, two sets of Jaccard 0.8 share a
+shingle among the first n - ceil(0.8 n) + 1 of each. Those that no other text holds come first and meet nothing, so a text
+takes part only with what of its prefix they leave; most have none left. Equal sets are one node.
 
 Links. In each bucket (texts with a prefix shingle in common) all meet the first and last of it, and the pairs are checked
 on their whole sets. Then all pairs of a bucket whose ends are not yet in one component are checked too, but for those
@@ -11,7 +13,7 @@ that sizes or parity bitmaps rule out: bitmaps that differ in d bits are of sets
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import map_arrow, texts
+from trackloom.functions.spread import hot_least, join_by_key
 from trackloom.operators.graph import connected_components
 from trackloom.session import discard, materialize
 
 SHINGLE = 5
 SEED = 42
-#: Documents of the sample behind the order, and shingles ordered by their count in it. Neither changes the result.
-SAMPLE_DOCS = 20_000
-ORDERED = 1 << 16
+#: Shingles that a task counts at once; there are as many groups as the shingles of all texts need.
+COUNTED = 1 << 21
 PARITY_BITS = 1024
 TILE = 4096
 PAIRS_AT_ONCE = 1 << 20
@@ -64,66 +66,121 @@ def _key(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED)).view(np.int64))
 
 
-def _order(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the shingles that most documents of a sample hold."""
-    rate = max(1, docs.count() // SAMPLE_DOCS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        for b in batches:
-            for t in texts(b):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, known))], ["h"])
-
-    some = map_arrow(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rate)) == 0).select("text"), run, "h long")
-    top = some.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(ORDERED).orderBy("h").collect()
-    return np.array([r[0] for r in top], np.int64), np.array([r[1] for r in top], np.int64)
+def _simhash(s: np.ndarray) -> int:
+    """The signed SimHash of a set of hashes: a bit is 1 if it is set in over half of them."""
+    votes = np.zeros(64, np.int64)
+    for k in range(0, len(s), 1 << 16):
+        votes += np.unpackbits(s[k : k + (1 << 16)].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(s), bitorder="little").view("<i8")[0])
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, k (hash of the set), n (its size), bits (parity bitmap) and prefix of every document."""
-    common, counts = _order(docs)
+    """doc_id, k (hash of the set), n (its size), bits (parity bitmap) and fp (its SimHash) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for b in batches:
-            keys, sizes, bits, prefixes = [], [], [], []
+            keys, sizes, bits, fps = [], [], [], []
             for t in texts(b):
                 s = shingle_set(t, known)
-                n = len(s)
                 keys.append(_key(s))
-                sizes.append(n)
+                sizes.append(len(s))
                 place = (s.view(np.uint64) >> np.uint64(54)).astype(np.int64)
                 bits.append(np.packbits((np.bincount(place, minlength=PARITY_BITS) & 1).astype(np.uint8)).tobytes())
-                seen = np.zeros(n, np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    seen = np.where(common[at] == s, counts[at], 0)
-                prefixes.append(s[np.lexsort((s, seen))[: n - (4 * n + 4) // 5 + 1]])
-            cols = [b.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "k", "n", "bits", "prefix"])
+                fps.append(_simhash(s))
+            cols = [b.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(fps, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "k", "n", "bits", "fp"])
 
-    return map_arrow(docs, run, "doc_id long, k long, n int, bits binary, prefix array<long>")
+    return map_arrow(docs, run, "doc_id long, k long, n int, bits binary, fp long")
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (b, k, n) sorted by b, those whose b is in another row too."""
-    kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-    before: int | None = None  # the b of the row before the one kept
+def _pack(group: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (g, data): the columns, cut by group, each column's bytes behind those of the one before."""
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], len(group))
+    columns = [c[order] for c in columns]
+    data = [b"".join(c[x:y].tobytes() for c in columns) for x, y in zip(cuts, ends)]
+    yield pa.RecordBatch.from_arrays([pa.array(group[cuts].astype(np.int64)), pa.array(data, pa.binary())], ["g", "data"])
 
-    def alike(b: np.ndarray) -> np.ndarray:
-        same = b[1:] == b[:-1]
-        return np.r_[before is not None and len(b) > 0 and b[0] == before, same][: len(b)] | np.r_[same, False][: len(b)]
 
-    for batch in batches:
-        cols = [np.concatenate([k, batch.column(i).to_numpy()]) for i, k in enumerate(kept)]
-        if not len(cols[0]):
-            continue
-        on = alike(cols[0])[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][on]) for c in cols], ["b", "k", "n"])
-        before = int(cols[0][-2]) if len(cols[0]) > 1 else before
-        kept = [c[-1:] for c in cols]
-    on = alike(kept[0])
-    yield pa.RecordBatch.from_arrays([pa.array(c[on]) for c in kept], ["b", "k", "n"])
+def _unpacked(batches: Iterator[pa.RecordBatch], *types: str) -> Iterator[list[np.ndarray]]:
+    """The columns of each group of rows (g, data) that come sorted by g."""
+    width, now, held = sum(np.dtype(t).itemsize for t in types), None, []
+
+    def columns() -> list[np.ndarray]:
+        parts: list[list[np.ndarray]] = [[] for _ in types]
+        for raw in held:
+            n, at = len(raw) // width, 0
+            for part, t in zip(parts, types):
+                part.append(np.frombuffer(raw, t, n, at))
+                at += n * np.dtype(t).itemsize
+        return [np.concatenate(p) for p in parts]
+
+    for b in batches:
+        for g, raw in zip(b.column(0).to_pylist(), b.column(1)):
+            if g != now:
+                if held:
+                    yield columns()
+                now, held = g, []
+            held.append(raw.as_py())
+    if held:
+        yield columns()
+
+
+def _dealt(packed: DataFrame) -> DataFrame:
+    return packed.repartition("g").sortWithinPartitions("g")
+
+
+def _shared(docs: DataFrame, groups: int) -> DataFrame:
+    """Rows (b, k, n): the shingles b of each set's prefix that another set holds too. Sets with none are left out.
+
+    Shingles go to groups by their hash, where those of one set alone are dropped and the others counted; these go to
+    groups by their set, where the prefix is cut. Both moves are of packed arrays.
+    """
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for b in batches:
+            seen, sets = set(), []
+            for t in texts(b):
+                s = shingle_set(t, known)
+                k = _key(s)
+                if k not in seen:
+                    seen.add(k)
+                    sets.append((s, k))
+            if sets:
+                n = np.array([len(s) for s, _ in sets], np.uint32)
+                h = np.concatenate([s for s, _ in sets])
+                yield from _pack((h.view(np.uint64) >> np.uint64(20)) % np.uint64(groups), h, np.repeat(np.array([k for _, k in sets], np.int64), n), np.repeat(n, n))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, k, n in _unpacked(batches, "i8", "i8", "u4"):
+            order = np.lexsort((k, h))
+            h, k, n = h[order], k[order], n[order]
+            keep = np.r_[True, (h[1:] != h[:-1]) | (k[1:] != k[:-1])]
+            h, k, n = h[keep], k[keep], n[keep]
+            new = np.r_[True, h[1:] != h[:-1]]
+            held = np.bincount(np.cumsum(new) - 1).astype(np.uint32)[np.cumsum(new) - 1]
+            on = held > 1
+            if on.any():
+                yield from _pack(k[on].view(np.uint64) % np.uint64(groups), h[on], k[on], n[on], held[on])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, k, n, held in _unpacked(batches, "i8", "i8", "u4", "u4"):
+            order = np.lexsort((h, held, k))
+            h, k, n = h[order], k[order], n[order].astype(np.int64)
+            new = np.r_[True, k[1:] != k[:-1]]
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            many = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+            left = n - (4 * n + 4) // 5 + 1 - (n - many)  # of the prefix, after the shingles of this set alone
+            on = np.arange(len(k)) - first < left
+            yield pa.RecordBatch.from_arrays([pa.array(h[on]), pa.array(k[on]), pa.array(n[on].astype(np.int32))], ["b", "k", "n"])
+
+    posted = map_arrow(docs.select("text"), post, "g long, data binary")
+    counted = map_arrow(_dealt(posted), count, "g long, data binary")
+    return map_arrow(_dealt(counted), cut, "b long, k long, n int")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,26 +287,39 @@ def _checked(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(alike).select("u", "v", "u_doc", "v_doc")
 
 
-def near_copies(docs: DataFrame, tile: int = TILE) -> DataFrame:
+def _by_simhash(reps: DataFrame, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (u, v) of sets whose SimHashes the covering joins: each set with the least of its SimHash, and these along the covering's edges."""
+    heads = materialize(reps.groupBy("fp").agg(F.min("k").alias("head"), F.count("*").alias("sets")), "shingle-heads", rows=F.sum("sets"))
+    edges = similar(heads.select("fp"))
+    a, b = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head")) for c in "uv")
+    across = edges.join(a, "u").join(b, "v").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
+    same = join_by_key(reps.select("fp", "k"), heads, "fp", hot_least(heads.measured["rows"] or 0), "sets").where("k <> head").select(F.col("head").alias("u"), F.col("k").alias("v"))
+    return across.unionByName(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def near_copies(docs: DataFrame, tile: int = TILE, similar: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """doc_id and component_id (least doc_id reachable over links) of the documents that are linked to another.
 
     Two link if their sets of five-word shingles have Jaccard 0.8 or more; null and wordless texts have equal, empty sets.
-    Rows with a null doc_id are left out.
+    `similar` gives edges of alike SimHashes (column fp), checked first; without it the prefixes alone are searched, with
+    the same result. Rows with a null doc_id are left out.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    sets = materialize(_sets(slim), "shingle-sets")
-    reps = materialize(sets.groupBy("k").agg(F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "bits", "prefix"))), "shingle-reps")
-    same = sets.select("doc_id", "k").join(reps.select("k", "rep"), "k").where("doc_id > rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    sets = materialize(_sets(slim), "shingle-sets", rows=F.count("*"), shingles=F.sum("n"))
+    rows, groups = sets.measured["rows"], max(1, -(-(sets.measured["shingles"] or 0) // COUNTED))
+    reps = materialize(sets.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "bits", "fp"))), "shingle-reps")
+    same = join_by_key(sets.select("doc_id", "k"), reps.select("k", "rep", "copies"), "k", hot_least(rows), "copies").where("doc_id > rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     same = materialize(same, "shingle-same")
     repeated = bool(sets.groupBy("doc_id").count().where("count > 1").take(1))
     discard(sets)
 
-    buckets = reps.select(F.explode("prefix").alias("b"), "k", "n")
-    shared = materialize(map_arrow(buckets.repartition("b").sortWithinPartitions("b"), _shared, "b long, k long, n int"), "shingle-buckets")
-    ends = shared.groupBy("b").agg(F.min(F.struct("k", "n")).alias("low"), F.max(F.struct("k", "n")).alias("high"))
-    meets = shared.join(ends, "b").select("k", "n", F.explode(F.array("low", "high")).alias("end")).where("k <> end.k and 5 * least(n, end.n) >= 4 * greatest(n, end.n)")
-    first = meets.select(F.least("k", "end.k").alias("u"), F.greatest("k", "end.k").alias("v")).distinct()
-    first = materialize(_open(first, reps), "shingle-first")
+    shared = materialize(_shared(slim, groups), "shingle-buckets", rows=F.count("*"))
+    ends = shared.groupBy("b").agg(F.min(F.struct("k", "n")).alias("low"), F.max(F.struct("k", "n")).alias("high"), F.count("*").alias("rows"))
+    meets = join_by_key(shared, ends, "b", hot_least(shared.measured["rows"]), "rows").select("k", "n", F.explode(F.array("low", "high")).alias("end")).where("k <> end.k and 5 * least(n, end.n) >= 4 * greatest(n, end.n)")
+    first = meets.select(F.least("k", "end.k").alias("u"), F.greatest("k", "end.k").alias("v"))
+    if similar is not None:
+        first = first.unionByName(_by_simhash(reps, similar))
+    first = materialize(_open(first.distinct(), reps), "shingle-first")
     whole = _whole(slim, reps, first, repeated)
     linked = materialize(_checked(first, whole), "shingle-linked")
     discard(whole)
@@ -258,6 +328,10 @@ def near_copies(docs: DataFrame, tile: int = TILE) -> DataFrame:
     left = materialize(left.join(first, ["u", "v"], "left_anti"), "shingle-left")
     whole = _whole(slim, reps, left, repeated)
     rest = materialize(_checked(left, whole), "shingle-linked")
-    discard(whole)
+    for done in (whole, shared, first, left):
+        discard(done)
     edges = linked.unionByName(rest).select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v")).unionByName(same)
-    return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    out = connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    for done in (reps, same, linked, rest):
+        discard(done)
+    return out

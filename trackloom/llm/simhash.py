@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm import shingles
-from trackloom.llm.common import map_arrow, min_labels, texts
+from trackloom.llm.common import free_name, map_arrow, min_labels, texts
+from trackloom.functions.spread import hot_least, join_by_key
 from trackloom.operators.graph import connected_components
-from trackloom.session import materialize
+from trackloom.session import discard, materialize
 
 THRESHOLD = 4
 SHINGLE = 4
@@ -32,8 +33,6 @@ BLOCKS = ((0, 22), (22, 21), (43, 21))
 CODE_BITS = 15
 TILE = 4096
 LINKS_AT_ONCE = 1 << 20
-#: Seeds of the fingerprints over distinct words.
-WORD_SEEDS = (1, 2, 3, 4)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -189,37 +188,33 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
 
     Fingerprints link at `threshold` or fewer differing bits; equal ones are one node, so copies are never paired up.
     Null, empty and wordless texts share fingerprint zero and link like any other. Rows with a null doc_id are kept, and
-    take the least non-null doc_id of their component, null if there is none. Repeated rows each give a row. Other
-    columns are ignored; an empty table gives no rows.
+    take the least non-null doc_id of their component, null if there is none. Ids of other types than long are ordered
+    as their type is. Repeated rows each give a row. Other columns are ignored; an empty table gives no rows.
+
+    The covering has 2**17 to 2**18 anchors a block, so beyond about 1e8 distinct fingerprints an anchor holds more than
+    a tile; its tiles are then compared pair by pair, which loses nothing but grows with the square.
     """
-    fps = materialize(fingerprints(docs, shingle), "simhash-fps")
-    first = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-first")
+    fps = materialize(fingerprints(docs, shingle), "simhash-fps", rows=F.count("*"))
+    rows = fps.measured["rows"]
+    first = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-first")
     edges = materialize(similar_fingerprints(first, threshold), "simhash-edges")
     roots = connected_components(edges)
-    labelled = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_fp = labelled.join(least, "component").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def word_fingerprint(text: str | None, seed: int) -> int:
-    """The SimHash of a text's distinct words, A-Z lower-cased; 0 without a word."""
-    words = sorted(set(text.encode("utf-8").lower().split())) if text else []
-    if not words:
-        return 0
-    h = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], "<u8")
-    votes = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > len(words), bitorder="little").tobytes(), "little")
+    discard(edges)
+    labelled = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("component"))
+    least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"))
+    by_fp = join_by_key(labelled, least, "component", hot_least(rows), "members").select("fp", "component_id", "n")
+    # a fingerprint of very many texts, such as that of null and wordless ones, meets its row by broadcast
+    return join_by_key(fps, by_fp, "fp", hot_least(rows)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id and component_id of the documents that have a near-copy: texts alike in 0.8 or more of their five-word shingles.
 
-    At that likeness no few bits of a SimHash are right: changing one word changes five shingles, and a new tail changes
-    many words. So links come from the exact search of shingles.py. component_id is the least doc_id reachable.
-    Rows with a null doc_id are left out.
+    The covering finds candidates by the SimHash of the five-word shingles, which are checked on the whole sets. At that
+    likeness few SimHashes are within four bits: changing one word changes five shingles. So shingles.py searches on, and
+    no pair of 0.8 is missed. component_id is the least doc_id reachable. Rows with a null doc_id are left out.
     """
-    return shingles.near_copies(docs)
+    return shingles.near_copies(docs, similar=similar_fingerprints)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -227,5 +222,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows with a null doc_id cannot be named and are kept. Repeated rows of a kept doc_id are all kept.
     """
-    gone = near_copies(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    key = free_name(docs, "_gone")
+    gone = near_copies(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(key))
+    marked = docs.where("doc_id is not null")
+    kept = marked.join(gone, marked["doc_id"].cast("long") == gone[key], "left_anti")
+    return kept.unionByName(docs.where("doc_id is null"))
