@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,10 +32,35 @@ CACHE_WORDS, CACHE_SCORES = 800_000, 8_000_000
 TOGETHER = 2_000_000
 #: Words longer than this are scored with rescaling and not cached.
 LONG = 24
-_WORDS = re.compile(r"[^\W\d_]+")
 _SPACE = "▁"
 
 
+@lru_cache(2)
+def _classes(top: int) -> tuple[str, str]:
+    """The code points up to `top` that are letters, and letters or marks (categories L and M), as ranges of a pattern."""
+    out = []
+    for kinds in ("L", "LM"):
+        runs: list[list[int]] = []
+        for c in range(top + 1):
+            if unicodedata.category(chr(c))[0] in kinds:
+                if runs and runs[-1][1] == c - 1:
+                    runs[-1][1] = c
+                else:
+                    runs.append([c, c])
+        out.append("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs))
+    return out[0], out[1]
+
+
+@lru_cache(4)
+def _word_pattern(top: int) -> re.Pattern:
+    """A letter with the letters and marks that follow it."""
+    letters, both = _classes(top)
+    return re.compile(f"[{letters}][{both}]*")
+
+
+_RARE = re.compile("[\U00010000-\U0010ffff]")
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -47,7 +74,8 @@ def vocabulary(path: str) -> tuple[str, ...]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-    return tuple(p for p in map(sp.id_to_piece, ids) if _WORDS.fullmatch(p.removeprefix(_SPACE) or "a"))
+    spelling = re.compile(f"[{_classes(sys.maxunicode)[1]}]+")
+    return tuple(p for p in map(sp.id_to_piece, ids) if spelling.fullmatch(p.removeprefix(_SPACE) or "a"))
 
 
 @lru_cache(2)
@@ -60,8 +88,9 @@ def _automaton(path: str) -> ahocorasick.Automaton:
 
 
 def words_of(text: str) -> list[str]:
-    """The runs of letters of a text in lower case."""
-    return _WORDS.findall(text.lower())
+    """The words of a text in lower case: letters with their marks. Digits and other numbers, such as fractions, are no letters."""
+    text = text.lower()
+    return _word_pattern(sys.maxunicode if _RARE.search(text) else 0xFFFF).findall(text)
 
 
 @lru_cache(2)
