@@ -62,22 +62,32 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, pool_rows: int = POOL_ROWS,
     Returns one row per piece: doc_id, piece, start, size, source, cluster, bin_id, bin_offset. size is in UTF-8 bytes; a
     document over the capacity is cut into pieces of capacity bytes, each full piece a bin of its own, and its rest is an item.
     start is the piece's first byte in the text. Null or empty texts are items of size 0: they take a place but no room.
-    cluster names a column with the duplicate cluster; without it, equal texts are a cluster. Null sources and clusters
-    conflict with nothing. Rows are dealt by hash into pools of about pool_rows, each packed on its own in one small
-    task: two pools lose at most what their unfilled bins hold. Repeated rows are items each; an empty table gives no rows.
+    cluster names a column with the duplicate cluster (such as op10's component_id); without it, equal texts are a
+    cluster, and near-copies may share a bin. Null sources and clusters conflict with nothing. Rows are dealt by hash
+    into pools of about pool_rows, each packed on its own in one small task: two pools lose at most what their unfilled
+    bins hold, and the successor search passes at most pool_rows bins. Repeated rows are items each, in pools of their
+    own numbers; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ready(spark)
     pools = max(1, -(-docs.count() // pool_rows))
-    items = docs.select(
+    slim = docs.select(
         "doc_id", "source",
         (F.col(cluster) if cluster else F.when(F.octet_length("text") > 0, F.xxhash64("text"))).cast("string").alias("cluster"),
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"),
-    ).withColumn("pool", F.pmod(F.xxhash64("doc_id", "cluster", F.lit("pool")), F.lit(pools)))
+    )
+    # equal rows are counted and written out again with a number each, which deals them to different pools
+    cols = slim.columns
+    groups = slim.groupBy(*cols).agg(F.count("*").alias("n"))
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {pool_rows}")))
+    lone = groups.where("n = 1").select(*cols, F.lit(0).cast("long").alias("copy"))
+    chunks = groups.where("n > 1").withColumn("chunk", chunk).repartition("doc_id", "chunk")
+    copies = chunks.select(*cols, F.explode(F.sequence(F.col("chunk") * pool_rows, F.least(F.col("n"), (F.col("chunk") + 1) * pool_rows) - 1)).alias("copy"))
+    items = lone.unionByName(copies).withColumn("pool", F.pmod(F.xxhash64("doc_id", "cluster", "copy", F.lit("pool")), F.lit(pools)))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc_id", "ascending"), ("cluster", "ascending")])
+        t = t.sort_by([("doc_id", "ascending"), ("cluster", "ascending"), ("source", "ascending"), ("copy", "ascending")])
         pool = t["pool"][0].as_py()
         rows = list(zip(*(t[c].to_pylist() for c in ("bytes", "source", "cluster"))))
         spots = pack_pool([(n - (max(n - 1, 0) // capacity) * capacity, s, c) for n, s, c in rows], capacity)

@@ -7,30 +7,39 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+#: Rows of a numbering bucket, and the most buckets: their counts are broadcast, 16 bytes each.
+BUCKET_ROWS = 20_000
+MOST_BUCKETS = 1 << 20
+#: Equal rows that are written out at once.
+CHUNK = 4096
 ROUNDS = 6
 WALK = 256
 
 
-def global_row_number(df: DataFrame, keys: list[str], out: str = "row_no", buckets: int = BUCKETS) -> DataFrame:
-    """Adds a gapless row number from 0 in the order (bucket, keys), bucket being a hash of the keys.
+def numbered(df: DataFrame, rows: int, out: str = "row_no", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """The rows of df with gapless numbers from 0 in the order (bucket, hash, columns), bucket being a hash of all columns.
 
-    Rows are numbered inside their bucket by a window; the offset of each bucket comes from a running sum over
-    at most `buckets` counts, so no window holds the whole table. Equal rows get successive numbers in any order,
-    which cannot be told apart. Null keys hash like values.
+    Equal rows are counted first and written out at the end in chunks of CHUNK, each with its share of the numbers, so
+    that no window and no task holds a group of copies whole. Groups are numbered inside their bucket; a bucket's offset
+    comes from a running sum over the buckets' counts, which are one small table. Nulls hash like values.
     """
-    hashed = df.withColumn("_hash", F.xxhash64(*keys)).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_hash", 20), F.lit(buckets)))
-    counts = hashed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # at most `buckets` rows: one small task, and a broadcast of proven size
-    starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_bucket").orderBy("_hash", *keys)
-    return (
-        hashed.withColumn("_rank", F.row_number().over(inside).cast("long") - 1)
-        .join(F.broadcast(starts), "_bucket")
-        .withColumn(out, F.col("_start") + F.col("_rank"))
-        .drop("_hash", "_bucket", "_rank", "_start")
-    )
+    cols = df.columns
+    buckets = min(MOST_BUCKETS, max(1, -(-rows // bucket_rows)))
+    groups = df.groupBy(*cols).agg(F.count("*").alias("_n")).withColumn("_hash", F.xxhash64(*cols))
+    groups = groups.withColumn("_bucket", F.pmod(F.shiftrightunsigned("_hash", 20), F.lit(buckets)))
+    counts = groups.groupBy("_bucket").agg(F.sum("_n").alias("_all"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_bucket", F.coalesce(F.sum("_all").over(before(Window.orderBy("_bucket"))), F.lit(0)).alias("_start"))
+    inside = before(Window.partitionBy("_bucket").orderBy("_hash", *cols))
+    placed = groups.withColumn("_first", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(starts), "_bucket")
+    first = F.col("_start") + F.col("_first")
+    # single rows go straight on; the chunks of copies are dealt out over all tasks
+    lone = placed.where("_n = 1").select(*cols, first.alias(out))
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {CHUNK}")))
+    chunks = placed.where("_n > 1").select(*cols, "_n", first.alias("_at"), chunk.alias("_chunk")).repartition(*[F.col(c) for c in cols], "_chunk")
+    last = F.least(F.col("_n"), (F.col("_chunk") + 1) * CHUNK) - 1
+    copies = chunks.select(*cols, F.explode(F.sequence(F.col("_at") + F.col("_chunk") * CHUNK, F.col("_at") + last)).alias(out))
+    return lone.unionByName(copies)
 
 
 def permute(df: DataFrame, row_no: str, n: int, seed: int = 0, out: str = "position") -> DataFrame:
@@ -62,13 +71,14 @@ def _rounds(x: Column, a: int, b: int, seed: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: s["l"] + s["r"] * F.lit(a))
 
 
-def shard(docs: DataFrame, shards: int = 40, seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, seed: int = 0) -> DataFrame:
     """Deals documents into shards under the law `rows`: position p of the shuffle goes to shard p mod shards, slot p div shards.
 
     Needs doc_id and text; other columns are ignored. Returns doc_id, size, text_crc32, law, position, shard, slot, grown_shard.
     size is the UTF-8 bytes of the text plus 16; a null text counts as empty and its crc32 is 0. Null or repeated doc_ids
-    are rows like any other. The result depends on the rows and the seed alone, not on files or partitions: shard and
-    slot of a row number can be computed without the data. An empty table gives no rows.
+    are rows like any other, and a doc_id may be of any type that can be grouped. The result depends on the rows and the
+    seed alone, not on files or partitions: shard and slot of a row number can be computed without the data. An empty
+    table gives no rows.
     """
     slim = docs.select(
         F.col("doc_id"),
@@ -76,8 +86,7 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 0, buckets: int = BUCKE
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
     )
     n = docs.count()
-    numbered = global_row_number(slim, ["doc_id", "text_crc32", "size"], buckets=buckets)
-    p = permute(numbered, "row_no", n, seed)
+    p = permute(numbered(slim, n), "row_no", n, seed)
     return p.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "position",
         F.pmod("position", F.lit(shards)).cast("int").alias("shard"),
