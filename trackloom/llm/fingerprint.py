@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import map_arrow
+from trackloom.llm.common import map_arrow, ready
 
 #: A prime of the form 2**31 - 1, so that reduction is a shift and an addition.
 PRIME = np.uint64((1 << 31) - 1)
@@ -18,7 +19,8 @@ BASES = (1_103_515_245, 1_664_525_013)
 SPAN = 16
 SKETCH = 64
 ROWS_A_BUCKET = 4000
-MOST_BUCKETS = 10_000
+#: Ranges at most, and rows drawn for each to find the cuts.
+MOST_BUCKETS, SAMPLED = 100_000, 20
 _SHIFT = np.uint64(31)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -180,29 +182,53 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
 
 
+def _place(cuts: np.ndarray) -> Callable:
+    """A pandas UDF: the number of cuts (key, hash), sorted, at or below each row's pair."""
+    keys, hashes = cuts[:, 0], cuts[:, 1]
+
+    @F.pandas_udf("int")
+    def place(key: pd.Series, mark: pd.Series) -> pd.Series:
+        k, h = key.to_numpy(np.int64), mark.to_numpy(np.int64)
+        low, high = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
+        for i in np.flatnonzero(low < high):  # rows whose id is a cut's id: their hashes decide
+            low[i] += np.searchsorted(hashes[low[i] : high[i]], h[i], "right")
+        return pd.Series(low.astype(np.int32))
+
+    return place
+
+
+def _cuts(keyed: DataFrame, rows: int, buckets: int) -> np.ndarray:
+    """At most buckets - 1 pairs (key, hash) that part the rows evenly, from a sample of about SAMPLED rows a bucket, drawn by hash."""
+    if buckets < 2:
+        return np.zeros((0, 2), np.int64)
+    rate = max(1, rows // (buckets * SAMPLED))
+    some = keyed.where(F.pmod(F.xxhash64("_k", "_h", F.lit("cuts")), F.lit(rate)) == 0).select("_k", "_h").distinct().orderBy("_k", "_h").collect()
+    pairs = np.array([tuple(r) for r in some], np.int64).reshape(-1, 2)
+    return pairs[SAMPLED - 1 :: SAMPLED]
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, ghost) dealt into ranges of doc_id, one a partition, in order, each followed by its successor's first row.
+    """Rows (doc_id, text, ghost) dealt into ranges of (doc_id, hash of the text), one a partition, in order, each followed by its successor's first row.
 
-    The cuts are approximate quantiles, at most MOST_BUCKETS, so the driver sees one id a range; the texts move once.
+    The cuts come from a sample of ids, at most MOST_BUCKETS * SAMPLED pairs of longs, and each range is found by binary
+    search; the texts move once. Rows of one doc_id are spread over ranges by their texts' hashes.
     """
+    ready(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("_k"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("_k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
     n = docs.count()
     buckets = int(min(MOST_BUCKETS, max(1, n // ROWS_A_BUCKET)))
-    at = [k / buckets for k in range(1, buckets)]
-    cuts = sorted(set(slim.agg(F.percentile_approx("_k", F.array(*map(F.lit, at)), 100 * buckets).alias("p")).first()["p"] or [])) if at else []
-    # the number of cuts at or below the key
-    bounds = F.array(*map(F.lit, cuts)) if cuts else None
-    placed = slim.withColumn("_b", F.lit(0) if bounds is None else F.size(F.filter(bounds, lambda c: c <= F.col("_k"))))
-    firsts = [(r["_b"], r["k"]) for r in placed.groupBy("_b").agg(F.min("_k").alias("k")).orderBy("_b").collect()]
-    # the first key of each range goes to the range before it as well; the very first one to the last range
-    ghosts = docs.sparkSession.createDataFrame([(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)], "_first long, _to int")
-    both = placed.join(F.broadcast(ghosts), placed["_k"] == ghosts["_first"], "left")
+    cuts = _cuts(slim, n, buckets)
+    placed = slim.withColumn("_b", _place(cuts)("_k", "_h") if len(cuts) else F.lit(0))
+    firsts = [(r["_b"], *r["k"]) for r in placed.groupBy("_b").agg(F.min(F.struct("_k", "_h")).alias("k")).orderBy("_b").collect()]
+    # the first row of each range goes to the range before it as well; the very first one to the last range
+    ghosts = docs.sparkSession.createDataFrame([(k, h, firsts[i - 1][0]) for i, (_, k, h) in enumerate(firsts)], "_first long, _hash long, _to int")
+    both = placed.join(F.broadcast(ghosts), (placed["_k"] == ghosts["_first"]) & (placed["_h"] == ghosts["_hash"]), "left")
     own = F.struct(F.col("_b").cast("int").alias("b"), F.lit(0).alias("g"))
     ghost = F.struct(F.col("_to").alias("b"), F.lit(1).alias("g"))
     dealt = both.withColumn("_at", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, ghost))))
-    dealt = dealt.select("doc_id", "text", F.col("_at.g").alias("ghost"), F.col("_at.b").alias("_b"), "_k")
-    return dealt.repartitionById(len(cuts) + 1, F.col("_b")).sortWithinPartitions("ghost", "_k", "text").select("doc_id", "text", "ghost")
+    dealt = dealt.select("doc_id", "text", F.col("_at.g").alias("ghost"), F.col("_at.b").alias("_b"), "_k", "_h")
+    return dealt.repartitionById(len(cuts) + 1, F.col("_b")).sortWithinPartitions("ghost", "_k", "_h", "text").select("doc_id", "text", "ghost")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -212,7 +238,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     text, rows standing in the order of doc_id; after the last comes the first. Returns doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next, prefix_shared_with_next (code points, by binary search over
     the prefix hashes). Null texts count as empty; an empty text is like an empty text only. Null doc_ids stand before all
-    others, rows of one doc_id in the order of their texts. Other columns are ignored; an empty table gives no rows.
+    others, rows of one doc_id in the order of their texts' hashes, so that a doc_id of many rows is many ranges; rows
+    equal in id and text share one. Other columns are ignored; an empty table gives no rows.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, prefix_shared_with_next long"
     return map_arrow(with_next(docs), _stream, schema)

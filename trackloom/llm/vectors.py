@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import min_labels, ready
+from trackloom.functions.spread import hot_least, join_by_key
 from trackloom.operators.graph import connected_components
 from trackloom.session import materialize
 
@@ -102,8 +103,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
     usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = rows.where(usable & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False)))
-    groups = materialize(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-reps")
+    good_row = F.coalesce(usable & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    grouped = rows.where(good_row).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    groups = materialize(grouped, "vector-reps", rows=F.sum("copies"))
     sizes = groups.groupBy("label").agg(F.count("*").alias("n"))
     tiled = (
         groups.join(sizes, "label")
@@ -123,11 +125,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     named = (
         groups.join(total, "rep", "left")
         .join(roots, F.col("rep") == F.col("node"), "left")
-        .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
-    out = rows.join(named, ["label", "embedding"], "left").select(
-        "vec_id",
-        F.coalesce(F.when(F.col("vec_id").isNotNull(), F.col("n_links")), F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"),
+        .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), F.col("copies").alias("n"))
     )
+    # rows that link with nothing stay out of the join, and vectors of very many rows meet theirs by broadcast
+    linked = join_by_key(rows.where(good_row), named, ["label", "embedding"], hot_least(groups.measured["rows"] or 0)).select("vec_id", "n_links", "component_id")
+    alone = rows.where(~good_row).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = linked.unionByName(alone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
