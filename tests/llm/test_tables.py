@@ -1,6 +1,7 @@
 """Sharding, near-duplicates, repeats, vectors and packing against brute force, with edge rows."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -47,6 +48,47 @@ def test_shards_are_even_gapless_and_independent_of_partitions(spark, small):
     assert set(got.law) == {"rows"}
 
 
+def rectangle(n: int) -> tuple[int, int]:
+    """The least rectangle over n that permute() walks in."""
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+    return a, b
+
+
+def test_permutation_equals_a_plain_feistel_walk(spark):
+    n, seed = 97, 5
+    a, b = rectangle(n)
+    hashes = {(r.i, r.r): r.h for r in spark.range(sharding.ROUNDS).selectExpr("cast(id as int) as i").crossJoin(spark.range(max(a, b)).selectExpr("id as r")).select("i", "r", F.xxhash64(F.lit(seed), "i", "r").alias("h")).collect()}
+
+    def once(x):
+        left, right = x % a, x // a
+        for i in range(sharding.ROUNDS):
+            m = a if i % 2 == 0 else b
+            left, right = right, (left + hashes[i, right] % m) % m
+        return left + right * a
+
+    want = []
+    for x in range(n):
+        y = once(x)
+        while y >= n:
+            y = once(y)
+        want.append(y)
+    got = sharding.permute(spark.range(n), "id", n, seed=seed).orderBy("id").toPandas()
+    assert got.position.tolist() == want
+
+
+def test_rows_are_numbered_as_by_sorting(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 7)
+    rows = [(k % 5, "abc"[k % 3]) for k in range(40)] + [(None, None)] * 30 + [(9, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, t string")
+    hashed = df.select("doc_id", "t", F.xxhash64("doc_id", "t").alias("h")).collect()
+    n = len(rows)
+    buckets = -(-n // 10)
+    want = sorted(((r.h & (2**64 - 1)) >> 20) % buckets for r in hashed), sorted((((r.h & (2**64 - 1)) >> 20) % buckets, r.h, r.doc_id if r.doc_id is not None else -1, r.t or "") for r in hashed)
+    got = sorted((r.row_no, r.doc_id if r.doc_id is not None else -1, r.t or "") for r in sharding.numbered(df.repartition(3), n, bucket_rows=10).collect())
+    assert [g[0] for g in got] == list(range(n)) and [g[1:] for g in got] == [w[2:] for w in want[1]]
+
+
 def test_shard_edges(spark):
     df = spark.createDataFrame([(None, None), (None, "a"), (1, "a"), (1, "a"), (2, "")], "doc_id long, text string")
     got = sharding.shard(df, shards=3).collect()
@@ -171,12 +213,48 @@ def test_repeats_of_nothing(spark):
     assert substring.remove_repeats(df).count() == 0 and substring.keep_texts(df).count() == 0
 
 
-def test_index_compacts_to_the_same_rows(spark):
-    index = substring.WindowIndex(spark, max_runs=2)
+def test_index_compacts_to_the_same_rows(spark, tmp_path):
+    index = substring.WindowIndex(spark, str(tmp_path / "index"), max_runs=2)
     for k in range(4):
-        index.append(spark.range(k * 10, k * 10 + 10).select(F.col("id").alias("mark"), F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("version")))
-    assert len(index.runs) <= 2 and sorted(r.mark for r in index.read().collect()) == list(range(40))
+        ids = spark.range(k * 10, k * 10 + 10)
+        index.append(ids.select(F.col("id").alias("mark"), F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("version")), ids.select(F.lit(1).cast("long").alias("a"), F.lit(2).cast("long").alias("b"), F.col("id").alias("first")))
+    assert index.compactions == 1 and len(index.runs["marks"]) <= 2 and sorted(r.mark for r in index.read().collect()) == list(range(40))
+    again = substring.WindowIndex(spark, str(tmp_path / "index"))
+    assert again.runs == index.runs and again.version == index.version
+    index.compact()
+    assert [tuple(r) for r in index.read("windows").collect()] == [(1, 2, 0)]
     index.drop()
+    assert substring.WindowIndex(spark, str(tmp_path / "index")).read() is None
+
+
+def test_batches_against_a_reopened_index_equal_brute_force(spark, tmp_path):
+    r = random.Random(9)
+    vocab = ["w%d" % k for k in range(300)]
+    passage = [[r.choice(vocab) for _ in range(n)] for n in (50, 60, 120)]
+    rows = []
+    for k in range(80):
+        w = []
+        for _ in range(r.randint(0, 4)):
+            w += [r.choice(vocab) for _ in range(r.randint(0, 70))] + r.choice(passage)
+        rows.append((k, " ".join(w)))
+    rows += [(80, rows[3][1]), (81, None), (None, rows[4][1])]
+    path, got = str(tmp_path / "index"), []
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    for lo in range(0, len(rows), 14):
+        index = substring.WindowIndex(spark, path, max_runs=2)  # opened anew each time
+        out = substring.remove_repeats_from(index, frame(rows[lo : lo + 14]), frame(rows[:lo]))
+        got += [(x.doc_id if x.doc_id is not None else -1, x.n_words, x.n_removed, x.kept_sha256) for x in out.collect()]
+    assert index.version > 6 and len(index.runs["marks"]) <= 2
+    assert sorted(got) == brute_repeats(rows)
+
+
+def test_query_compacts_and_writes_no_run_unread(spark, monkeypatch):
+    made, read = [], []
+    monkeypatch.setattr(substring.WindowIndex, "append", lambda self, *a, f=substring.WindowIndex.append: (made.append(1), f(self, *a))[1])
+    monkeypatch.setattr(substring.WindowIndex, "compact", lambda self, f=substring.WindowIndex.compact: (read.append(1), f(self))[1])
+    rows = [(k, " ".join(f"w{k % 7}-{j}" for j in range(60))) for k in range(50)]
+    substring.remove_repeats(spark.createDataFrame([(k, t + f" x{k}") for k, t in rows], "doc_id long, text string"))
+    assert len(made) == substring.BATCHES - 1 > substring.MAX_RUNS and read
 
 
 def test_bounds_never_lose_a_pair():

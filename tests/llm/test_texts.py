@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trackloom.llm import bpe, fingerprint, langid, quality, tokencount
 
@@ -109,6 +110,60 @@ def test_language_edges(spark):
     assert set(langid.identify(df.withColumn("lang", df.lang.substr(0, 0))).toPandas().lang_pred) >= {"und"}
 
 
+def test_letters_are_letters_and_marks():
+    assert langid.words_of("½ ① Ⅷ ² 12 _ !") == []
+    assert langid.words_of("नमस्ते दुनिया, Straße x²a İ 𝒜b") == ["नमस्ते", "दुनिया", "straße", "x", "a", "i̇", "𝒜b"]
+    model = langid.LanguageModel(["de", "es"], np.full((len(langid.vocabulary(langid.default_path())), 2), 1e-4))
+    assert langid.Scorer(model).score(["½ ① Ⅷ", None, "", "a"])[:3] == [("und", 0.0)] * 3
+
+
+def test_pairwise_fit_equals_brute_force():
+    """The fit's loss over its pairs, summed one by one, is no higher than at points around it."""
+    r = np.random.default_rng(3)
+    y = (r.random(60) < 0.7).astype(int)
+    f = np.zeros((60, len(quality.FEATURES)))
+    f[:, :3] = r.normal(size=(60, 3)) + y[:, None] * 0.5
+    m = quality.fit(f, y, pairs=4, seed=1)
+    x = (f - m.mean) / m.deviation
+    left = np.random.default_rng(1).choice(np.flatnonzero(y == 1), size=((y == 0).sum(), 4)).ravel().tolist()
+    right = np.repeat(np.flatnonzero(y == 0), 4).tolist()
+
+    def loss(w):
+        total = 0.0
+        for a, b in zip(left, right):
+            total -= math.log(1 / (1 + math.exp(-sum((x[a][k] - x[b][k]) * w[k] for k in range(len(w))))))
+        return total / len(left) + quality.RIDGE / 2 * sum(v * v for v in w)
+
+    best = loss(m.weights)
+    assert all(loss(m.weights + r.normal(size=len(m.weights)) * s) >= best for s in (0.001, 0.01, 0.1) for _ in range(20))
+    order = sorted(x @ m.weights)
+    assert order[(y == 0).sum() - 1] <= m.cut <= order[(y == 0).sum()]
+
+
+def test_ngrams_by_hand():
+    import xxhash
+
+    known = {}
+    got = quality.grams("Ab ab C", known)
+    words = [xxhash.xxh64_intdigest(w) for w in (b"ab", b"ab", b"c")]
+    pairs = [((p * 0x9E3779B97F4A7C15 + q) * 0xBF58476D1CE4E5B9) % 2**64 for p, q in zip(words, words[1:])]
+    want = np.zeros(quality.GRAMS)
+    for h in words + pairs:
+        want[h >> (64 - quality.WORD_BITS)] += 1 / 5
+    raw = b"ab ab c"
+    for k in range(5):
+        t = ((raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]) * 2_654_435_761) % 2**32
+        want[(1 << quality.WORD_BITS) + (t >> (32 - quality.BYTE_BITS))] += 1 / 5
+    assert np.allclose(got, np.sqrt(want), atol=1e-6) and not quality.grams(None, known).any()
+
+
+def test_quality_of_very_long_texts_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "fine words here and there " * 40_000), (2, "&&& %%% $$$ !!!")] + [(3, "good plain prose")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == 52 and len({r.score for r in got if r.doc_id == 3}) == 1
+
+
 def test_bradley_terry_ranks_and_cuts():
     r = np.random.default_rng(0)
     y = (r.random(2000) < 0.8).astype(int)
@@ -195,6 +250,21 @@ def test_fingerprint_of_repeated_and_null_ids(spark):
     assert len({x.fingerprint for x in got if x.doc_id == 1}) == 1
 
 
+def test_fingerprints_of_very_many_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "ROWS_A_BUCKET", 20)
+    r = random.Random(8)
+    rows = [(None, "".join(r.choice("abc") for _ in range(30))) for _ in range(300)] + [(k, "t%d" % k) for k in range(50)] + [(None, "same")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = fingerprint.fingerprints(df).collect()
+    assert sorted((-1 if x.doc_id is None else x.doc_id, x.fingerprint) for x in got) == sorted((-1 if i is None else i, fingerprint.fingerprint(t)) for i, t in rows)
+    parts = fingerprint.with_next(df).where("ghost = 0").groupBy(F.spark_partition_id()).count().collect()
+    assert max(p["count"] for p in parts) < 150
+    lone = {x.doc_id: x for x in got if x.doc_id is not None}
+    for k in range(49):
+        t = "t%d" % k
+        assert lone[k].edited_sha256 == hashlib.sha256((t[: len(t) - len(t) // 4] + "t"[: len(t) // 4]).encode()).hexdigest()
+
+
 def test_token_operators_on_edge_rows(spark, library):
     rows = [(1, "a b", 1), (None, "<|endoftext|>x", 2), (3, None, 3), (4, "", 4), (1, "a b", 1), (5, "word " * 40_000, 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
