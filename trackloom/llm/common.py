@@ -12,8 +12,8 @@ from pyspark.sql.types import StructType
 from trackloom.operators.graph import min_labels  # noqa: F401
 from trackloom.session import ship
 
-#: Rows of one Arrow batch; it bounds a Python worker's memory where texts are long.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch; they bound a Python worker's memory where texts are long.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,7 @@ def ready(spark: SparkSession) -> None:
     """Ship the package and bound the Arrow batches; call before any operator that runs Python in tasks."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:

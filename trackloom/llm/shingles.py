@@ -29,7 +29,9 @@ from trackloom.session import discard, materialize
 SHINGLE = 5
 SEED = 42
 #: Shingles that a task counts at once; there are as many groups as the shingles of all texts need.
-COUNTED = 1 << 21
+COUNTED = 1 << 19
+#: Shingles that a task sends on at once.
+POSTED = 1 << 18
 PARITY_BITS = 1024
 TILE = 4096
 PAIRS_AT_ONCE = 1 << 20
@@ -142,18 +144,26 @@ def _shared(docs: DataFrame, groups: int) -> DataFrame:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
+        seen, sets, held = set(), [], 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            n = np.array([len(s) for s, _ in sets], np.uint32)
+            h = np.concatenate([s for s, _ in sets])
+            return _pack((h.view(np.uint64) >> np.uint64(20)) % np.uint64(groups), h, np.repeat(np.array([k for _, k in sets], np.int64), n), np.repeat(n, n))
+
         for b in batches:
-            seen, sets = set(), []
             for t in texts(b):
                 s = shingle_set(t, known)
                 k = _key(s)
                 if k not in seen:
                     seen.add(k)
                     sets.append((s, k))
-            if sets:
-                n = np.array([len(s) for s, _ in sets], np.uint32)
-                h = np.concatenate([s for s, _ in sets])
-                yield from _pack((h.view(np.uint64) >> np.uint64(20)) % np.uint64(groups), h, np.repeat(np.array([k for _, k in sets], np.int64), n), np.repeat(n, n))
+                    held += len(s)
+                if held > POSTED:
+                    yield from packed()
+                    seen, sets, held = set(), [], 0
+        if sets:
+            yield from packed()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, k, n in _unpacked(batches, "i8", "i8", "u4"):
