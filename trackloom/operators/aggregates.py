@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.geo import circular_mean
-from trackloom.sources.standins import oracle, positions, reports, sites, table
+from trackloom.operators.joins import BOXES, box_labels, nearest_attached, within_radius
+from trackloom.operators.tracks import with_previous
+from trackloom.sources.standins import km_sql, oracle, positions, reports, sites, table
 
 T0 = 1_704_067_200.0  # 2024-01-01
 DAY = 86_400.0
@@ -29,7 +33,7 @@ def distinct_counts(log: DataFrame, by: list[str]) -> DataFrame:
         F.countDistinct("entity_id").alias("entities"),
         F.countDistinct(F.when(F.col("on_ground"), F.col("entity_id"))).alias("grounded"),
         F.bool_or(F.coalesce("on_ground", F.lit(False))).alias("any_ground"),
-        F.max("kind").alias("last_kind"),
+        F.max("kind").alias("name"),
     )
 
 
@@ -109,28 +113,55 @@ def ranked_counts(df: DataFrame, by: str, k: int) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(k)
 
 
-def presence(log: DataFrame, regions: DataFrame, now: float, least: int) -> DataFrame:
-    """Distinct entities a region in the last day and the day before; regions at zero are kept, the trend is null when coverage is thin."""
-    last, before = (F.col("ts") > now - DAY) & (F.col("ts") <= now), (F.col("ts") > now - 2 * DAY) & (F.col("ts") <= now - DAY)
-    seen = log.withColumn("region", F.col("entity_id") % 40)
-    counts = seen.groupBy("region").agg(
-        F.countDistinct(F.when(last, F.col("entity_id"))).alias("today"), F.countDistinct(F.when(before, F.col("entity_id"))).alias("day_before"),
-        F.count_if(before).alias("coverage"),
-    )
-    joined = regions.join(counts, "region", "left")
+def presence(log: DataFrame, boxes: dict[str, tuple], now: float, least: int) -> DataFrame:
+    """Distinct entities in each box in the last day and the day before it. Boxes at zero are kept; the trend is null where the feed is thin.
+
+    The feed is thin when either day has under `least` fixes in all, whatever the box.
+    """
+    last, before = F.col("ts") >= now - DAY, (F.col("ts") >= now - 2 * DAY) & (F.col("ts") < now - DAY)
+    recent = log.where((F.col("ts") >= now - 2 * DAY) & (F.col("ts") <= now))
+    feed = recent.agg((F.count_if(last) >= least).alias("a"), (F.count_if(before) >= least).alias("b")).select((F.col("a") & F.col("b")).alias("enough"))
+    counts = box_labels(recent, boxes).groupBy("box").agg(F.countDistinct(F.when(last, F.col("entity_id"))).alias("today"), F.countDistinct(F.when(before, F.col("entity_id"))).alias("day_before"))
+    names = log.sparkSession.createDataFrame([(b,) for b in boxes], "box string")
+    joined = names.join(counts, "box", "left").join(F.broadcast(feed))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    trend = F.when(F.col("coverage") >= least, F.col("today") - F.col("day_before"))
-    return joined.select("region", zero("today"), zero("day_before"), trend.alias("trend"))
+    return joined.select("box", zero("today"), zero("day_before")).join(F.broadcast(feed)).select("box", "today", "day_before", F.when(F.col("enough"), F.col("today") - F.col("day_before")).alias("trend"))
+
 
+def port_presence(log: DataFrame, places: DataFrame, now: float, km: float = 25.0) -> DataFrame:
+    """Distinct entities at each place (the nearest within km of a fix) in the last day and the day before; places with none are left out."""
+    last, before = F.col("ts") >= now - DAY, (F.col("ts") >= now - 2 * DAY) & (F.col("ts") < now - DAY)
+    recent = log.where((F.col("ts") >= now - 2 * DAY) & (F.col("ts") <= now)).select("entity_id", "ts", "lat", "lon")
+    at = nearest_attached(recent, places, km).where("place_id is not null")
+    return at.groupBy("place_id").agg(F.countDistinct(F.when(last, F.col("entity_id"))).alias("today"), F.countDistinct(F.when(before, F.col("entity_id"))).alias("day_before"))
 
-def daily_spine(log: DataFrame, start: float, days: int) -> DataFrame:
-    """A row per day and kind with counted, partial or missing; null where missing, which is not zero."""
+
+def site_counts(events: DataFrame, places: DataFrame, top: int = 30) -> tuple[DataFrame, DataFrame]:
+    """Events within their own radius of each site, the `top` sites; and what was searched: events used, without a radius, without a place.
+
+    events: event_id, lat, lon, radius_km. Each event goes to the cells its radius covers, in one of a few sizes of cells,
+    so a large radius isn't many cells and a small one doesn't meet far sites. places: site_id, lat2, lon2.
+    """
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    sized = placed & F.coalesce(F.col("radius_km") > 0, F.lit(False))
+    searched = events.agg(F.count_if(sized).alias("searched"), F.count_if(placed & ~F.coalesce(F.col("radius_km") > 0, F.lit(False))).alias("without_radius"), F.count_if(~placed).alias("without_place"))
+    hits = None
+    for low, high in ((0.0, 10.0), (10.0, 100.0), (100.0, 1000.0)):
+        part = events.where(sized & (F.col("radius_km") > low) & (F.col("radius_km") <= high)).select("event_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "radius_km")
+        near = within_radius(places.select("site_id", "lat2", "lon2"), part, high, l=("lat2", "lon2"), r=("lat1", "lon1")).where("km <= radius_km").select("site_id")
+        hits = near if hits is None else hits.unionByName(near)
+    ranked = hits.groupBy("site_id").agg(F.count("*").alias("events")).orderBy(F.desc("events"), "site_id").limit(top)
+    return ranked, searched
+
+
+def daily_spine(log: DataFrame, start: float, days: int, whole: int) -> DataFrame:
+    """A row per day and kind with counted, partial (under `whole` rows that day) or missing; null where missing, which is not zero."""
     spark = log.sparkSession
     spine = spark.range(days).select(F.col("id").alias("day")).crossJoin(log.select("kind").distinct())
     of_day = F.floor((F.col("ts") - start) / DAY).cast("long")
     counted = log.withColumn("day", of_day).groupBy("day", "kind").agg(F.countDistinct("entity_id").alias("n"))
     seen = log.withColumn("day", of_day).groupBy("day").agg(F.count("*").alias("all"))
-    state = F.when(F.col("all").isNull(), "missing").when(F.col("all") < 300, "partial").otherwise("counted")
+    state = F.when(F.col("all").isNull(), "missing").when(F.col("all") < whole, "partial").otherwise("counted")
     return spine.join(counted, ["day", "kind"], "left").join(seen, "day", "left").select("day", "kind", F.when(F.col("all").isNotNull(), F.coalesce("n", F.lit(0))).alias("n"), state.alias("state"))
 
 
@@ -213,12 +244,21 @@ def unknown_last(df: DataFrame) -> DataFrame:
     return out.withColumn("place", place)
 
 
-def comparison(df: DataFrame, countries: list[int]) -> DataFrame:
-    """Metrics by country, long; `differs` says whether a metric's values do."""
-    base = df.where(F.col("c_nationkey").isin(countries)).groupBy("c_nationkey").agg(F.count("*").cast("double").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.count_if(F.col("c_acctbal") < 0).cast("double").alias("debtors"))
-    long = base.selectExpr("c_nationkey", "stack(3, 'customers', customers, 'balance', balance, 'debtors', debtors) as (metric, v)")
+#: A metric registry: name -> aggregate of the rows of one group.
+METRICS: dict[str, Callable[[], Column]] = {
+    "customers": lambda: F.count("*").cast("double"), "balance": lambda: F.round(F.sum("c_acctbal"), 2), "debtors": lambda: F.count_if(F.col("c_acctbal") < 0).cast("double"),
+    "richest": lambda: F.max("c_acctbal"), "median": lambda: F.when(F.count("*") >= 3, F.median("c_acctbal")),
+}
+
+
+def comparison(df: DataFrame, by: str, groups: list, metrics: dict[str, Callable[[], Column]]) -> DataFrame:
+    """Named metrics of the chosen groups, long; `differs` says whether a metric's values do, and a group without rows is `not_collected`."""
+    wanted = df.sparkSession.createDataFrame([(g,) for g in groups], f"{by} {df.schema[by].dataType.simpleString()}")
+    base = df.join(F.broadcast(wanted), by).groupBy(by).agg(*[f().alias(m) for m, f in metrics.items()])
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])
+    long = wanted.join(base, by, "left").select(by, F.explode(pairs).alias("p")).select(by, "p.metric", "p.v")
     differs = long.groupBy("metric").agg((F.countDistinct("v") > 1).alias("differs"))
-    return long.join(F.broadcast(differs), "metric")
+    return long.join(F.broadcast(differs), "metric").withColumn("state", F.when(F.col("v").isNull(), "not_collected").otherwise("value"))
 
 
 def choropleth(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -232,8 +272,8 @@ def choropleth(df: DataFrame, by: str, value: str) -> DataFrame:
 
 def counter_rates(log: DataFrame, key: str = "entity_id") -> DataFrame:
     """Rate a second of a counter over its samples, resets counted from zero."""
-    before = F.lag("value").over(Window.partitionBy(key).orderBy("ts", "event_id"))
-    d = log.withColumn("d", F.when(F.col("value") >= before, F.col("value") - before).otherwise(F.when(before.isNotNull(), F.col("value"))))
+    before = F.col("b.value")
+    d = with_previous(log.select(F.col(key).alias("entity_id"), "ts", "event_id", "value"), ["value"]).withColumnRenamed("entity_id", key).withColumn("d", F.when(F.col("value") >= before, F.col("value") - before).otherwise(F.when(before.isNotNull(), F.col("value"))))
     return d.groupBy(key).agg(F.round(F.sum("d") / (F.max("ts") - F.min("ts")), 9).alias("rate"), F.count("*").alias("n"))
 
 
@@ -241,7 +281,17 @@ def dataset_lag(log: DataFrame, now: float) -> DataFrame:
     return log.groupBy("kind").agg(F.bround((F.lit(now) - F.max("ts")) / DAY, 1).alias("lag_days"))
 
 
-_REGIONS = lambda s: s.range(40).select(F.col("id").alias("region"))
+_BOXES = {**BOXES, "nowhere": (80.0, 0.0, 89.0, 1.0)}
+
+
+def _sized(s, d):
+    return reports(s, d).select(F.col("report_id").alias("event_id"), F.when(F.col("report_id") % 13 != 0, F.col("lat")).alias("lat"), "lon", F.element_at(F.array(*map(F.lit, (5.0, 60.0, 400.0, 0.0))), (F.col("report_id") % 4 + 1).cast("int")).alias("radius_km"))
+
+
+def _place2(s, d):
+    return sites(s, d).select("site_id", F.col("site_lat").alias("lat2"), F.col("site_lon").alias("lon2"))
+
+
 QUERIES = {
     "agg_filtered": lambda s, d: filtered_counts(positions(s, d)),
     "agg_distinct_hourly": lambda s, d: distinct_counts(positions(s, d).withColumn("hour", F.floor((F.col("ts") - T0) / 3600)), ["hour"]),
@@ -254,8 +304,11 @@ QUERIES = {
     "agg_escalation": lambda s, d: escalation(reports(s, d), 10_000, least=1, ratio=0.5),
     "agg_spike_verdict": lambda s, d: spike_verdicts(positions(s, d), "entity_id", T0 + 20 * DAY, 5 * DAY),
     "agg_ranked_counts": lambda s, d: ranked_counts(positions(s, d), "entity_id", 30),
-    "agg_presence_trend": lambda s, d: presence(positions(s, d), _REGIONS(s), T0 + 12 * DAY, 8),
-    "agg_daily_spine": lambda s, d: daily_spine(positions(s, d), T0 - 2 * DAY, 34),
+    "agg_presence_trend": lambda s, d: presence(positions(s, d), _BOXES, T0 + 12 * DAY, 30),
+    "agg_port_presence": lambda s, d: port_presence(positions(s, d), sites(s, d).selectExpr("site_id as place_id", "site_lat as place_lat", "site_lon as place_lon"), T0 + 12 * DAY),
+    "agg_site_counts": lambda s, d: site_counts(_sized(s, d), _place2(s, d))[0],
+    "agg_site_coverage": lambda s, d: site_counts(_sized(s, d), _place2(s, d))[1],
+    "agg_daily_spine": lambda s, d: daily_spine(positions(s, d), T0 - 2 * DAY, 34, 300),
     "agg_hourly_series": lambda s, d: hourly_series(positions(s, d), T0),
     "agg_merge_cluster": lambda s, d: merge_cluster(reports(s, d)),
     "agg_excluded_counts": lambda s, d: excluded_counts(reports(s, d)),
@@ -267,7 +320,7 @@ QUERIES = {
     "agg_cell_rollup": lambda s, d: cell_rollup(positions(s, d)),
     "agg_mix": lambda s, d: mix(reports(s, d), "category"),
     "agg_unknown_last": lambda s, d: unknown_last(reports(s, d)),
-    "agg_comparison": lambda s, d: comparison(table(s, d, "customer"), [1, 2, 3, 5]),
+    "agg_comparison": lambda s, d: comparison(table(s, d, "customer"), "c_nationkey", [1, 2, 3, 5, 99], METRICS),
     "agg_choropleth": lambda s, d: choropleth(table(s, d, "customer"), "c_nationkey", "c_acctbal"),
     "agg_counter_rates": lambda s, d: counter_rates(positions(s, d)),
     "agg_dataset_lag": lambda s, d: dataset_lag(positions(s, d), T0 + 40 * DAY),
@@ -277,7 +330,7 @@ QUERIES = {
 _D = str(DAY)
 ORACLES = {
     "agg_filtered": oracle("positions", "SELECT kind, count(*) AS n, count(*) FILTER (speed > 50) AS fast, round(sum(speed) FILTER (on_ground), 4) AS ground_speed, min(altitude) FILTER (NOT on_ground) AS lowest_air FROM positions GROUP BY kind"),
-    "agg_distinct_hourly": oracle("positions", f"SELECT CAST(floor((ts - {T0}) / 3600) AS BIGINT) AS hour, count(DISTINCT entity_id) AS entities, count(DISTINCT entity_id) FILTER (on_ground) AS grounded, bool_or(coalesce(on_ground, false)) AS any_ground, max(kind) AS last_kind FROM positions GROUP BY 1"),
+    "agg_distinct_hourly": oracle("positions", f"SELECT CAST(floor((ts - {T0}) / 3600) AS BIGINT) AS hour, count(DISTINCT entity_id) AS entities, count(DISTINCT entity_id) FILTER (on_ground) AS grounded, bool_or(coalesce(on_ground, false)) AS any_ground, max(kind) AS name FROM positions GROUP BY 1"),
     "agg_speed_stats": oracle("positions", "SELECT entity_id, round(quantile_cont(speed, 0.95), 6) AS p, round(stddev_samp(speed), 6) AS sd, count(*) AS n FROM positions WHERE speed < 102.3 GROUP BY 1"),
     "agg_guarded_median": oracle("reports", "SELECT actor, CASE WHEN count(*) FILTER (mentions > 0) >= 3 THEN median(mentions) FILTER (mentions > 0) END AS median, count(*) FILTER (mentions > 0) AS n FROM reports GROUP BY 1"),
     "agg_nearest_rank": oracle("positions", "SELECT kind, v[CAST(least(n - 1, floor(0.5 * n)) AS BIGINT) + 1] AS p50, v[CAST(least(n - 1, floor(0.95 * n)) AS BIGINT) + 1] AS p95, v[CAST(least(n - 1, floor(0.99 * n)) AS BIGINT) + 1] AS p99 FROM (SELECT kind, list(value ORDER BY value) AS v, count(*) AS n FROM positions GROUP BY 1)"),
@@ -303,11 +356,15 @@ ORACLES = {
     ),
     "agg_ranked_counts": oracle("positions", "SELECT entity_id, count(*) AS n FROM positions GROUP BY 1 ORDER BY n DESC, entity_id LIMIT 30"),
     "agg_presence_trend": oracle(
-        "positions",
-        "SELECT r.region, coalesce(today, 0) AS today, coalesce(day_before, 0) AS day_before, CASE WHEN coverage >= 8 THEN today - day_before END AS trend FROM range(40) r(region) LEFT JOIN c USING (region)",
-        f"""c AS (SELECT entity_id % 40 AS region, count(DISTINCT entity_id) FILTER (ts > {T0 + 11 * DAY} AND ts <= {T0 + 12 * DAY}) AS today, count(DISTINCT entity_id) FILTER (ts > {T0 + 10 * DAY} AND ts <= {T0 + 11 * DAY}) AS day_before,
-        count(*) FILTER (ts > {T0 + 10 * DAY} AND ts <= {T0 + 11 * DAY}) AS coverage FROM positions GROUP BY 1)""",
+        "positions", f"SELECT box, count(DISTINCT entity_id) FILTER (ts >= {T0 + 11 * DAY}) AS today, count(DISTINCT entity_id) FILTER (ts < {T0 + 11 * DAY}) AS day_before, CASE WHEN (SELECT count(*) FILTER (ts >= {T0 + 11 * DAY}) >= 30 AND count(*) FILTER (ts < {T0 + 11 * DAY}) >= 30 FROM r) THEN count(DISTINCT entity_id) FILTER (ts >= {T0 + 11 * DAY}) - count(DISTINCT entity_id) FILTER (ts < {T0 + 11 * DAY}) END AS trend FROM b LEFT JOIN r ON lat BETWEEN s AND n AND lon BETWEEN w AND e GROUP BY 1",
+        f"r AS (SELECT * FROM positions WHERE ts >= {T0 + 10 * DAY} AND ts <= {T0 + 12 * DAY})", f"b(box, s, w, n, e) AS (VALUES {', '.join(str((k, *v)) for k, v in _BOXES.items())})",
+    ),
+    "agg_port_presence": oracle(
+        "positions sites", f"SELECT site_id AS place_id, count(DISTINCT entity_id) FILTER (ts >= {T0 + 11 * DAY}) AS today, count(DISTINCT entity_id) FILTER (ts < {T0 + 11 * DAY}) AS day_before FROM n GROUP BY 1",
+        f"n AS (SELECT * FROM (SELECT event_id, entity_id, ts, site_id, {km_sql('lat', 'lon', 'site_lat', 'site_lon')} AS km FROM positions, sites WHERE ts >= {T0 + 10 * DAY} AND ts <= {T0 + 12 * DAY}) WHERE km <= 25 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(km, 9), site_id DESC) = 1)",
     ),
+    "agg_site_counts": oracle("reports sites", f"SELECT site_id, count(*) AS events FROM (SELECT site_id, {km_sql('lat', 'lon', 'site_lat', 'site_lon')} AS km, [5.0, 60.0, 400.0, 0.0][report_id % 4 + 1] AS r FROM reports, sites WHERE report_id % 13 <> 0) WHERE r > 0 AND km <= r GROUP BY 1 ORDER BY events DESC, site_id LIMIT 30"),
+    "agg_site_coverage": oracle("reports", "SELECT count(*) FILTER (report_id % 13 <> 0 AND report_id % 4 <> 3) AS searched, count(*) FILTER (report_id % 13 <> 0 AND report_id % 4 = 3) AS without_radius, count(*) FILTER (report_id % 13 = 0) AS without_place FROM reports"),
     "agg_daily_spine": oracle(
         "positions",
         "SELECT d.day, k.kind, CASE WHEN a IS NOT NULL THEN coalesce(n, 0) END AS n, CASE WHEN a IS NULL THEN 'missing' WHEN a < 300 THEN 'partial' ELSE 'counted' END AS state FROM range(34) d(day) CROSS JOIN (SELECT DISTINCT kind FROM positions) k LEFT JOIN c ON c.day = d.day AND c.kind = k.kind LEFT JOIN s ON s.day = d.day",
@@ -335,9 +392,10 @@ ORACLES = {
     "agg_cell_rollup": oracle("positions", "SELECT cy, cx, observed, flagged, flagged / observed >= 0.25 AS jammed FROM (SELECT CAST(floor(lat + 1e-9) AS BIGINT) AS cy, CAST(floor(lon + 1e-9) AS BIGINT) AS cx, count(*) AS observed, count(*) FILTER (speed > 100) AS flagged FROM positions GROUP BY ALL)"),
     "agg_mix": oracle("reports", "SELECT category, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT category, count(*) AS n FROM reports GROUP BY 1)"),
     "agg_unknown_last": oracle("reports", "SELECT g, n, CAST(row_number() OVER (ORDER BY g = 'unknown', n DESC, g) AS INT) AS place FROM (SELECT CASE WHEN mentions = 0 THEN 'unknown' ELSE 'm' || mentions END AS g, count(*) AS n FROM reports GROUP BY 1)"),
-    "agg_comparison": """WITH b AS (SELECT c_nationkey, CAST(count(*) AS DOUBLE) AS customers, round(sum(c_acctbal), 2) AS balance, CAST(count(*) FILTER (c_acctbal < 0) AS DOUBLE) AS debtors FROM customer WHERE c_nationkey IN (1, 2, 3, 5) GROUP BY 1),
-        l AS (SELECT c_nationkey, 'customers' AS metric, customers AS v FROM b UNION ALL SELECT c_nationkey, 'balance', balance FROM b UNION ALL SELECT c_nationkey, 'debtors', debtors FROM b)
-        SELECT metric, c_nationkey, v, (SELECT count(DISTINCT x.v) > 1 FROM l x WHERE x.metric = l.metric) AS differs FROM l""",
+    "agg_comparison": """WITH w(c_nationkey) AS (VALUES (1), (2), (3), (5), (99)), b AS (SELECT w.c_nationkey, CASE WHEN count(c_custkey) > 0 THEN CAST(count(c_custkey) AS DOUBLE) END AS customers, round(sum(c_acctbal), 2) AS balance, CASE WHEN count(c_custkey) > 0 THEN CAST(count(*) FILTER (c_acctbal < 0) AS DOUBLE) END AS debtors, max(c_acctbal) AS richest,
+        CASE WHEN count(c_custkey) >= 3 THEN median(c_acctbal) END AS median FROM w LEFT JOIN customer c ON c.c_nationkey = w.c_nationkey GROUP BY 1),
+        l AS (SELECT c_nationkey, unnest(['customers', 'balance', 'debtors', 'richest', 'median']) AS metric, unnest([customers, balance, debtors, richest, median]) AS v FROM b)
+        SELECT metric, c_nationkey, v, (SELECT count(DISTINCT x.v) > 1 FROM l x WHERE x.metric = l.metric) AS differs, CASE WHEN v IS NULL THEN 'not_collected' ELSE 'value' END AS state FROM l""",
     "agg_choropleth": """WITH g AS (SELECT c_nationkey, round(sum(c_acctbal), 4) AS v FROM customer GROUP BY 1), s AS (SELECT *, ln(1 + greatest(v, 0.0)) AS lg FROM g)
         SELECT c_nationkey, v, round(percent_rank() OVER (ORDER BY v), 9) AS rank, round((lg - min(lg) OVER ()) / (max(lg) OVER () - min(lg) OVER ()), 6) AS log_scale FROM s""",
     "agg_counter_rates": oracle("positions", "SELECT entity_id, round(sum(CASE WHEN value >= b THEN value - b WHEN b IS NOT NULL THEN value END) / (max(ts) - min(ts)), 9) AS rate, count(*) AS n FROM (SELECT *, lag(value) OVER (PARTITION BY entity_id ORDER BY ts, event_id) AS b FROM positions) GROUP BY 1"),

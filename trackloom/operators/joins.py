@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from trackloom.functions.geo import EARTH_KM, haversine_km, in_box
 from trackloom.sources.standins import km_sql, oracle, positions, reports, sites, table
 
-CELL = 1.0
 #: Named boxes as (south, west, north, east) for the registered queries.
 BOXES = {"north": (30.0, -60.0, 60.0, 60.0), "middle": (-10.0, -180.0, 35.0, 20.0), "south": (-60.0, -90.0, 0.0, 120.0)}
 
@@ -27,8 +26,21 @@ def _cells(lat: str, lon: str, reach_lat: Column, reach_lon: Column, cell: float
     return F.explode(F.array_distinct(F.flatten(grid)))
 
 
-def within_radius(left: DataFrame, right: DataFrame, km: float, l=("lat", "lon"), r=("lat2", "lon2"), cell: float = CELL) -> DataFrame:
-    """All pairs of left and right rows at most km apart, with their distance. The right side is exploded to the cells it can reach."""
+def cell_for(km: float) -> float:
+    """The cell, in degrees, at which a circle of km spans one cell north and south: an even part of 360, at least 0.001."""
+    return 360 / max(4, min(360_000, math.floor(360 / max(math.degrees(km / EARTH_KM), 1e-9))))
+
+
+def within_radius(left: DataFrame, right: DataFrame, km: float, l=("lat", "lon"), r=("lat2", "lon2"), cell: float | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs of left and right rows at most km apart (and equal in the columns `also`), with their distance. The right side is exploded to the cells it can reach."""
+    cell = cell or cell_for(km)
+    across = int(round(360 / cell))
+    placed = left.withColumn("_cy", F.floor(F.col(l[0]) / cell).cast("int")).withColumn("_cx", F.pmod(F.floor(F.col(l[1]) / cell).cast("int"), F.lit(across)))
+    return placed.join(_spread(right, km, r, cell), ["_cy", "_cx", *also]).withColumn("km", haversine_km(*l, *r)).where(F.col("km") <= km).drop("_cy", "_cx")
+
+
+def _spread(right: DataFrame, km: float, r: tuple[str, str], cell: float) -> DataFrame:
+    """Rows copied to every cell (_cy, _cx) that a circle of km around them can touch."""
     across = int(round(360 / cell))
     angle = math.degrees(km / EARTH_KM)
     up = F.lit(math.ceil(angle / cell))
@@ -36,9 +48,33 @@ def within_radius(left: DataFrame, right: DataFrame, km: float, l=("lat", "lon")
     sine = math.sin(math.radians(min(angle, 90.0))) / F.cos(F.radians(F.col(r[0])))
     wide = F.when(F.abs(F.col(r[0])) + angle < 90, F.degrees(F.asin(F.least(sine, F.lit(1.0))))).otherwise(F.lit(180.0))
     aside = F.least(F.ceil(wide / cell).cast("int"), F.lit(across // 2))
-    spread = right.withColumn("_c", _cells(*r, up, aside, cell)).withColumn("_cy", F.col("_c.cy")).withColumn("_cx", F.col("_c.cx")).drop("_c")
-    placed = left.withColumn("_cy", F.floor(F.col(l[0]) / cell).cast("int")).withColumn("_cx", F.pmod(F.floor(F.col(l[1]) / cell).cast("int"), F.lit(across)))
-    return placed.join(spread, ["_cy", "_cx"]).withColumn("km", haversine_km(*l, *r)).where(F.col("km") <= km).drop("_cy", "_cx")
+    return right.withColumn("_c", _cells(*r, up, aside, cell)).withColumn("_cy", F.col("_c.cy")).withColumn("_cx", F.col("_c.cx")).drop("_c")
+
+
+def nearest_attached(rows: DataFrame, places: DataFrame, km: float, out: str = "place") -> DataFrame:
+    """Rows (lat, lon) with the id and distance of the nearest place (place_id, place_lat, place_lon) within km, null where there is none.
+
+    Each cell holds the places that reach it as one array, so a row meets one row and nothing is grouped after the join:
+    it also serves streams. Places are a dimension: a cell's array is as long as places are dense. Ties go to the greater id.
+    """
+    cell = cell_for(km)
+    across = int(round(360 / cell))
+    reach = _spread(places.select("place_id", F.col("place_lat").alias("lat2"), F.col("place_lon").alias("lon2")), km, ("lat2", "lon2"), cell)
+    table_ = reach.groupBy("_cy", "_cx").agg(F.collect_list(F.struct("place_id", "lat2", "lon2")).alias("_near"))
+    placed = rows.withColumn("_cy", F.floor(F.col("lat") / cell).cast("int")).withColumn("_cx", F.pmod(F.floor(F.col("lon") / cell).cast("int"), F.lit(across)))
+    away = F.transform("_near", lambda p: F.struct(haversine_km(F.col("lat"), F.col("lon"), p["lat2"], p["lon2"]).alias("km"), (-p["place_id"]).alias("neg")))
+    best = F.array_min(F.transform(F.filter(away, lambda p: p["km"] <= km), lambda p: F.struct(F.round(p["km"], 9).alias("r"), p["neg"].alias("neg"), p["km"].alias("km"))))
+    joined = placed.join(table_, ["_cy", "_cx"], "left").withColumn("_best", best)
+    return joined.select(*rows.columns, (-F.col("_best.neg")).alias(f"{out}_id"), F.col("_best.km").alias(f"{out}_km"))
+
+
+def nearest_of_list(rows: DataFrame, places: list[tuple], km: float, most: int = 1000) -> DataFrame:
+    """Rows with the nearest of a short literal list of (id, lat, lon) within km; of equal ones the later. A longer list is refused."""
+    if len(places) > most:
+        raise ValueError(f"more than {most} places: use nearest()")
+    every = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(-k).alias("k"), haversine_km("lat", "lon", float(y), float(x)).alias("km")) for k, (i, y, x) in enumerate(places)])
+    near = F.transform(F.filter(every, lambda p: p["km"] <= km), lambda p: F.struct(p["km"], p["k"], p["id"]))
+    return rows.withColumn("_near", F.array_min(near)).withColumn("near_id", F.col("_near.id")).withColumn("near_km", F.col("_near.km")).drop("_near")
 
 
 def nearest(left: DataFrame, right: DataFrame, km: float, key: str, right_key: str, **names) -> DataFrame:
@@ -92,23 +128,60 @@ def mutual_twins(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
     return pick.groupBy("a_id").agg(F.min_by(F.struct("b_id", "km"), F.struct("km", "b_id")).alias("r")).select("a_id", "r.b_id", "r.km")
 
 
-def close_pairs(df: DataFrame, km: float, key: str = "site_id") -> DataFrame:
-    """Unordered pairs of different rows at most km apart."""
-    right = df.select(F.col(key).alias("other"), F.col("site_lat").alias("lat2"), F.col("site_lon").alias("lon2"))
-    pairs = within_radius(df, right, km, l=("site_lat", "site_lon"))
-    return pairs.where(F.col(key) < F.col("other")).select(F.col(key), "other", F.round("km", 6).alias("km"))
+def stationary_pairs(latest: DataFrame, places: DataFrame, now: float, km: float = 0.5, knots: float = 1.0, hours: float = 1.0, clear_km: float = 25.0, cap: int | None = None) -> DataFrame:
+    """Vessels lying alongside each other away from any place: pairs (a_id < b_id) at most km apart.
+
+    latest: entity_id, lat, lon, speed, moored, moved_at. Both are at most at `knots`, not moored, have not moved for
+    `hours`, and have no place (lat2, lon2) within clear_km. With a cap, the longest together are kept.
+    """
+    still = latest.withColumn("still_hours", (F.lit(now) - F.coalesce("moved_at", F.lit(now))) / 3600)
+    calm = still.where((F.col("speed") <= knots) & ~F.coalesce("moored", F.lit(False)) & (F.col("still_hours") >= hours) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    at_place = within_radius(calm, places.select("lat2", "lon2"), clear_km).select("entity_id").distinct()
+    free = calm.join(at_place, "entity_id", "left_anti").select("entity_id", "lat", "lon", "still_hours")
+    other = free.select(F.col("entity_id").alias("b_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("still_hours").alias("b_still"))
+    pairs = within_radius(free.withColumnRenamed("entity_id", "a_id"), other, km).where("a_id < b_id")
+    out = pairs.select("a_id", "b_id", ((F.col("lat") + F.col("lat2")) / 2).alias("lat"), ((F.col("lon") + F.col("lon2")) / 2).alias("lon"), F.rint(F.col("km") * 1000).cast("long").alias("separation_m"), F.bround(F.least("still_hours", "b_still"), 1).alias("together_hours"))
+    return out if cap is None else out.orderBy(F.desc("together_hours"), "a_id", "b_id").limit(cap)
 
 
 def corroborated(df: DataFrame, degrees: float = 0.5, days: int = 2) -> DataFrame:
-    """For each report the sorted sources of other reports within the box and days. Meets on half-degree cells and day blocks."""
+    """For each report the sorted sources of other reports within the box and days.
+
+    Reports meet on cells of the box and blocks of days. One side goes to its own cell and the half of the neighbours
+    that come after it, so each pair is met once and then told to both.
+    """
     k = lambda c, w: F.floor(F.col(c) / w).cast("int")
-    left = df.select("report_id", "lat", "lon", "day", k("lat", degrees).alias("cy"), k("lon", degrees).alias("cx"), k("day", days).alias("cd"))
-    near = F.explode(F.expr("flatten(transform(array(-1, 0, 1), j -> flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), d -> named_struct('cy', cy + j, 'cx', cx + i, 'cd', cd + d))))))"))
-    right = df.select(F.col("report_id").alias("rid"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("day").alias("day2"), "category", k("lat", degrees).alias("cy"), k("lon", degrees).alias("cx"), k("day", days).alias("cd"))
-    right = right.withColumn("c", near).drop("cy", "cx", "cd").select("*", "c.*").drop("c")
+    base = df.select("report_id", "lat", "lon", "day", "category", k("lat", degrees).alias("cy"), k("lon", degrees).alias("cx"), k("day", days).alias("cd"))
+    steps = [(j, i, d) for j in (-1, 0, 1) for i in (-1, 0, 1) for d in (-1, 0, 1) if (j, i, d) >= (0, 0, 0)]
+    near = F.explode(F.array(*[F.struct((F.col("cy") + j).alias("cy"), (F.col("cx") + i).alias("cx"), (F.col("cd") + d).alias("cd"), F.lit((j, i, d) == (0, 0, 0)).alias("own")) for j, i, d in steps]))
+    right = base.select(F.col("report_id").alias("rid"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("day").alias("day2"), F.col("category").alias("category2"), near.alias("c")).select("*", "c.*").drop("c")
     close = (F.abs(F.col("lat") - F.col("lat2")) <= degrees) & (F.abs(F.col("lon") - F.col("lon2")) <= degrees) & (F.abs(F.col("day") - F.col("day2")) <= days)
-    hit = left.join(right, ["cy", "cx", "cd"]).where(close & (F.col("report_id") != F.col("rid")))
-    return hit.groupBy("report_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("category"))).alias("sources"), F.countDistinct("rid").alias("n"))
+    hit = base.join(right, ["cy", "cx", "cd"]).where(close & F.when(F.col("own"), F.col("report_id") < F.col("rid")).otherwise(True))
+    both = hit.select(F.explode(F.array(F.struct(F.col("report_id").alias("id"), F.col("category2").alias("source")), F.struct(F.col("rid").alias("id"), F.col("category").alias("source")))).alias("x"))
+    counted = both.groupBy("x.id", "x.source").agg(F.count("*").alias("n"))
+    return counted.groupBy(F.col("id").alias("report_id")).agg(F.concat_ws(",", F.array_sort(F.collect_list("source"))).alias("sources"), F.sum("n").alias("n"))
+
+
+def name_join(df: DataFrame, dim: DataFrame, name: str, value: str) -> DataFrame:
+    """df with the value of the dimension's row of that name, else of the row whose folded name is the same; matched says which.
+
+    Of several rows of a name (or a folded one) the first by `ordinal` counts. Names are folded once each, not per row.
+    """
+    from trackloom.operators.gazetteer import folded
+
+    exact = dim.groupBy(name).agg(F.min_by(value, "ordinal").alias("_exact"))
+    fuzzy = folded(dim.select(name, value, "ordinal"), name, "_key").where("_key is not null and _key <> ''").groupBy("_key").agg(F.min_by(value, "ordinal").alias("_fuzzy"))
+    keyed = folded(df, name, "_key").join(exact, name, "left").join(fuzzy, "_key", "left")
+    matched = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_fuzzy").isNotNull(), "normalised").otherwise("none")
+    return keyed.withColumn(value, F.coalesce("_exact", "_fuzzy")).withColumn("matched", matched).drop("_exact", "_fuzzy", "_key")
+
+
+def hex_allocation(df: DataFrame, address: str, blocks: DataFrame, block: int = 1 << 12) -> DataFrame:
+    """df with the country and military flag of the smallest address block (start, finish, country, military) that holds its hexadecimal address."""
+    keyed = df.withColumn("_value", F.conv(F.trim(F.col(address)), 16, 10).cast("long"))
+    asked = keyed.select(F.col("_value").alias("value")).where("value is not null").distinct()
+    hit = smallest_range(asked, blocks.withColumn("range_id", F.struct("country", "military")), block).select("value", "range_id.*")
+    return keyed.join(hit, F.col("_value") == F.col("value"), "left").drop("_value", "value")
 
 
 def priority_lookup(df: DataFrame, steps: list[tuple[str, DataFrame, str]], value: str) -> DataFrame:
@@ -150,13 +223,23 @@ def _grp(s, d):
 
 
 def _targets(s, d):
-    return positions(s, d).where("event_id % 37 = 0").select(F.col("event_id").alias("target"), "entity_id", F.col("ts").alias("before"))
+    return positions(s, d).select(F.col("event_id").alias("target"), "entity_id", F.col("ts").alias("before"))
+
+
+#: Fixed "now" of the registered queries, and the pair distance that fits the stand-in log.
+NOW, PAIR_KM = 1_706_700_000.0, 3.0
+
+
+def vessels(s, d):
+    """The stand-in log as vessels of their own: slow ones, some moored."""
+    return positions(s, d).select(F.col("event_id").alias("entity_id"), "lat", "lon", (F.col("speed") / 40).alias("speed"), (F.col("event_id") % 7 == 0).alias("moored"), F.when(F.col("event_id") % 9 != 0, F.col("ts")).alias("moved_at"))
 
 
 def _site2(s, d):
     return sites(s, d).select("site_id", F.col("site_lat").alias("lat2"), F.col("site_lon").alias("lon2"))
 
 
+_LIST = [(1, 12.0, 30.0), (2, -35.5, 120.25), (3, 12.0, 30.0), (4, 55.0, -60.0), (5, 0.5, -10.0)]
 QUERIES = {
     "join_lookup": lambda s, d: positions(s, d).join(table(s, d, "customer").select(F.col("c_custkey").alias("entity_id"), "c_name", "c_mktsegment"), "entity_id", "left").select("event_id", F.coalesce("c_name", F.lit("?")).alias("name"), "c_mktsegment"),
     "join_look_back": lambda s, d: look_back(_targets(s, d), positions(s, d), 5 * 86_400.0),
@@ -167,7 +250,11 @@ QUERIES = {
     "join_radius": lambda s, d: within_radius(positions(s, d), _site2(s, d), 400.0).select("event_id", "site_id", F.round("km", 6).alias("km")),
     "join_unambiguous": lambda s, d: unambiguous(positions(s, d), _site2(s, d), 150.0, "event_id", "site_id"),
     "join_mutual_twins": lambda s, d: mutual_twins(sites(s, d).select(F.col("site_id").alias("a_id"), F.col("site_lat").alias("a_lat"), F.col("site_lon").alias("a_lon")), positions(s, d).select(F.col("event_id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")), 120.0),
-    "join_close_pairs": lambda s, d: close_pairs(sites(s, d), 2500.0),
+    "join_close_pairs": lambda s, d: stationary_pairs(vessels(s, d), _site2(s, d), NOW, PAIR_KM).select("a_id", "b_id", "separation_m", "together_hours"),
+    "join_nearest_attached": lambda s, d: nearest_attached(positions(s, d).select("event_id", "lat", "lon"), _site2(s, d).selectExpr("site_id as place_id", "lat2 as place_lat", "lon2 as place_lon"), 40.0).select("event_id", "place_id", F.round("place_km", 6).alias("place_km")),
+    "join_nearest_of_list": lambda s, d: nearest_of_list(positions(s, d).select("event_id", "lat", "lon"), _LIST, 900.0).select("event_id", "near_id", F.round("near_km", 6).alias("near_km")),
+    "join_names": lambda s, d: name_join(table(s, d, "part").selectExpr("p_partkey", "if(p_partkey % 3 = 0, upper(p_name), p_name) as name"), table(s, d, "part").where("p_size > 5").selectExpr("if(p_partkey % 2 = 0, p_name, concat(' ', replace(p_name, ' ', '-'))) as name", "p_brand as label", "p_partkey as ordinal"), "name", "label").select("p_partkey", "label", "matched"),
+    "join_hex_allocation": lambda s, d: hex_allocation(positions(s, d).select("event_id", F.lower(F.hex((F.col("event_id") * 3) % 2100)).alias("hex")), "hex", table(s, d, "part").selectExpr("p_partkey as start", "p_partkey + p_size as finish", "p_brand as country", "p_size % 2 = 0 as military")).select("event_id", "country", "military"),
     "join_corroborated": lambda s, d: corroborated(reports(s, d)),
     "join_priority": lambda s, d: priority_lookup(
         reports(s, d).select("report_id", "actor", F.col("mentions").alias("m"), "day"),
@@ -187,7 +274,7 @@ ORACLES = {
     "join_lookup": oracle("positions", "SELECT event_id, coalesce(c_name, '?') AS name, c_mktsegment FROM positions LEFT JOIN customer ON c_custkey = entity_id"),
     "join_look_back": oracle(
         "positions", "SELECT t.target, t.entity_id, count(h.ts) AS n, round(quantile_cont(h.speed, 0.95), 6) AS p95 FROM t LEFT JOIN positions h ON h.entity_id = t.entity_id AND h.ts <= t.before AND h.ts >= t.before - 432000 GROUP BY ALL",
-        "t AS (SELECT event_id AS target, entity_id, ts AS before FROM positions WHERE event_id % 37 = 0)",
+        "t AS (SELECT event_id AS target, entity_id, ts AS before FROM positions)",
     ),
     "join_smallest_range": """WITH v AS (SELECT DISTINCT o_orderkey % 2100 AS value FROM orders)
         SELECT value, p_partkey AS range_id, p_partkey AS start, p_partkey + p_size AS finish FROM v LEFT JOIN part ON value BETWEEN p_partkey AND p_partkey + p_size QUALIFY row_number() OVER (PARTITION BY value ORDER BY p_size, p_partkey) = 1""",
@@ -200,7 +287,17 @@ ORACLES = {
         "positions sites", "SELECT a_id, b_id, km FROM n QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY km, b_id) = 1",
         f"n AS (SELECT event_id AS b_id, site_id AS a_id, round(km, 6) AS km FROM (SELECT event_id, site_id, {_KM} AS km FROM positions p, sites s) WHERE km <= 120 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(km, 9), site_id DESC) = 1)",
     ),
-    "join_close_pairs": oracle("sites", f"SELECT site_id, other, round(km, 6) AS km FROM (SELECT a.site_id, b.site_id AS other, {km_sql('a.site_lat', 'a.site_lon', 'b.site_lat', 'b.site_lon')} AS km FROM sites a JOIN sites b ON a.site_id < b.site_id) WHERE km <= 2500"),
+    "join_close_pairs": oracle(
+        "positions sites", f"SELECT a_id, b_id, CAST(round_even(km * 1000, 0) AS BIGINT) AS separation_m, round_even(least(x, y), 1) AS together_hours FROM (SELECT a.event_id AS a_id, b.event_id AS b_id, a.h AS x, b.h AS y, {km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km FROM f a JOIN f b ON a.event_id < b.event_id AND floor(a.lat * 10) BETWEEN floor(b.lat * 10) - 1 AND floor(b.lat * 10) + 1) WHERE km <= {PAIR_KM}",
+        f"c AS (SELECT event_id, lat, lon, ({NOW} - ts) / 3600 AS h FROM positions WHERE speed / 40 <= 1 AND event_id % 7 <> 0 AND event_id % 9 <> 0 AND ({NOW} - ts) / 3600 >= 1)",
+        f"f AS (SELECT * FROM c p WHERE NOT EXISTS (SELECT 1 FROM sites s WHERE {_KM} <= 25))",
+    ),
+    "join_nearest_attached": oracle("positions sites", f"SELECT p.event_id, n.site_id AS place_id, round(n.km, 6) AS place_km FROM positions p LEFT JOIN n USING (event_id)", f"n AS (SELECT event_id, site_id, km FROM (SELECT event_id, site_id, {_KM} AS km FROM positions p, sites s) WHERE km <= 40 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(km, 9), site_id DESC) = 1)"),
+    "join_nearest_of_list": oracle("positions", f"SELECT p.event_id, id AS near_id, round(km, 6) AS near_km FROM positions p LEFT JOIN n USING (event_id)", f"l(id, y, x) AS (VALUES {', '.join(f'({i}, {y}::DOUBLE, {x}::DOUBLE)' for i, y, x in _LIST)})", f"n AS (SELECT event_id, id, km FROM (SELECT event_id, id, {km_sql('lat', 'lon', 'y', 'x')} AS km FROM positions, l) WHERE km <= 900 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY km, id DESC) = 1)"),
+    "join_names": """WITH d AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE ' ' || replace(p_name, ' ', '-') END AS name, p_brand AS label, p_partkey AS o FROM part WHERE p_size > 5), e AS (SELECT name, arg_min(label, o) AS label FROM d GROUP BY 1),
+        z AS (SELECT trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS k, arg_min(label, o) AS label FROM d GROUP BY 1), p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS name FROM part)
+        SELECT p_partkey, coalesce(e.label, z.label) AS label, CASE WHEN e.label IS NOT NULL THEN 'exact' WHEN z.label IS NOT NULL THEN 'normalised' ELSE 'none' END AS matched FROM p LEFT JOIN e ON e.name = p.name LEFT JOIN z ON z.k = trim(regexp_replace(lower(p.name), '[^a-z0-9]+', ' ', 'g'))""",
+    "join_hex_allocation": "SELECT event_id, p_brand AS country, p_size % 2 = 0 AS military FROM events LEFT JOIN part ON (event_id * 3) % 2100 BETWEEN p_partkey AND p_partkey + p_size QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY p_size, p_partkey) = 1",
     "join_corroborated": oracle("reports", "SELECT a.report_id, string_agg(DISTINCT b.category, ',' ORDER BY b.category) AS sources, count(DISTINCT b.report_id) AS n FROM reports a JOIN reports b ON abs(a.lat - b.lat) <= 0.5 AND abs(a.lon - b.lon) <= 0.5 AND abs(a.day - b.day) <= 2 AND a.report_id <> b.report_id GROUP BY 1"),
     "join_priority": oracle("reports", "SELECT report_id, coalesce(c_name, n_name) AS label, CASE WHEN c_name IS NOT NULL THEN 'actor' WHEN n_name IS NOT NULL THEN 'm' END AS matched_on FROM reports LEFT JOIN customer ON c_custkey = actor AND c_custkey % 3 = 0 LEFT JOIN nation ON n_nationkey = mentions AND n_nationkey % 2 = 0"),
     "join_longest_prefix": """WITH d AS (SELECT CAST(p_partkey AS VARCHAR) AS prefix, p_brand AS label FROM part WHERE p_partkey < 200 AND p_partkey % 3 = 1), c AS (SELECT CAST(p_partkey AS VARCHAR) AS code FROM part)

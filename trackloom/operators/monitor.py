@@ -7,43 +7,54 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.geo import in_box, in_box_wrapped
 from trackloom.operators.joins import BOXES
+from trackloom.operators.tracks import running_sum, with_previous
 from trackloom.operators.windows import state_at
-from trackloom.sources.standins import oracle, positions, reports, sites
+from trackloom.sources.standins import oracle, positions
 
 T0 = 1_704_067_200.0
-RULES = [  # (rule, kind, test, threshold, box)
-    ("fast_north", "view", "enter", 60.0, (30.0, -180.0, 90.0, 180.0)),
-    ("pacific_count", "click", "count", 3.0, (-60.0, 150.0, 60.0, -120.0)),
-    ("errors", "error", "enter", 0.0, (-90.0, -180.0, 90.0, 180.0)),
+RULE_SCHEMA = "rule string, layer string, enabled boolean, test string, n long, field string, threshold double, code string, south double, west double, north double, east double, country string"
+#: Rules are rows: enter, count_exceeds (n), score_above (field, threshold) or squawk_equals (code), in a box, a country or anywhere.
+RULES = [
+    ("north", "view", True, "enter", None, None, None, None, 30.0, -180.0, 90.0, 180.0, None), ("pacific", "click", True, "count_exceeds", 1, None, None, None, -60.0, 150.0, 60.0, -120.0, None),
+    ("many", "view", True, "count_exceeds", 1_000_000, None, None, None, None, None, None, None, None), ("fast", "error", True, "score_above", None, "speed", 60.0, None, None, None, None, None, None),
+    ("low", "view", True, "score_above", None, "altitude", 1500.0, None, None, None, None, None, "3"), ("code", "click", True, "squawk_equals", None, None, None, "7700", None, None, None, None, None),
+    ("off", "view", False, "enter", None, None, None, None, None, None, None, None, None),
 ]
+#: Rules are broadcast; more than this many are refused.
+MOST_RULES = 10_000
 
 
-def evaluate_rules(latest: DataFrame, rules: list[tuple]) -> DataFrame:
-    """Firings of a short literal list of rules: `enter` names each entity, `count` one subject once enough are inside."""
-    out = None
-    for name, kind, test, threshold, box in rules:
-        inside = latest.where((F.col("kind") == kind) & in_box_wrapped("lat", "lon", box))
-        if test == "enter":
-            hit = inside.where(F.col("speed") >= threshold).select(F.lit(name).alias("rule"), F.col("entity_id").cast("string").alias("subject"), F.lit(1).cast("long").alias("n"))
-        else:
-            hit = inside.agg(F.count("*").alias("n")).where(F.col("n") >= threshold).select(F.lit(name).alias("rule"), F.lit("*").alias("subject"), "n")
-        out = hit if out is None else out.unionByName(hit)
-    return out
+def evaluate_rules(latest: DataFrame, rules: list[tuple], fields: tuple[str, ...]) -> DataFrame:
+    """What fires now: (rule, subject, n), subject `*` for counts. latest: entity_id, layer, lat, lon, country, squawk and the numeric fields.
+
+    Enabled rules meet the entities of their layer; one without a fence takes all, one with a fence only those placed in
+    it (a box may span the antimeridian). count_exceeds fires above n, score_above above the threshold; null values never fire.
+    """
+    if len(rules) > MOST_RULES:
+        raise ValueError(f"at most {MOST_RULES} rules")
+    r = latest.sparkSession.createDataFrame(rules, RULE_SCHEMA).where("enabled")
+    boxed = F.col("south").isNotNull()
+    fenced = F.when(boxed, F.coalesce(in_box_wrapped("lat", "lon", tuple(F.col(c) for c in ("south", "west", "north", "east"))), F.lit(False))).when(r["country"].isNotNull(), F.coalesce(latest["country"] == r["country"], F.lit(False))).otherwise(True)
+    inside = latest.join(F.broadcast(r), "layer").where(fenced)
+    value = F.coalesce(*[F.when(F.col("field") == f, F.col(f).cast("double")) for f in fields], F.lit(None).cast("double"))
+    fires = F.when(F.col("test") == "enter", True).when(F.col("test") == "score_above", value > F.col("threshold")).when(F.col("test") == "squawk_equals", F.col("squawk") == F.col("code")).otherwise(False)
+    each = inside.where(F.coalesce(fires, F.lit(False))).select("rule", F.col("entity_id").cast("string").alias("subject"), F.lit(1).cast("long").alias("n"))
+    counts = inside.where("test = 'count_exceeds'").groupBy("rule").agg(F.count("*").alias("k"), F.max("n").alias("most")).where("k > most").select("rule", F.lit("*").alias("subject"), F.col("k").alias("n"))
+    return each.unionByName(counts)
 
 
 def emergencies(log: DataFrame) -> DataFrame:
     """Spells of an unchanged signature: when each was first and last seen, by gaps and islands."""
-    w = Window.partitionBy("entity_id").orderBy("ts", "event_id")
     sig = F.when(F.col("kind") == "error", F.concat(F.lit("e"), F.floor(F.col("value") / 40).cast("string")))
-    marked = log.withColumn("sig", sig).withColumn("new", ~F.col("sig").eqNullSafe(F.lag("sig").over(w)) & F.col("sig").isNotNull())
-    spells = marked.withColumn("spell", F.sum(F.col("new").cast("int")).over(w)).where("sig is not null")
+    marked = with_previous(log.select("entity_id", "event_id", "ts", sig.alias("sig")), ["sig"])
+    spells = running_sum(marked, ~F.col("sig").eqNullSafe(F.col("b.sig")) & F.col("sig").isNotNull(), "spell").where("sig is not null")
     return spells.groupBy("entity_id", "spell", "sig").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("n"))
 
 
 def trails(log: DataFrame, keep: int) -> DataFrame:
     """The last `keep` fixes of each entity at which it had moved, newest first."""
-    w = Window.partitionBy("entity_id").orderBy("ts", "event_id")
-    moved = log.withColumn("b", F.lag(F.struct(F.floor("lat").alias("y"), F.floor("lon").alias("x"))).over(w)).where(F.col("b").isNull() | (F.col("b.y") != F.floor("lat")) | (F.col("b.x") != F.floor("lon")))
+    placed = log.select("entity_id", "event_id", "ts", F.floor("lat").alias("y"), F.floor("lon").alias("x"))
+    moved = with_previous(placed, ["y", "x"]).where(F.col("b").isNull() | (F.col("b.y") != F.col("y")) | (F.col("b.x") != F.col("x")))
     n = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("ts"), F.desc("event_id")))
     return moved.withColumn("n", n).where(F.col("n") <= keep).select("entity_id", "n", "event_id")
 
@@ -81,39 +92,31 @@ def histogram_quantile(log: DataFrame, q: float, bounds: list[float]) -> DataFra
     return hit.select("kind", F.round(lower + (F.col("le") - lower) * (rank - (F.col("upto") - F.col("n"))) / F.col("n"), 6).alias("quantile"))
 
 
-def attributed(df: DataFrame, places: DataFrame) -> DataFrame:
-    """Counters of how reports got a country: contained in a cell of its own, snapped to a near one, or not at all."""
-    cell = lambda a, b: (F.floor(F.col(a)).alias("cy"), F.floor(F.col(b)).alias("cx"))
-    own = places.select(*cell("site_lat", "site_lon"), "country").groupBy("cy", "cx").agg(F.min("country").alias("own"))
-    near = own.select(F.explode(F.expr("transform(array(-1, 1), i -> cy + i)")).alias("cy"), "cx", F.col("own").alias("near")).groupBy("cy", "cx").agg(F.min("near").alias("near"))
-    j = df.select("report_id", *cell("lat", "lon")).join(own, ["cy", "cx"], "left").join(near, ["cy", "cx"], "left")
-    how = F.when(F.col("own").isNotNull(), "contained").when(F.col("near").isNotNull(), "snapped").otherwise("none")
-    return j.select(how.alias("how"), F.coalesce("own", "near").alias("country")).groupBy("how", "country").agg(F.count("*").alias("n"))
-
-
 def _latest(s, d):
     p = positions(s, d)
-    return p.groupBy("entity_id").agg(F.max_by(F.struct("kind", "lat", "lon", "speed", "event_id"), F.struct("ts", "event_id")).alias("r")).select("entity_id", "r.*")
+    last = p.groupBy("entity_id").agg(F.max_by(F.struct("kind", "lat", "lon", "speed", "altitude", "event_id"), F.struct("ts", "event_id")).alias("r")).select("entity_id", "r.*")
+    return last.withColumnRenamed("kind", "layer").withColumn("country", (F.col("entity_id") % 5).cast("string")).withColumn("squawk", F.when(F.col("event_id") % 3 == 0, "7700").otherwise("1200"))
 
 
 _BOX = BOXES["middle"]
 QUERIES = {
-    "alert_rules": lambda s, d: evaluate_rules(_latest(s, d), RULES),
+    "alert_rules": lambda s, d: evaluate_rules(_latest(s, d), RULES, ("speed", "altitude")),
     "alert_emergencies": lambda s, d: emergencies(positions(s, d)),
     "trail_tail": lambda s, d: trails(positions(s, d).withColumn("lat", F.col("lat") + F.col("event_id") % 3), 8),
     "trail_arrivals": lambda s, d: arrivals(positions(s, d).where(F.col("ts") >= T0 + 28 * 86_400).select("entity_id", "kind").distinct(), positions(s, d).where((F.col("ts") < T0 + 5 * 86_400) & (F.col("kind") == "view")).select("entity_id").distinct(), "entity_id"),
     "replay_status": lambda s, d: replay_status(positions(s, d), T0 + 86_400 / 2, 3_600.0, ["view", "click", "error", "absent"]),
     "layer_status": lambda s, d: layer_status(positions(s, d), _BOX, T0 + 30 * 86_400, 3_600.0),
     "monitor_quantile": lambda s, d: histogram_quantile(positions(s, d), 0.9, [5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0]),
-    "attribution_counters": lambda s, d: attributed(reports(s, d), sites(s, d)),
 }
 _L = "l AS (SELECT * FROM positions QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, event_id DESC) = 1)"
 ORACLES = {
     "alert_rules": oracle(
         "positions",
-        """SELECT 'fast_north' AS rule, CAST(entity_id AS VARCHAR) AS subject, 1 AS n FROM l WHERE kind = 'view' AND lat >= 30 AND speed >= 60
-        UNION ALL SELECT 'pacific_count', '*', count(*) FROM l WHERE kind = 'click' AND lat BETWEEN -60 AND 60 AND (lon >= 150 OR lon <= -120) HAVING count(*) >= 3
-        UNION ALL SELECT 'errors', CAST(entity_id AS VARCHAR), 1 FROM l WHERE kind = 'error' AND speed >= 0""", _L,
+        """SELECT 'north' AS rule, CAST(entity_id AS VARCHAR) AS subject, 1 AS n FROM l WHERE kind = 'view' AND lat BETWEEN 30 AND 90 AND lon BETWEEN -180 AND 180
+        UNION ALL SELECT 'pacific', '*', count(*) FROM l WHERE kind = 'click' AND lat BETWEEN -60 AND 60 AND (lon >= 150 OR lon <= -120) HAVING count(*) > 1
+        UNION ALL SELECT 'fast', CAST(entity_id AS VARCHAR), 1 FROM l WHERE kind = 'error' AND speed > 60
+        UNION ALL SELECT 'low', CAST(entity_id AS VARCHAR), 1 FROM l WHERE kind = 'view' AND altitude > 1500 AND entity_id % 5 = 3
+        UNION ALL SELECT 'code', CAST(entity_id AS VARCHAR), 1 FROM l WHERE kind = 'click' AND event_id % 3 = 0""", _L,
     ),
     "alert_emergencies": oracle(
         "positions", "SELECT entity_id, spell, sig, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM (SELECT *, CAST(sum(CAST(sig IS DISTINCT FROM b AND sig IS NOT NULL AS INT)) OVER (PARTITION BY entity_id ORDER BY ts, event_id) AS BIGINT) AS spell FROM b) WHERE sig IS NOT NULL GROUP BY ALL",
@@ -136,8 +139,4 @@ ORACLES = {
         "c AS (SELECT kind, lo, le, count(*) AS n FROM positions JOIN b ON value > lo AND value <= le GROUP BY ALL)",
         "u AS (SELECT *, sum(n) OVER (PARTITION BY kind ORDER BY le) AS upto, sum(n) OVER (PARTITION BY kind) AS total FROM c)",
     ),
-    "attribution_counters": oracle(
-        "reports sites", "SELECT CASE WHEN own IS NOT NULL THEN 'contained' WHEN near IS NOT NULL THEN 'snapped' ELSE 'none' END AS how, coalesce(own, near) AS country, count(*) AS n FROM reports LEFT JOIN o ON o.cy = floor(lat) AND o.cx = floor(lon) LEFT JOIN x ON x.cy = floor(lat) AND x.cx = floor(lon) GROUP BY ALL",
-        "o AS (SELECT floor(site_lat) AS cy, floor(site_lon) AS cx, min(country) AS own FROM sites GROUP BY ALL)", "x AS (SELECT cy, cx, min(own) AS near FROM (SELECT cy + 1 AS cy, cx, own FROM o UNION ALL SELECT cy - 1, cx, own FROM o) GROUP BY ALL)",
-    ),
 }

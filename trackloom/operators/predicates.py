@@ -98,6 +98,38 @@ def capped_kinds(df: DataFrame, by: str, caps: dict[str, int]) -> DataFrame:
     return df.groupBy(by).agg(F.count("*").alias("n")).join(F.broadcast(dim), by, "left").select(by, "n", F.coalesce(F.col("n") >= F.col("cap"), F.lit(False)).alias("partial"))
 
 
+#: The precisions that place a report no better than an area.
+IMPRECISE = ("country", "region", "unknown")
+
+
+def event_filter(df: DataFrame, today: int, max_age: int | None = 2, least: int = 0, imprecise: bool = False, sure: float = 0.0) -> DataFrame:
+    """The reader's event filter: precision, severity and age in whole days; rows of no known day pass. `dimmed` marks doubtful placements.
+
+    df: severity, precision, day, confidence. A null severity is 0; rows without a confidence are never dimmed.
+    """
+    keep = F.coalesce(F.col("severity"), F.lit(0)) >= least
+    if not imprecise:
+        keep = keep & ~F.coalesce(F.col("precision").isin(*IMPRECISE), F.lit(False))
+    if max_age is not None:
+        keep = keep & F.coalesce(F.greatest(F.lit(today) - F.col("day"), F.lit(0)) <= max_age, F.lit(True))
+    return df.where(keep).withColumn("dimmed", F.coalesce(F.col("confidence") < sure, F.lit(False)) if sure > 0 else F.lit(False))
+
+
+def grid_view(cells: DataFrame, least: int, box: tuple | None = None) -> DataFrame:
+    """Stored grid cells (lat, lon, transits, sum_sin, sum_cos) with `least` transits or more, in a view; the mean course is null where the vectors cancel."""
+    seen = cells.where(F.col("transits") >= least)
+    if box:
+        seen = seen.where(in_box("lat", "lon", box))
+    flat = (F.col("sum_sin") == 0) & (F.col("sum_cos") == 0)
+    return seen.withColumn("course", F.when(~flat, F.pmod(F.degrees(F.atan2("sum_sin", "sum_cos")), F.lit(360.0))))
+
+
+def _gridded(s, d):
+    from trackloom.operators.aggregates import lane_cells
+
+    return lane_cells(positions(s, d), 0.5).drop("course").withColumn("lat", F.col("cy") * 0.5 + 0.25).withColumn("lon", F.col("cx") * 0.5 + 0.25)
+
+
 _BOX = intersect_boxes(REGION, VIEW)
 QUERIES = {
     "filter_box": lambda s, d: positions(s, d).where(in_box("lat", "lon", _BOX)).select("event_id", "lat", "lon"),
@@ -116,6 +148,10 @@ QUERIES = {
     "filter_precision_policy": lambda s, d: collapse_imprecise(reports(s, d), F.col("status") == "P"),
     "filter_any_field": lambda s, d: any_field(table(s, d, "part").select("p_partkey", "p_name", "p_brand", "p_type"), ["p_name", "p_brand", "p_type"], "Eco"),
     "filter_payload": lambda s, d: table(s, d, "events").withColumn("k", payload_number(F.col("props"), "k")).where("k >= 50").select("event_id", "k"),
+    "filter_events": lambda s, d: event_filter(
+        reports(s, d).selectExpr("report_id", "if(mentions = 0, null, mentions * 10) as severity", "element_at(array('country', 'locality', null, 'unknown', 'capital'), cast(actor % 5 + 1 as int)) as precision", "if(report_id % 7 = 0, null, day) as day", "if(report_id % 3 = 0, null, cast(actor % 100 as double)) as confidence"),
+        10_000, 400, 20, sure=55.0).select("report_id", "dimmed"),
+    "filter_grid_view": lambda s, d: grid_view(_gridded(s, d), 2, REGION).select("cy", "cx", "transits", F.round("course", 4).alias("course")),
     "filter_capped": lambda s, d: capped_kinds(positions(s, d), "kind", {"view": 100, "click": 100_000_000}),
     "filter_latest_scan": lambda s, d: positions(s, d).where("kind = 'view'").groupBy("entity_id").agg(F.max("ts").alias("last_ts"), F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")),
     "filter_clips": lambda s, d: positions(s, d).where((F.col("ts") > 1_705_000_000.0) & (in_box("lat", "lon", REGION) | in_box("lat", "lon", (40.0, 60.0, 60.0, 120.0))) & F.col("kind").isin("view", "click")).select("event_id"),
@@ -140,6 +176,11 @@ ORACLES = {
     "filter_precision_policy": oracle("reports", "SELECT actor, day, report_id, severity, mentions, 1 AS merged FROM reports WHERE status <> 'P' UNION ALL SELECT actor, day, arg_max(report_id, {'s': severity, 'r': -report_id}), max(severity), max(mentions), count(*) FROM reports WHERE status = 'P' GROUP BY ALL"),
     "filter_any_field": "SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE contains(lower(p_name), 'eco') OR contains(lower(p_brand), 'eco') OR contains(lower(p_type), 'eco')",
     "filter_payload": "SELECT event_id, CAST(props ->> 'k' AS DOUBLE) AS k FROM events WHERE TRY_CAST(props ->> 'k' AS DOUBLE) >= 50",
+    "filter_events": oracle("reports", "SELECT report_id, report_id % 3 <> 0 AND actor % 100 < 55 AS dimmed FROM reports WHERE mentions >= 2 AND actor % 5 IN (1, 2, 4) AND (report_id % 7 = 0 OR greatest(10000 - day, 0) <= 400)"),
+    "filter_grid_view": oracle(
+        "positions", f"SELECT cy, cx, transits, round(CASE WHEN s <> 0 OR c <> 0 THEN ((degrees(atan2(s, c)) % 360) + 360) % 360 END, 4) AS course FROM g WHERE transits >= 2 AND {_in(REGION).replace('lat', '(cy * 0.5 + 0.25)').replace('lon', '(cx * 0.5 + 0.25)')}",
+        "g AS (SELECT CAST(floor(lat / 0.5 + 1e-9) AS BIGINT) AS cy, CAST(floor(lon / 0.5 + 1e-9) AS BIGINT) AS cx, count(DISTINCT entity_id) AS transits, round(sum(sin(radians(course))) FILTER (course < 360), 6) AS s, round(sum(cos(radians(course))) FILTER (course < 360), 6) AS c FROM positions GROUP BY ALL)",
+    ),
     "filter_capped": oracle("positions", "SELECT kind, count(*) AS n, kind = 'view' AND count(*) >= 100 AS partial FROM positions GROUP BY 1"),
     "filter_latest_scan": oracle("positions", "SELECT entity_id, max(ts) AS last_ts, arg_max(event_id, {'t': ts, 'e': event_id}) AS event_id FROM positions WHERE kind = 'view' GROUP BY 1"),
     "filter_clips": oracle("positions", f"SELECT event_id FROM positions WHERE ts > 1705000000.0 AND (({_in(REGION)}) OR ({_in((40.0, 60.0, 60.0, 120.0))})) AND kind IN ('view', 'click')"),

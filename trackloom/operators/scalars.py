@@ -8,25 +8,55 @@ from pyspark.sql import functions as F
 from trackloom.functions.geo import destination, initial_bearing, lon_reach, planar_km, wrap_lon
 from trackloom.sources.standins import oracle, positions, reports, sites, table
 
-#: Base severity by class of report, longest key first when matching.
-SEVERITY_BASE = {"1-URGENT": 80, "2-HIGH": 60, "3-MEDIUM": 40, "4-NOT SPECIFIED": 20, "5-LOW": 10}
-
-
-def severity(category: Column, mentions: Column, weight: Column) -> Column:
-    """0 to 100: a base by class, plus a capped root of the weight and a capped log of the mentions, truncated."""
-    base = F.coalesce(*[F.when(F.contains(category, F.lit(k)), F.lit(float(v))) for k, v in sorted(SEVERITY_BASE.items(), key=lambda x: -len(x[0]))], F.lit(0.0))
-    raw = base + F.least(F.sqrt(F.greatest(weight, F.lit(0.0)) / 1000) * 8 / 10, F.lit(30.0)) + F.least(F.log10(mentions + 1.0) * 18, F.lit(22.0))
-    return F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0)).cast("int")
-
-
-def reliability(tier: Column, breadth: Column, penalty: Column) -> Column:
-    """1 to 99: a base by tier, capped log breadth, less penalties; halves round to even."""
-    base = F.when(tier == 0, 88.0).when(tier == 1, 82.0).when(tier == 2, 60.0).when(tier == 3, 20.0).otherwise(10.0)
-    return F.least(F.greatest(F.bround(base + F.least(F.log10(breadth + 1.0) * 10, F.lit(12.0)) - penalty), F.lit(1.0)), F.lit(99.0)).cast("int")
+#: Base severity by the label of an event; the longest label that the event's own holds counts.
+SEVERITY_BASE = {
+    "Ethnic cleansing": 50, "Mass killing": 50, "Weapons of mass destruction": 55, "Mass expulsion": 45, "Mass violence": 45, "One-sided violence": 45, "Unconventional mass violence": 45,
+    "Suicide bombing": 45, "Aerial bombardment": 45, "Violence against civilians": 40, "State-based armed conflict": 40, "Artillery or armour": 40, "Vehicle bombing": 40, "Roadside bombing": 38,
+    "Assassination": 38, "Bombing": 38, "Blockade or siege": 36, "Small-arms fighting": 35, "Fighting": 35, "Non-state conflict": 35, "Battle": 35, "Explosion": 35, "Ceasefire violation": 33, "Killing": 33,
+    "Abduction or hostage-taking": 32, "Occupation of territory": 30, "Assault": 30, "Physical assault": 30, "Use of conventional force": 28, "Unconventional violence": 28,
+}
+#: The base of other labels, what confidence a location's precision leaves, and reliability by tier of the best outlet.
+SEVERITY_OTHER = 20.0
+PRECISION_CONFIDENCE = {"country": 0.70, "capital": 0.70, "region": 0.85, "unknown": 0.80, "locality": 1.0}
+RELIABILITY_BASE = {1: 82.0, 2: 60.0, 3: 20.0}
+
+
+def severity(label: Column, fatalities: Column, outlets: Column, datasets: Column, has_notes: Column, goldstein: Column, jamming: Column, thermal: Column, precision: Column | None = None) -> Column:
+    """0 to 100, truncated: (base by label + dead + reach + headline + hostility) times confidence, plus evidence.
+
+    Confidence is 1 with three outlets, .88 with two, else 1 if a second dataset has it and .7 if not; .92 of that without
+    notes. A precision column applies PRECISION_CONFIDENCE too (the policy `demote`). Nulls count as 0, false or one dataset.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    low, sets = F.lower(F.trim(label)), F.greatest(zero(datasets), F.lit(1))
+    base = F.coalesce(*[F.when(F.contains(low, F.lit(k.lower())), F.lit(float(v))) for k, v in sorted(SEVERITY_BASE.items(), key=lambda x: -len(x[0]))], F.lit(SEVERITY_OTHER))
+    size = base + F.least(F.sqrt(zero(fatalities)) * 8, F.lit(30.0)) + F.least(F.log10(zero(outlets) + 1.0) * 18, F.lit(22.0)) + F.when(no(has_notes), 6.0).otherwise(0.0)
+    size = size + F.least(F.greatest(-zero(goldstein), F.lit(0.0)), F.lit(10.0)) * 0.5
+    sure = F.when(zero(outlets) >= 3, 1.0).when(zero(outlets) == 2, 0.88).when(sets > 1, 1.0).otherwise(0.7)
+    if precision is not None:
+        sure = sure * F.coalesce(*[F.when(precision == k, F.lit(v)) for k, v in PRECISION_CONFIDENCE.items()], F.lit(1.0))
+    sure = sure * F.when(no(has_notes), 1.0).otherwise(0.92)
+    evidence = F.least((sets - 1) * 10.0, F.lit(20.0)) + F.when(no(jamming), 10.0).otherwise(0.0) + F.when(no(thermal), 8.0).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(size * sure + evidence, F.lit(100.0))).cast("int")
+
+
+def reliability(structured: Column, tier: Column, outlets: Column, datasets: Column, has_notes: Column, doubted: Column, non_news: Column, months: Column) -> Column:
+    """1 to 99, halves rounded to even: a base by who reported, plus capped reach (log10 of the outlets, of two or more) and a second dataset, less penalties.
+
+    tier is that of the best outlet, null where there is none; months is the age of the address, null where it isn't known.
+    """
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    by_tier = F.coalesce(*[F.when(tier == k, F.lit(v)) for k, v in RELIABILITY_BASE.items()])
+    score = F.when(no(structured), 88.0).otherwise(F.coalesce(by_tier, F.lit(10.0))) + F.when(zero(outlets) > 1, F.least(F.log10(zero(outlets).cast("double")) * 14, F.lit(12.0))).otherwise(0.0)
+    score = score + F.when(zero(datasets) > 1, 8.0).otherwise(0.0) - F.when(no(has_notes), 0.0).otherwise(10.0) - F.when(no(doubted), 12.0).otherwise(0.0) - F.when(no(non_news), 18.0).otherwise(0.0)
+    score = score - F.when(zero(months) >= 1, F.least(months * 5.0, F.lit(20.0))).otherwise(0.0)
+    return F.greatest(F.lit(1.0), F.least(F.bround(score), F.lit(99.0))).cast("int")
 
 
 def band(score: Column) -> Column:
-    return F.when(score >= 70, "high").when(score >= 45, "medium").when(score >= 25, "low").otherwise("poor")
+    return F.when(score >= 70, "high").when(score >= 45, "medium").when(score >= 25, "low").otherwise("very_low")
 
 
 def speed_or_null(v: Column) -> Column:
@@ -82,17 +112,6 @@ def age_opacity(hours: Column) -> Column:
     return F.floor(raw / 0.05 + 0.5) * 5 / 100
 
 
-def sun_elevation(lat: Column, lon: Column, ts: Column) -> Column:
-    """Degrees of the sun above the horizon, by the low-precision solar position formulas."""
-    d = ts / 86_400 + 2_440_587.5 - 2_451_545.0
-    g, q = F.radians(357.529 + 0.98560028 * d), 280.459 + 0.98564736 * d
-    lam, eps = F.radians(q + 1.915 * F.sin(g) + 0.020 * F.sin(2 * g)), F.radians(23.439 - 0.00000036 * d)
-    dec, ra = F.asin(F.sin(eps) * F.sin(lam)), F.atan2(F.cos(eps) * F.sin(lam), F.cos(lam))
-    gmst = F.pmod(18.697374558 + 24.06570982441908 * d, F.lit(24.0))
-    hour = F.radians(gmst * 15 + lon) - ra
-    return F.degrees(F.asin(F.sin(F.radians(lat)) * F.sin(dec) + F.cos(F.radians(lat)) * F.cos(dec) * F.cos(hour)))
-
-
 def parse_dms(text: Column) -> Column:
     """Decimal degrees of `12 34 56 S`-like text."""
     g = lambda k: F.regexp_extract(text, r"^\s*(\d+)\D+(\d+)\D+(\d+)\D*([NSEW])", k)
@@ -119,28 +138,33 @@ def in_ring(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(False), lambda acc, i: acc != F.coalesce(crosses(i), F.lit(False)))
 
 
-def polygon_join(points: DataFrame, polygons: DataFrame) -> DataFrame:
-    """The smallest polygon (id, ring, south, west, north, east) each point lies in, by one-degree cells of the boxes, then rays."""
-    k = lambda c: F.floor(F.col(c)).cast("int")
-    cells = polygons.withColumn("area", ring_area(F.col("ring"))).withColumn("cy", F.explode(F.sequence(k("south"), k("north")))).withColumn("cx", F.explode(F.sequence(k("west"), k("east"))))
-    hit = points.withColumn("cy", k("lat")).withColumn("cx", k("lon")).join(cells, ["cy", "cx"]).where(in_ring(F.col("ring"), F.col("lon"), F.col("lat")))
-    return hit.groupBy("event_id").agg(F.min_by("id", F.struct(F.round("area", 9), "id")).alias("polygon"))
+_DMS = lambda: F.concat_ws(" ", (F.col("event_id") % 180).cast("string"), (F.col("event_id") % 60).cast("string"), (F.col("event_id") % 59).cast("string"), F.element_at(F.array(*map(F.lit, "NSEW")), (F.col("event_id") % 4 + 1).cast("int")))
+_GRADED = ("label", "dead", "outlets", "datasets", "has_notes", "goldstein", "jamming", "thermal")
+_JUDGED = ("structured", "tier", "outlets", "datasets", "has_notes", "doubted", "non_news", "months")
+_LABELS = ("Battle", " small-arms fighting near", "Suicide bombing", "unconventional mass violence", "Protest", "Killing")
+_RING = lambda: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((-100, -40), (80, -30), (20, 0), (90, 45), (-60, 30))])
 
 
-def _polygons(s, d):
-    """Hexagon-like rings around sites, of two sizes."""
-    r = F.when(F.col("site_id") % 2 == 0, 0.6).otherwise(1.1)
-    corners = [(1.0, 0.0), (0.5, 0.8), (-0.5, 0.8), (-1.0, 0.0), (-0.5, -0.8), (0.5, -0.8)]
-    ring = F.array(*[F.struct((F.col("site_lon") + r * x).alias("x"), (F.col("site_lat") + r * y).alias("y")) for x, y in corners])
-    return sites(s, d).select(F.col("site_id").alias("id"), ring.alias("ring"), (F.col("site_lat") - r).alias("south"), (F.col("site_lon") - r).alias("west"), (F.col("site_lat") + r).alias("north"), (F.col("site_lon") + r).alias("east"))
+def _graded(s, d):
+    label = F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("report_id") % len(_LABELS) + 1).cast("int"))
+    return reports(s, d).select(
+        "report_id", label.alias("label"), F.expr("nullif(mentions * 2, 0)").alias("dead"), (F.col("actor") % 5).alias("outlets"), F.expr("nullif(report_id % 4, 0)").alias("datasets"), (F.col("report_id") % 3 != 0).alias("has_notes"),
+        (F.col("actor") % 21 - 10.0).alias("goldstein"), (F.col("report_id") % 7 == 0).alias("jamming"), (F.col("report_id") % 11 == 0).alias("thermal"), F.expr("element_at(array('country', 'region', 'locality', null), cast(actor % 4 + 1 as int))").alias("precision"),
+    )
+
+
+def _judged(s, d):
+    return reports(s, d).select(
+        "report_id", (F.col("report_id") % 9 == 0).alias("structured"), F.expr("nullif(mentions % 4, 0)").alias("tier"), (F.col("actor") % 12).alias("outlets"), (F.col("report_id") % 3).alias("datasets"), (F.col("report_id") % 5 != 0).alias("has_notes"),
+        (F.col("actor") % 7 == 0).alias("doubted"), (F.col("actor") % 11 == 0).alias("non_news"), F.expr("nullif(report_id % 6, 3)").alias("months"),
+    )
 
 
-_DMS = lambda: F.concat_ws(" ", (F.col("event_id") % 180).cast("string"), (F.col("event_id") % 60).cast("string"), (F.col("event_id") % 59).cast("string"), F.element_at(F.array(*map(F.lit, "NSEW")), (F.col("event_id") % 4 + 1).cast("int")))
 QUERIES = {
     "fn_bearing": lambda s, d: sites(s, d).select("site_id", F.round(initial_bearing("site_lat", "site_lon", 10.0, 20.0), 6).alias("bearing"), *[F.round(c, 6).alias(n) for c, n in zip(destination("site_lat", "site_lon", 75.0, 300.0), ("to_lat", "to_lon"))]),
     "fn_planar": lambda s, d: positions(s, d).select("event_id", F.round(planar_km("lat", "lon", 5.0, 6.0), 6).alias("km"), F.round(wrap_lon(F.col("lon") * 3), 6).alias("wrapped"), lon_reach("lat", 250.0, 0.5).alias("reach")),
-    "fn_severity": lambda s, d: reports(s, d).select("report_id", severity(F.col("category"), F.col("mentions"), F.col("severity")).alias("score")),
-    "fn_reliability": lambda s, d: reports(s, d).withColumn("score", reliability(F.col("mentions") % 5, F.col("mentions"), (F.col("report_id") % 4).cast("double"))).select("report_id", "score", band(F.col("score")).alias("band")),
+    "fn_severity": lambda s, d: _graded(s, d).select("report_id", severity(*[F.col(c) for c in _GRADED], precision=F.col("precision")).alias("score")),
+    "fn_reliability": lambda s, d: _judged(s, d).select("report_id", reliability(*[F.col(c) for c in _JUDGED]).alias("score")).withColumn("band", band(F.col("score"))),
     "fn_sentinels": lambda s, d: positions(s, d).select("event_id", speed_or_null(F.col("speed")).alias("speed"), course_or_null(F.col("course").cast("double")).alias("course"), ship_class(F.col("ship_type")).alias("class")),
     "fn_urls": lambda s, d: table(s, d, "pages").select("page_id", host(F.col("url")).alias("host"), strip_tracking(F.col("url")).alias("clean")),
     "fn_largest_number": lambda s, d: table(s, d, "documents").select("doc_id", largest_number(F.col("text"), r"(?<!\w)(\d{1,6})(?!\w)").alias("n")),
@@ -148,10 +172,8 @@ QUERIES = {
     "fn_unpack_eta": lambda s, d: positions(s, d).withColumn("p", (F.col("event_id") * 977) % 1_048_576).select("event_id", *[c.cast("long").alias(n) for c, n in zip(unpack_eta(F.col("p")), ("month", "day", "hour", "minute"))]),
     "fn_dates": lambda s, d: table(s, d, "orders").select("o_orderkey", F.datediff(any_date(F.expr("case o_orderkey % 4 when 0 then date_format(o_orderdate, 'yyyy-MM-dd') when 1 then date_format(o_orderdate, 'yyyyMMdd') when 2 then date_format(o_orderdate, 'dd.MM.yyyy') else 'soon' end")), F.lit("1970-01-01").cast("date")).alias("day")),
     "fn_age_opacity": lambda s, d: positions(s, d).select("event_id", age_opacity(F.col("speed")).alias("opacity")),
-    "fn_sun": lambda s, d: positions(s, d).select("event_id", F.round(sun_elevation(F.col("lat"), F.col("lon"), F.col("ts")), 6).alias("elevation")),
     "fn_dms": lambda s, d: positions(s, d).select("event_id", F.round(parse_dms(_DMS()), 9).alias("degrees")),
-    "fn_ring_area": lambda s, d: _polygons(s, d).select("id", F.round(ring_area(F.col("ring")), 6).alias("area")),
-    "join_polygons": lambda s, d: polygon_join(positions(s, d), _polygons(s, d)),
+    "fn_in_ring": lambda s, d: reports(s, d).select("report_id", in_ring(_RING(), F.col("lon"), F.col("lat")).alias("inside")),
     "fn_templates": lambda s, d: reports(s, d).select("report_id", F.concat_ws(" ", F.initcap(F.lower("status")), F.when(F.col("mentions") > 0, F.concat(F.lit("seen by "), F.col("mentions").cast("string"))), F.concat(F.lit("("), F.lower("category"), F.lit(")"))).alias("sentence")),
     "fn_keywords": lambda s, d: table(s, d, "documents").select("doc_id", F.when(F.col("text").rlike("(?i)license|copyright"), "legal").when(F.col("text").rlike(r"[\w.]+@[\w.]+"), "contact").when(F.col("text").rlike("token|secret|key"), "secret").otherwise("plain").alias("kind")),
 }
@@ -159,16 +181,22 @@ QUERIES = {
 _BR = lambda a, b, c, d: f"(((degrees(atan2(sin(radians({d}) - radians({b})) * cos(radians({c})), cos(radians({a})) * sin(radians({c})) - sin(radians({a})) * cos(radians({c})) * cos(radians({d}) - radians({b})))) % 360) + 360) % 360)"
 _A = "asin(sin(radians(site_lat)) * cos(300.0::DOUBLE / 6371.0088) + cos(radians(site_lat)) * sin(300.0::DOUBLE / 6371.0088) * cos(radians(75.0)))"
 _O = f"degrees(radians(site_lon) + atan2(sin(radians(75.0)) * sin(300.0::DOUBLE / 6371.0088) * cos(radians(site_lat)), cos(300.0::DOUBLE / 6371.0088) - sin(radians(site_lat)) * sin({_A})))"
-_POLY = """poly AS (SELECT site_id AS id, site_lon AS cx, site_lat AS cy, CASE WHEN site_id % 2 = 0 THEN 0.6 ELSE 1.1 END::DOUBLE AS r FROM sites),
-corners AS (SELECT * FROM (VALUES (0, 1.0, 0.0), (1, 0.5, 0.8), (2, -0.5, 0.8), (3, -1.0, 0.0), (4, -0.5, -0.8), (5, 0.5, -0.8)) t(k, dx, dy)),
-pts AS (SELECT id, k, cx + r * dx::DOUBLE AS x, cy + r * dy::DOUBLE AS y FROM poly, corners),
-edges AS (SELECT a.id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM pts a JOIN pts b ON a.id = b.id AND b.k = (a.k + 1) % 6),
-areas AS (SELECT id, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area FROM edges GROUP BY 1)"""
 ORACLES = {
     "fn_bearing": oracle("sites", f"SELECT site_id, round({_BR('site_lat', 'site_lon', '10.0', '20.0')}, 6) AS bearing, round(degrees({_A}), 6) AS to_lat, round((({_O} + 180) % 360 + 360) % 360 - 180, 6) AS to_lon FROM sites"),
     "fn_planar": oracle("positions", "SELECT event_id, round(111.32 * sqrt(power(5.0 - lat, 2) + power((6.0 - lon) * cos(radians((lat + 5.0) / 2)), 2)), 6) AS km, round(((lon * 3 + 180) % 360 + 360) % 360 - 180, 6) AS wrapped, CAST(ceil(250.0 / (111.32 * greatest(cos(radians(lat)), 0.1) * 0.5)) AS INT) AS reach FROM positions"),
-    "fn_severity": oracle("reports", "SELECT report_id, CAST(trunc(least(100, greatest(0, CASE category WHEN '1-URGENT' THEN 80 WHEN '2-HIGH' THEN 60 WHEN '3-MEDIUM' THEN 40 WHEN '4-NOT SPECIFIED' THEN 20 WHEN '5-LOW' THEN 10 ELSE 0 END + least(sqrt(greatest(severity, 0) / 1000) * 8 / 10, 30) + least(log10(mentions + 1) * 18, 22)))) AS INT) AS score FROM reports"),
-    "fn_reliability": oracle("reports", "SELECT report_id, score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 45 THEN 'medium' WHEN score >= 25 THEN 'low' ELSE 'poor' END AS band FROM (SELECT report_id, CAST(least(99, greatest(1, round_even(CASE mentions % 5 WHEN 0 THEN 88 WHEN 1 THEN 82 WHEN 2 THEN 60 WHEN 3 THEN 20 ELSE 10 END + least(log10(mentions + 1) * 10, 12) - report_id % 4, 0))) AS INT) AS score FROM reports)"),
+    "fn_severity": oracle(
+        "reports",
+        """SELECT report_id, CAST(trunc(greatest(0, least((base + least(sqrt(mentions * 2) * 8, 30) + least(log10(actor % 5 + 1) * 18, 22) + n * 6 + least(greatest(-(actor % 21 - 10), 0), 10) * 0.5::DOUBLE)
+        * CASE WHEN actor % 5 >= 3 THEN 1.0 WHEN actor % 5 = 2 THEN 0.88 WHEN sets > 1 THEN 1.0 ELSE 0.7 END::DOUBLE * CASE actor % 4 WHEN 0 THEN 0.7 WHEN 1 THEN 0.85 ELSE 1.0 END::DOUBLE * CASE WHEN n = 1 THEN 1.0 ELSE 0.92 END::DOUBLE
+        + least((sets - 1) * 10, 20) + CASE WHEN report_id % 7 = 0 THEN 10 ELSE 0 END + CASE WHEN report_id % 11 = 0 THEN 8 ELSE 0 END, 100))) AS INT) AS score
+        FROM (SELECT *, CASE report_id % 6 WHEN 0 THEN 35 WHEN 1 THEN 35 WHEN 2 THEN 45 WHEN 3 THEN 45 WHEN 4 THEN 20 ELSE 33 END AS base, greatest(report_id % 4, 1) AS sets, CASE WHEN report_id % 3 <> 0 THEN 1 ELSE 0 END AS n FROM reports)""",
+    ),
+    "fn_reliability": oracle(
+        "reports",
+        """SELECT report_id, score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 45 THEN 'medium' WHEN score >= 25 THEN 'low' ELSE 'very_low' END AS band FROM (SELECT report_id, CAST(greatest(1, least(99, round_even(
+        CASE WHEN report_id % 9 = 0 THEN 88 ELSE CASE mentions % 4 WHEN 1 THEN 82 WHEN 2 THEN 60 WHEN 3 THEN 20 ELSE 10 END END + CASE WHEN actor % 12 > 1 THEN least(log10(actor % 12) * 14, 12) ELSE 0 END + CASE WHEN report_id % 3 > 1 THEN 8 ELSE 0 END
+        - CASE WHEN report_id % 5 = 0 THEN 10 ELSE 0 END - CASE WHEN actor % 7 = 0 THEN 12 ELSE 0 END - CASE WHEN actor % 11 = 0 THEN 18 ELSE 0 END - CASE WHEN report_id % 6 IN (1, 2, 4, 5) THEN least(report_id % 6 * 5, 20) ELSE 0 END, 0))) AS INT) AS score FROM reports)""",
+    ),
     "fn_sentinels": oracle("positions", "SELECT event_id, CASE WHEN speed < 102.3 THEN speed END AS speed, CASE WHEN course < 360 THEN CAST(course AS DOUBLE) END AS course, CASE WHEN ship_type BETWEEN 60 AND 69 THEN 'passenger' WHEN ship_type BETWEEN 70 AND 79 THEN 'cargo' WHEN ship_type BETWEEN 80 AND 89 THEN 'tanker' WHEN ship_type = 30 THEN 'fishing' WHEN ship_type = 35 THEN 'military' ELSE 'other' END AS class FROM positions"),
     "fn_urls": r"SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)), '^www\.', ''), '') AS host, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])(utm_[a-z]+|ref)=[^&]*', '\1', 'g'), '&&+', '&', 'g'), '[?&]+$', '') AS clean FROM pages",
     "fn_largest_number": r"SELECT doc_id, list_max(list_transform(regexp_extract_all(text, '\b(\d{1,6})\b', 1), lambda x: CAST(x AS BIGINT))) AS n FROM documents",
@@ -176,17 +204,10 @@ ORACLES = {
     "fn_unpack_eta": "SELECT event_id, nullif((p >> 16) & 15, 0) AS month, nullif((p >> 11) & 31, 0) AS day, CASE WHEN (p >> 6) & 31 < 24 THEN (p >> 6) & 31 END AS hour, CASE WHEN p & 63 < 60 THEN p & 63 END AS minute FROM (SELECT event_id, (event_id * 977) % 1048576 AS p FROM events)",
     "fn_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS INT) END AS day FROM orders",
     "fn_age_opacity": oracle("positions", "SELECT event_id, floor(CASE WHEN speed <= 6 THEN 1.0::DOUBLE WHEN speed >= 72 THEN 0.3::DOUBLE ELSE 1 - 0.7::DOUBLE * (speed - 6) / 66 END / 0.05::DOUBLE + 0.5::DOUBLE) * 5 / 100 AS opacity FROM positions"),
-    "fn_sun": oracle(
-        "positions", "SELECT event_id, round(degrees(asin(sin(radians(lat)) * sin(dec) + cos(radians(lat)) * cos(dec) * cos(radians(((18.697374558::DOUBLE + 24.06570982441908::DOUBLE * d) % 24 + 24) % 24 * 15 + lon) - ra))), 6) AS elevation FROM s",
-        "d AS (SELECT *, ts / 86400 + 2440587.5::DOUBLE - 2451545.0::DOUBLE AS d FROM positions)",
-        "l AS (SELECT *, radians(280.459::DOUBLE + 0.98564736::DOUBLE * d + 1.915::DOUBLE * sin(radians(357.529::DOUBLE + 0.98560028::DOUBLE * d)) + 0.020::DOUBLE * sin(2 * radians(357.529::DOUBLE + 0.98560028::DOUBLE * d))) AS lam, radians(23.439::DOUBLE - 0.00000036::DOUBLE * d) AS eps FROM d)",
-        "s AS (SELECT *, asin(sin(eps) * sin(lam)) AS dec, atan2(cos(eps) * sin(lam), cos(lam)) AS ra FROM l)",
-    ),
     "fn_dms": "SELECT event_id, round(CASE WHEN event_id % 4 IN (1, 3) THEN -1 ELSE 1 END * ((event_id % 180)::DOUBLE + (event_id % 60)::DOUBLE / 60 + (event_id % 59)::DOUBLE / 3600), 9) AS degrees FROM events",
-    "fn_ring_area": oracle("sites", "SELECT id, round(area, 6) AS area FROM areas", _POLY),
-    "join_polygons": oracle(
-        "positions sites", "SELECT event_id, id AS polygon FROM h JOIN areas USING (id) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(area, 9), id) = 1", _POLY,
-        "h AS (SELECT event_id, id FROM positions JOIN edges ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)",
+    "fn_in_ring": oracle(
+        "reports", "SELECT report_id, count(x1) % 2 = 1 AS inside FROM reports LEFT JOIN e ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY 1",
+        "e(x1, y1, x2, y2) AS (VALUES (-100.0::DOUBLE, -40.0::DOUBLE, 80.0::DOUBLE, -30.0::DOUBLE), (80, -30, 20, 0), (20, 0, 90, 45), (90, 45, -60, 30), (-60, 30, -100, -40))",
     ),
     "fn_templates": oracle("reports", "SELECT report_id, concat_ws(' ', status, CASE WHEN mentions > 0 THEN 'seen by ' || mentions END, '(' || lower(category) || ')') AS sentence FROM reports"),
     "fn_keywords": r"SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)license|copyright') THEN 'legal' WHEN regexp_matches(text, '[\w.]+@[\w.]+') THEN 'contact' WHEN regexp_matches(text, 'token|secret|key') THEN 'secret' ELSE 'plain' END AS kind FROM documents",

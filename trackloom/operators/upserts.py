@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators.tracks import with_previous
 from trackloom.sources.standins import oracle, positions, reports, sites, table
 
 EPS = 1e-5
@@ -32,9 +33,7 @@ def upsert_latest(state: DataFrame, batch: DataFrame) -> DataFrame:
 
 def change_log(log: DataFrame, eps: float = EPS) -> DataFrame:
     """Fixes that are new or moved against the one before: what an append-on-change history holds."""
-    w = Window.partitionBy("entity_id").orderBy("ts", "event_id")
-    b = F.lag(F.struct("lat", "lon")).over(w)
-    marked = log.withColumn("b", b)
+    marked = with_previous(log.select("entity_id", "event_id", "ts", "lat", "lon"), ["lat", "lon"])
     return marked.where(F.col("b").isNull() | (F.abs(F.col("lat") - F.col("b.lat")) > eps) | (F.abs(F.col("lon") - F.col("b.lon")) > eps)).select("entity_id", "event_id", "ts")
 
 
@@ -94,11 +93,68 @@ def content_hash(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumn("etag", F.substring(F.sha2(F.to_json(F.struct(*sorted(cols))), 256), 1, 16))
 
 
+#: Columns that an export adds to every row.
+PROVENANCE = ("layer", "generated_at", "health")
+
+
+def with_provenance(df: DataFrame, layer: str, generated_at: str, health: Column) -> DataFrame:
+    return df.withColumn("layer", F.lit(layer)).withColumn("generated_at", F.lit(generated_at)).withColumn("health", health)
+
+
 def geojson(df: DataFrame, lat: str, lon: str, *props: str) -> DataFrame:
-    """One GeoJSON feature a row, nested values encoded."""
-    geometry = F.struct(F.lit("Point").alias("type"), F.array(F.col(lon), F.col(lat)).alias("coordinates"))
+    """One GeoJSON feature a row, nested values encoded; rows without a place have a null geometry."""
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.col(lon), F.col(lat)).alias("coordinates"))
+    geometry = F.when(F.col(lat).isNotNull() & F.col(lon).isNotNull(), point)
     feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*props).alias("properties"))
-    return df.select(*props[:1], F.to_json(feature).alias("feature"))
+    return df.select(*props[:1], F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
+
+
+def csv_field(c: Column) -> Column:
+    """A quoted field where it holds a comma, quote or line break, with quotes doubled; null is empty."""
+    t = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(t.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t)
+
+
+def csv_rows(parts: dict[str, DataFrame], key: str) -> DataFrame:
+    """Rows of several layers as lines (layer, key, line) under the union of their columns, in the order they first appear; nested values are JSON.
+
+    The first line of all is the header: layer null.
+    """
+    columns: list[str] = []
+    for df in parts.values():
+        columns += [c for c in df.columns if c not in columns]
+    text = lambda df, c: F.lit("") if c not in df.columns else csv_field(F.to_json(c) if "<" in df.schema[c].dataType.simpleString() else F.col(c))
+    lines = None
+    for layer, df in parts.items():
+        part = df.select(F.lit(layer).alias("layer"), F.col(key).cast("string").alias("key"), F.concat_ws(",", *[text(df, c) for c in columns]).alias("line"))
+        lines = part if lines is None else lines.unionByName(part)
+    head = next(iter(parts.values())).sparkSession.createDataFrame([(None, None, ",".join(columns))], "layer string, key string, line string")
+    return head.unionByName(lines)
+
+
+def put_documents(store: DataFrame, batch: DataFrame) -> DataFrame:
+    """A store of whole documents by name: the last one of a name wins, by `version` and then body. Rows name, version, body (JSON)."""
+    both = store.select("name", "version", "body").unionByName(batch.select("name", "version", "body")).where("name is not null")
+    return both.groupBy("name").agg(F.max(F.struct("version", "body")).alias("d")).select("name", "d.*")
+
+
+def as_documents(df: DataFrame, name: Column, version: Column, *cols: str) -> DataFrame:
+    return df.select(name.alias("name"), version.alias("version"), F.to_json(F.struct(*cols)).alias("body"))
+
+
+def sample_history(history: DataFrame, batch: DataFrame, now: float, keep_s: float, cap: int) -> DataFrame:
+    """Bounded samples (key, ts, value) of each key: those of the last keep_s seconds, the newest `cap` of them; numbers only."""
+    both = history.unionByName(batch).where("value is not null and ts is not null").where(F.col("ts") >= now - keep_s)
+    n = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("ts"), F.desc("value")))
+    return both.withColumn("_n", n).where(F.col("_n") <= cap).drop("_n")
+
+
+def changed_since(log: DataFrame, marks: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+    """The rows of each kind after the reader's watermark, and the new watermarks; a kind without a mark is read whole."""
+    known = log.sparkSession.createDataFrame(sorted(marks.items()), "kind string, mark double")
+    rows = log.join(F.broadcast(known), "kind", "left").where(F.col("mark").isNull() | (F.col("ts") > F.col("mark")))
+    new = log.groupBy("kind").agg(F.max("ts").alias("mark"))
+    return rows.drop("mark"), new
 
 
 def _halves(s, d):
@@ -113,7 +169,7 @@ def _cells(s, d, late: bool):
 
 
 def _fields(s, d, late: bool):
-    p = positions(s, d).where((F.col("ts") >= SPLIT) if late else (F.col("ts") < SPLIT)).where("event_id % 40 = 3")
+    p = positions(s, d).where((F.col("ts") >= SPLIT) if late else (F.col("ts") < SPLIT))
     return p.groupBy(F.col("entity_id").alias("id")).agg(F.min("draught").alias("draught"), F.min("kind").alias("kind"), F.max("altitude").alias("altitude"), F.max("ts").alias("ts"))
 
 
@@ -141,11 +197,24 @@ QUERIES = {
     "upsert_retention": lambda s, d: retain(positions(s, d), T0 + 30 * 86_400, {"view": 86_400.0, "click": 3 * 86_400.0}, 7 * 86_400.0).select("event_id", "kind"),
     "upsert_bulk_delete": lambda s, d: positions(s, d).select("event_id").join(table(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("event_id")), "event_id", "left_anti"),
     "upsert_content_hash": lambda s, d: content_hash(sites(s, d).select("site_id", "site_name"), "site_name", "site_id").select("site_id", "etag"),
-    "export_geojson": lambda s, d: geojson(sites(s, d), "site_lat", "site_lon", "site_id", "site_name"),
+    "export_geojson": lambda s, d: geojson(with_provenance(sites(s, d).withColumn("y", F.when(F.col("site_id") % 5 != 0, F.round("site_lat", 2))).withColumn("x", F.round("site_lon", 2)), "sites", "2024-01-01", F.lit("ok")), "y", "x", "site_id", "site_name", *PROVENANCE),
+    "export_csv": lambda s, d: csv_rows({
+        "sites": with_provenance(sites(s, d).select("site_id", F.concat(F.col("site_name"), F.lit(', "x"')).alias("name"), F.array("country", "site_id").alias("codes")), "sites", "2024-01-01", F.lit(None).cast("string")),
+        "nations": table(s, d, "nation").selectExpr("n_nationkey as site_id", "n_name as title")}, "site_id"),
+    "upsert_documents": lambda s, d: put_documents(*[as_documents(reports(s, d).where(w), F.concat(F.lit("d"), F.col("actor") % 20), F.col("day"), "report_id", "status") for w in ("day < 9500", "day >= 9500")]),
+    "upsert_sample_history": lambda s, d: sample_history(*[positions(s, d).where(w).select(F.col("entity_id").alias("key"), "ts", F.when(F.col("event_id") % 6 != 0, F.col("value")).alias("value")) for w in (f"ts < {SPLIT}", f"ts >= {SPLIT}")], T0 + 30 * 86_400, 20 * 86_400.0, 12),
+    "upsert_changed_since": lambda s, d: changed_since(positions(s, d), {"view": SPLIT, "click": T0 + 86_400})[0].select("event_id", "kind"),
+    "upsert_watermarks": lambda s, d: changed_since(positions(s, d), {})[1],
 }
 
 _L = f"ts < {SPLIT}"
 ORACLES = {
+    "export_geojson": oracle("sites", """SELECT site_id, '{"type":"Feature","geometry":' || CASE WHEN site_id % 5 = 0 THEN 'null' ELSE '{"type":"Point","coordinates":[' || CAST(round(site_lon, 2) AS VARCHAR) || ',' || CAST(round(site_lat, 2) AS VARCHAR) || ']}' END || ',"properties":{"site_id":' || site_id || ',"site_name":"' || site_name || '","layer":"sites","generated_at":"2024-01-01","health":"ok"}}' AS feature FROM sites"""),
+    "export_csv": oracle("sites", "SELECT NULL AS layer, NULL AS key, 'site_id,name,codes,layer,generated_at,health,title' AS line UNION ALL SELECT 'sites', CAST(site_id AS VARCHAR), site_id || ',\"' || site_name || ', \"\"x\"\"\",\"[' || country || ',' || site_id || ']\",sites,2024-01-01,,' FROM sites UNION ALL SELECT 'nations', CAST(n_nationkey AS VARCHAR), n_nationkey || ',,,,,,' || n_name FROM nation"),
+    "upsert_documents": oracle("reports", """SELECT name, version, body FROM (SELECT 'd' || actor % 20 AS name, day AS version, '{"report_id":' || report_id || ',"status":"' || status || '"}' AS body FROM reports) QUALIFY row_number() OVER (PARTITION BY name ORDER BY version DESC, body DESC) = 1"""),
+    "upsert_sample_history": oracle("positions", f"SELECT entity_id AS key, ts, value FROM positions WHERE event_id % 6 <> 0 AND ts >= {T0 + 10 * 86_400} QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, value DESC) <= 12"),
+    "upsert_changed_since": oracle("positions", f"SELECT event_id, kind FROM positions WHERE ts > CASE kind WHEN 'view' THEN {SPLIT} WHEN 'click' THEN {T0 + 86_400} ELSE -1 END"),
+    "upsert_watermarks": oracle("positions", "SELECT kind, max(ts) AS mark FROM positions GROUP BY 1"),
     "upsert_latest": oracle(
         "positions",
         """SELECT coalesce(o.entity_id, n.entity_id) AS entity_id, coalesce(n.ts, o.ts) AS ts, coalesce(n.event_id, o.event_id) AS event_id, coalesce(n.lat, o.lat) AS lat, coalesce(n.lon, o.lon) AS lon,
@@ -162,7 +231,7 @@ ORACLES = {
     "upsert_accumulate": oracle("positions", "SELECT cell, CAST(sum(n) AS BIGINT) AS positions, string_agg(class || '=' || n, ',' ORDER BY class || '=' || n) AS by_class FROM (SELECT entity_id % 30 AS cell, ship_type // 10 AS class, count(*) AS n FROM positions GROUP BY ALL) GROUP BY 1"),
     "upsert_coalesce": oracle(
         "positions", "SELECT coalesce(o.id, n.id) AS id, coalesce(o.draught, n.draught) AS draught, coalesce(n.kind, o.kind) AS kind, greatest(o.altitude, n.altitude) AS altitude, greatest(o.ts, n.ts) AS ts FROM o FULL JOIN n ON o.id = n.id",
-        *(f"{a} AS (SELECT entity_id AS id, min(draught) AS draught, min(kind) AS kind, max(altitude) AS altitude, max(ts) AS ts FROM positions WHERE event_id % 40 = 3 AND {w} GROUP BY 1)" for a, w in (("o", _L), ("n", f"NOT {_L}"))),
+        *(f"{a} AS (SELECT entity_id AS id, min(draught) AS draught, min(kind) AS kind, max(altitude) AS altitude, max(ts) AS ts FROM positions WHERE {w} GROUP BY 1)" for a, w in (("o", _L), ("n", f"NOT {_L}"))),
     ),
     "upsert_decay": oracle("positions", "SELECT cell, n FROM (SELECT entity_id AS cell, CAST(round_even(count(*) * 0.5, 0) AS BIGINT) AS n FROM positions GROUP BY 1) WHERE n >= 32"),
     "upsert_alerts": oracle(

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.geo import haversine_km, initial_bearing, turn
+from trackloom.operators.tracks import with_previous
 from trackloom.sources.standins import km_sql, oracle, positions, reports, table
 
 AT = 1_705_000_000.0  # a fixed "now" for the registered queries
 
 
 def position_gaps(log: DataFrame, least: float = 14_400.0) -> DataFrame:
-    """Silences of `least` seconds or more between an entity's successive fixes, longest first. Equal times order by event_id."""
-    before = F.lag(F.struct("ts", "lat", "lon", "event_id")).over(Window.partitionBy("entity_id").orderBy("ts", "event_id"))
-    steps = log.select("entity_id", "event_id", "ts", "lat", "lon", before.alias("b"))
+    """Silences of `least` seconds or more between an entity's successive fixes, in no order. Equal times order by event_id."""
+    steps = with_previous(log.select("entity_id", "event_id", "ts", "lat", "lon"), ["ts", "lat", "lon", "event_id"])
     gaps = steps.where("b is not null").withColumn("gap_seconds", F.col("ts") - F.col("b.ts")).where(F.col("gap_seconds") >= least)
     return gaps.select(
         "entity_id", F.col("b.event_id").alias("from_event"), F.col("event_id").alias("to_event"), F.round("gap_seconds", 3).alias("gap_seconds"),
@@ -28,7 +28,8 @@ def state_at(log: DataFrame, at: float, window: float) -> DataFrame:
     The anchor is a one-row aggregate, and each entity's fix comes from a max_by that combines before the shuffle.
     """
     anchor = log.where((F.col("ts") > at - window) & (F.col("ts") <= at)).agg(F.max("ts").alias("anchor"))
-    near = log.where(F.col("ts") <= at).join(F.broadcast(anchor), (F.col("ts") >= F.col("anchor") - window) & (F.col("ts") <= F.col("anchor")))
+    # the anchor is later than at - window, so nothing older than two windows can count: a bound that prunes files
+    near = log.where((F.col("ts") <= at) & (F.col("ts") > at - 2 * window)).join(F.broadcast(anchor), (F.col("ts") >= F.col("anchor") - window) & (F.col("ts") <= F.col("anchor")))
     last = near.groupBy("entity_id").agg(F.max_by(F.struct("event_id", "ts", "lat", "lon", "kind"), F.struct("ts", "event_id")).alias("r"))
     return last.select("entity_id", "r.*")
 
@@ -45,9 +46,7 @@ def downsample(log: DataFrame, budget: int) -> DataFrame:
 
 def classify_steps(log: DataFrame, most_gap=1_800.0, most_kmh=2_200.0, least_km=5.0, most_turn=150.0) -> DataFrame:
     """Successive fixes of an entity, up to most_gap seconds apart and not on the ground, that are `speed` or `reversal` anomalies or `ok`."""
-    w = Window.partitionBy("entity_id").orderBy("ts", "event_id")
-    cols = F.struct("ts", "lat", "lon", "on_ground", "course")
-    steps = log.withColumn("b", F.lag(cols).over(w)).where("b is not null").withColumn("dt", F.col("ts") - F.col("b.ts"))
+    steps = with_previous(log, ["ts", "lat", "lon", "on_ground", "course"]).where("b is not null").withColumn("dt", F.col("ts") - F.col("b.ts"))
     valid = steps.where((F.col("dt") > 0) & (F.col("dt") <= most_gap) & ~F.coalesce(F.col("on_ground"), F.lit(False)) & ~F.coalesce(F.col("b.on_ground"), F.lit(False)))
     km = haversine_km("b.lat", "b.lon", "lat", "lon")
     heading = F.when(F.col("b.course") < 360, F.col("b.course").cast("double"))
@@ -69,10 +68,11 @@ def duplicate_suffix(df: DataFrame, base: str, order: str, out: str = "unique_na
 
 def half_trend(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """up, down or flat: the sum of the second half of each series against that of its first."""
-    series = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("s"))
-    half = F.floor(F.size("s") / 2).cast("int")
-    total = lambda part: F.aggregate(part, F.lit(0.0), lambda a, x: a + x[value])
-    sums = series.select(key, F.round(total(F.slice("s", F.lit(1), half)), 4).alias("first_sum"), F.round(total(F.slice("s", half + 1, F.size("s"))), 4).alias("second_sum"))
+    w = Window.partitionBy(key)
+    placed = df.withColumn("_k", F.row_number().over(w.orderBy(order, value))).withColumn("_n", F.count("*").over(w))
+    early = F.col("_k") <= F.floor(F.col("_n") / 2)
+    total = lambda part: F.round(F.coalesce(F.sum(F.when(part, F.col(value))), F.lit(0.0)), 4)
+    sums = placed.groupBy(key).agg(total(early).alias("first_sum"), total(~early).alias("second_sum"))
     return sums.withColumn("trend", F.when(F.col("second_sum") > F.col("first_sum"), "up").when(F.col("second_sum") < F.col("first_sum"), "down").otherwise("flat"))
 
 

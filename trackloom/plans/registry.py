@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 FLAGSHIP = "position_gaps"
 #: Modules that define QUERIES and ORACLES.
 MODULES: tuple[str, ...] = (
-    *(f"trackloom.operators.{m}" for m in ("windows", "topk", "aggregates", "joins", "predicates", "dedupe", "upserts", "scalars", "gazetteer", "products", "monitor")),
-    "trackloom.sources.landed",
+    *(f"trackloom.operators.{m}" for m in ("windows", "topk", "aggregates", "joins", "predicates", "dedupe", "upserts", "scalars", "gazetteer", "products", "monitor", "polygons", "labels", "sky")),
+    "trackloom.sources.landed", "trackloom.sources.feeds",
 )
 
 
