@@ -171,7 +171,7 @@ _SUN = lambda ts, p: (
 )
 QUERIES = {
     "fn_sun": lambda s, d: positions(s, d).select("event_id", F.round(sun_elevation(F.col("lat"), F.col("lon"), F.col("ts")), 5).alias("elevation"), F.round(subsolar(F.col("ts"))[0], 5).alias("declination")),
-    "fn_terminator": lambda s, d: night_ring(positions(s, d).where("event_id < 40").select("ts"), "ts", 20).select(F.round("ts", 3).alias("ts"), "lon", F.round("lat", 4).alias("lat")),
+    "fn_terminator": lambda s, d: night_ring(positions(s, d).select((F.floor(F.col("ts") / 43_200) * 43_200.0).alias("ts")).distinct(), "ts", 20).select(F.round("ts", 3).alias("ts"), "lon", F.round("lat", 4).alias("lat")),
     "fn_sun_times": lambda s, d: sun_times(sites(s, d).select("site_id", "site_lat", "site_lon", F.lit(1_704_067_200.0).alias("day")), "site_lat", "site_lon", "day").select("site_id", F.round("rise", 1).alias("rise"), F.round("set", 1).alias("set"), "light"),
     "orbit_summary": lambda s, d: orbit_summary(elements(s, d)).select("sat_id", *[F.round(c, 4).alias(c) for c in ("period_min", "apogee_km", "perigee_km")]),
     "orbit_track": lambda s, d: ground_track(elements(s, d), T).select("sat_id", "minute", *[F.round(c, 4).alias(c) for c in ("lat", "lon", "alt_km")], "part", F.round(footprint_km(F.col("alt_km")), 3).alias("footprint_km")),

@@ -6,10 +6,10 @@ feed's rule, and null is kept apart from zero everywhere. Schemas are explicit:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackloom.sources.standins import table
+from trackloom.sources.standins import oracle, positions, reports, sites, table
 
 #: The zero-based positions used of the event export's 61 tab-separated columns.
 EVENT_COLUMNS = {
@@ -22,25 +22,37 @@ EVENT_COLUMNS = {
 PLACE_COLUMNS = {"place_id": (0, "long"), "name": (1, "string"), "ascii": (2, "string"), "alternates": (3, "string"), "lat": (4, "double"), "lon": (5, "double"), "class": (6, "string"), "code": (7, "string"), "country": (8, "string"), "admin1": (10, "string"), "population": (14, "long")}
 
 
-def by_position(spark: SparkSession, paths, columns: dict[str, tuple[int, str]], sep: str = "\t") -> DataFrame:
-    """Headerless delimited text by column position; a field that can't be typed is null, a missing one too."""
+def positional(lines: DataFrame, columns: dict[str, tuple[int, str]], sep: str = "\t") -> DataFrame:
+    """Headerless delimited lines (value) by column position; a field that can't be typed is null, a missing one too."""
     parts = F.split(F.col("value"), sep.replace("|", r"\|"), -1)
     field = lambda i, t: F.try_element_at(parts, F.lit(i + 1)).try_cast(t)
-    return spark.read.text(paths).select(*[F.when(field(i, "string") != "", field(i, t)).alias(n) for n, (i, t) in columns.items()])
+    return lines.select(*[F.when(field(i, "string") != "", field(i, t)).alias(n) for n, (i, t) in columns.items()])
+
+
+def by_position(spark: SparkSession, paths, columns: dict[str, tuple[int, str]], sep: str = "\t") -> DataFrame:
+    return positional(spark.read.text(paths), columns, sep)
 
 
 def events(spark: SparkSession, paths) -> DataFrame:
     """The event export; rows without coordinates, quad class or mentions are dropped."""
-    return by_position(spark, paths, EVENT_COLUMNS).where("lat is not null and lon is not null and quad is not null and mentions is not null and url is not null")
+    return located_events(by_position(spark, paths, EVENT_COLUMNS))
+
+
+def located_events(rows: DataFrame) -> DataFrame:
+    return rows.where("lat is not null and lon is not null and quad is not null and mentions is not null and url is not null")
 
 
 def outlets(mentions: DataFrame, known: list[str], cap: int = 64, urls: int = 4) -> DataFrame:
     """Outlets of each event (lower-cased, the first `cap` in order) and up to `urls` links of known ones; rows event_id, domain, url."""
     d = F.lower(F.trim("domain"))
-    # a sorted top list kept by merging bounded lists: the set is distinct before it is collected
     each = mentions.select("event_id", d.alias("domain"), "url").where("domain <> ''").groupBy("event_id", "domain").agg(F.min("url").alias("url"))
-    return each.groupBy("event_id").agg(
-        F.slice(F.array_sort(F.collect_list("domain")), 1, cap).alias("outlets"), F.slice(F.array_sort(F.collect_list(F.when(F.col("domain").isin(known), F.col("url")))), 1, urls).alias("links")
+    # ranked before they are collected, so no more than the cap of an event's domains comes together
+    w = Window.partitionBy("event_id")
+    known_url = F.when(F.col("domain").isin(known), F.col("url"))
+    ranked = each.withColumn("n", F.row_number().over(w.orderBy("domain"))).withColumn("u", F.when(known_url.isNotNull(), F.row_number().over(w.orderBy(known_url.asc_nulls_last(), "domain"))))
+    kept = ranked.where((F.col("n") <= cap) | (F.col("u") <= urls))
+    return kept.groupBy("event_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("n") <= cap, F.col("domain")))).alias("outlets"), F.array_sort(F.collect_list(F.when(F.col("u") <= urls, known_url))).alias("links")
     )
 
 
@@ -64,7 +76,11 @@ def window_files(spark: SparkSession, folder: str, newest: str, minutes: int, su
 
 def places(spark: SparkSession, paths, least: int = 0, capitals: bool = True) -> DataFrame:
     """Place names; a population that is no number counts as 0. Kept: populations of `least` or more, and capitals."""
-    p = by_position(spark, paths, PLACE_COLUMNS).withColumn("population", F.coalesce("population", F.lit(0))).where("lat is not null and lon is not null")
+    return known_places(by_position(spark, paths, PLACE_COLUMNS), least, capitals)
+
+
+def known_places(rows: DataFrame, least: int = 0, capitals: bool = True) -> DataFrame:
+    p = rows.withColumn("population", F.coalesce("population", F.lit(0))).where("lat is not null and lon is not null")
     return p.where((F.col("population") >= least) | (F.lit(capitals) & (F.col("code") == "PPLC")))
 
 
@@ -197,8 +213,49 @@ def hull_size(a: Column, b: Column) -> Column:
     return F.when((a + b) > 0, a + b)
 
 
+def _export(s, d):
+    """Reports as lines of the event export; some lack a field, some lines are short."""
+    cells = {n: f"''" for n in EVENT_COLUMNS} | {
+        "event_id": "report_id", "lat": "if(report_id % 11 = 0, 'north', cast(lat as string))", "lon": "lon", "quad": "report_id % 4 + 1", "mentions": "if(mentions = 0, '', cast(mentions as string))",
+        "goldstein": "report_id % 21 - 10", "url": "concat('http://x/', report_id)", "root_code": "lpad(mentions, 2, '0')", "is_root": "report_id % 2"}
+    at = {i: cells[n] for n, (i, _) in EVENT_COLUMNS.items()}
+    line = ", ".join(at.get(i, "'-'") for i in range(61))
+    return reports(s, d).selectExpr(f"if(report_id % 13 = 0, concat_ws('\t', report_id, 'short'), concat_ws('\t', {line})) as value")
+
+
+def _place_lines(s, d):
+    at = {0: "p_partkey", 1: "p_name", 4: "p_size", 5: "p_size * 2", 6: "'P'", 7: "if(p_partkey % 9 = 0, 'PPLC', 'PPL')", 8: "'XX'", 14: "if(p_partkey % 7 = 0, 'n/a', cast(p_size * 100 as string))"}
+    return table(s, d, "part").selectExpr("concat_ws('\t', " + ", ".join(f"cast({at[i]} as string)" if i in at else "''" for i in range(19)) + ") as value")
+
+
+def _features(s, d):
+    rows = sites(s, d).selectExpr("site_id", "round(site_lon, 2) as x", "round(site_lat, 2) as y")
+    geometry = F.when(F.col("site_id") % 3 == 0, F.to_json(F.struct(F.lit("Point").alias("type"), F.array("x", "y", F.col("site_id").cast("double")).alias("coordinates")))).when(
+        F.col("site_id") % 3 == 1, F.to_json(F.struct(F.lit("LineString").alias("type"), F.array(F.array("x", "y"), F.array(F.col("x") + 1, F.col("y") + 1)).alias("coordinates")))).otherwise(
+        F.to_json(F.struct(F.lit("MultiLineString").alias("type"), F.array(F.array(F.array("x", "y")), F.array(F.array("x", "y"), F.array("y", "x"), F.array("x", "x"))).alias("coordinates"))))
+    one = F.concat(F.lit('{"id":"'), F.col("site_id"), F.lit('","properties":{"k":"v"},"geometry":'), geometry, F.lit("}"))
+    return features(rows.groupBy((F.col("site_id") % 4).alias("doc")).agg(F.concat(F.lit('{"features":['), F.array_join(F.collect_list(one), ","), F.lit("]}")).alias("value")))
+
+
+def _feeds(s, d):
+    rss = "concat('<item><title><![CDATA[', status, ' <b>', mentions, '</b>]]></title><link>http://r/', report_id, '</link><pubDate>Tue, 02 Jan 2024 03:04:05 +0000</pubDate></item>')"
+    atom = "concat('<a:entry><a:title>', status, ' ', mentions, '</a:title><a:link href=\"http://r/', report_id, '\"/><a:updated>2024-01-02T03:04:05Z</a:updated></a:entry>')"
+    rows = reports(s, d).selectExpr("report_id div 30 as feed", "report_id", f"if((report_id div 30) % 2 = 0, {rss}, {atom}) as item")
+    return rows.groupBy("feed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("report_id", "item"))), lambda x: x["item"]), "\n").alias("value"))
+
+
 _BOXES = [(10.0, -20.0, 30.0, 15.0), (25.0, 10.0, 45.0, 60.0), (-40.0, 100.0, -10.0, 155.0)]
 QUERIES = {
+    "scan_events": lambda s, d: located_events(positional(_export(s, d), EVENT_COLUMNS)).select("event_id", "lat", "lon", "quad", "mentions", "goldstein", "is_root", "root_code", "url"),
+    "scan_outlets": lambda s, d: outlets(table(s, d, "pages").select((F.col("page_id") % 20).alias("event_id"), F.upper(F.regexp_extract("url", "//([^/]+)", 1)).alias("domain"), "url").unionByName(table(s, d, "documents").select((F.col("doc_id") % 20).alias("event_id"), F.concat("source", F.lit(".org "), F.col("doc_id") % 90).alias("domain"), F.concat(F.lit("u"), "doc_id").alias("url"))), ["src1.org 1", "src2.org 2"], 30, 2).select("event_id", F.array_join("outlets", ",").alias("outlets"), F.array_join("links", ",").alias("links")),
+    "scan_places": lambda s, d: known_places(positional(_place_lines(s, d), PLACE_COLUMNS), 2_000).select("place_id", "name", "lat", "lon", "code", "population"),
+    "scan_thermal": lambda s, d: thermal(reports(s, d).selectExpr("if(report_id % 9 = 0, null, lat) as lat", "lon", "if(report_id % 7 = 0, '2024400', concat('2024', lpad(report_id % 366 + 1, 3, '0'))) as year_day", "cast(report_id % 2400 as string) as time", "if(mentions = 0, -999D, cast(mentions as double)) as frp")).withColumn("day", F.unix_date("day")),
+    "scan_hulls": lambda s, d: hulls(table(s, d, "customer").selectExpr("if(c_custkey % 5 = 0, 'PERSON', 'VESSEL') as type", "if(c_custkey % 3 = 0, '', cast(c_custkey % 40 as string)) as imo", "if(c_custkey % 11 = 0, '', cast(c_custkey % 60 as string)) as mmsi", "concat(c_mktsegment, '; ', if(c_custkey % 2 = 0, 'even', '')) as risk", "concat('d', c_nationkey) as dataset")),
+    "scan_price_index": lambda s, d: price_index(table(s, d, "part").selectExpr("p_partkey as n", "if(p_partkey = 10, ' Date,Index', concat('20', lpad(p_partkey % 100, 2, '0'), '-', lpad(p_size % 13, 2, '0'), ',', if(p_size % 4 = 0, '', cast(p_retailprice as string)))) as value")),
+    "scan_geo_points": lambda s, d: geo_points(_features(s, d)).select("id", "lat", "lon", "depth"),
+    "scan_geo_lines": lambda s, d: geo_lines(_features(s, d)).select("id", F.size("paths").alias("paths"), F.aggregate("paths", F.lit(0), lambda a, p: a + F.size(p)).alias("points")),
+    "scan_state_vectors": lambda s, d: state_vectors(positions(s, d).select(F.array(*[F.col(c).cast("string") if c else F.lit(None).cast("string") for c in ("event_id", "kind", "", "", "", "lon", "lat", "", "on_ground", "", "", "", "", "", "", "", "", "course")]).alias("s"))),
+    "scan_feeds": lambda s, d: feed_items(_feeds(s, d), cap=20).select("feed", "n", "title", "link", F.unix_seconds("time").alias("time")),
     "scan_articles": lambda s, d: articles(table(s, d, "pages")),
     "scan_tile_cover": lambda s, d: tile_cover(s, _BOXES, 6),
     "scan_forecast_grid": lambda s, d: forecast_grid(s, 10.0, 20.0, 50.0, 84.0).select("lat", "lon", *[F.round(c, 6).alias(n) for c, n in zip(wind_components(F.col("lat") / 3, F.col("lon") * 4), ("u", "v"))]),
@@ -209,7 +266,25 @@ QUERIES = {
 }
 _Y = lambda c: f"CAST(greatest(least(floor((1 - ln(tan(radians({c})) + 1 / cos(radians({c}))) / pi()) / 2 * 64), 63), 0) AS INT)"
 _X = lambda c: f"CAST(least(floor(({c} + 180) / 360 * 64), 63) AS INT)"
+_TAG = r"'<[^>]+>', ' ', 'g'"
 ORACLES = {
+    "scan_events": oracle("reports", "SELECT CAST(report_id AS VARCHAR) AS event_id, lat, lon, CAST(report_id % 4 + 1 AS INT) AS quad, mentions, CAST(report_id % 21 - 10 AS DOUBLE) AS goldstein, CAST(report_id % 2 AS INT) AS is_root, lpad(CAST(mentions AS VARCHAR), 2, '0') AS root_code, 'http://x/' || report_id AS url FROM reports WHERE report_id % 13 <> 0 AND report_id % 11 <> 0 AND mentions <> 0"),
+    "scan_outlets": """WITH m AS (SELECT page_id % 20 AS event_id, lower(trim(regexp_extract(url, '//([^/]+)', 1))) AS domain, url FROM pages UNION ALL SELECT doc_id % 20, lower(trim(source || '.org ' || doc_id % 90)), 'u' || doc_id FROM documents),
+        e AS (SELECT event_id, domain, min(url) AS url FROM m WHERE domain <> '' GROUP BY ALL), o AS (SELECT event_id, string_agg(domain, ',' ORDER BY domain) AS outlets FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY domain) <= 30) GROUP BY 1),
+        l AS (SELECT event_id, string_agg(url, ',' ORDER BY url) AS links FROM (SELECT * FROM e WHERE domain IN ('src1.org 1', 'src2.org 2') QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY url, domain) <= 2) GROUP BY 1) SELECT event_id, outlets, coalesce(links, '') AS links FROM o LEFT JOIN l USING (event_id)""",
+    "scan_places": "SELECT p_partkey AS place_id, p_name AS name, CAST(p_size AS DOUBLE) AS lat, CAST(p_size * 2 AS DOUBLE) AS lon, CASE WHEN p_partkey % 9 = 0 THEN 'PPLC' ELSE 'PPL' END AS code, CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE p_size * 100 END AS population FROM part WHERE p_partkey % 9 = 0 OR (p_partkey % 7 <> 0 AND p_size * 100 >= 2000)",
+    "scan_thermal": oracle("reports", "SELECT lat, lon, CASE WHEN report_id % 7 <> 0 THEN CAST(19723 + report_id % 366 AS INT) END AS day, lpad(CAST(report_id % 2400 AS VARCHAR), 4, '0') AS time, CASE WHEN mentions > 0 THEN CAST(mentions AS DOUBLE) END AS frp FROM reports WHERE report_id % 9 <> 0"),
+    "scan_hulls": """WITH v AS (SELECT CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey % 40 AS VARCHAR) WHEN c_custkey % 11 <> 0 THEN 'mmsi:' || c_custkey % 60 END AS hull, c_mktsegment AS r, c_custkey % 2 = 0 AS even, 'd' || c_nationkey AS dataset FROM customer WHERE c_custkey % 5 <> 0),
+        k AS (SELECT DISTINCT hull, r FROM v UNION SELECT hull, 'even' FROM v WHERE even), x AS (SELECT hull, dataset, row_number() OVER (PARTITION BY hull ORDER BY dataset) AS n FROM (SELECT DISTINCT hull, dataset FROM v))
+        SELECT v.hull, string_agg(DISTINCT k.r, ';' ORDER BY k.r) AS risks, (SELECT string_agg(dataset, ';' ORDER BY dataset) FROM x WHERE x.hull = v.hull AND n <= 20) AS listings, (SELECT count(*) FROM v y WHERE y.hull = v.hull) AS n FROM v JOIN k ON k.hull = v.hull WHERE v.hull IS NOT NULL GROUP BY v.hull""",
+    "scan_price_index": "SELECT '20' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(p_size % 13 AS VARCHAR), 2, '0') AS month, p_retailprice AS index FROM part WHERE p_partkey > 10 AND p_size % 4 <> 0",
+    "scan_geo_points": oracle("sites", "SELECT CAST(site_id AS VARCHAR) AS id, round(site_lat, 2) AS lat, round(site_lon, 2) AS lon, CAST(site_id AS DOUBLE) AS depth FROM sites WHERE site_id % 3 = 0"),
+    "scan_geo_lines": oracle("sites", "SELECT CAST(site_id AS VARCHAR) AS id, 1 AS paths, CASE WHEN site_id % 3 = 1 THEN 2 ELSE 3 END AS points FROM sites WHERE site_id % 3 <> 0"),
+    "scan_state_vectors": oracle("positions", "SELECT CAST(event_id AS VARCHAR) AS icao24, kind AS callsign, lon, lat, on_ground, course % 2 = 1 AS alert FROM positions"),
+    "scan_feeds": oracle("reports", "SELECT report_id // 30 AS feed, CAST(row_number() OVER (PARTITION BY report_id // 30 ORDER BY report_id) - 1 AS INT) AS n, status || ' ' || mentions AS title, 'http://r/' || report_id AS link, 1704164645 AS time FROM reports QUALIFY n < 20"),
+    "scan_articles": rf"""WITH p AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g') AS body FROM pages),
+        l AS (SELECT page_id, html, list_filter(list_transform(regexp_extract_all(body, '(?is)<p\b[^>]*>(.*?)</p>', 1), lambda x: trim(regexp_replace(regexp_replace(x, {_TAG}), '\s+', ' ', 'g'))), lambda x: length(x) >= 25) AS ps FROM p)
+        SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, substr(array_to_string(ps, ' '), 1, 1200) AS excerpt, CAST(len(ps) AS INT) AS paragraphs FROM l""",
     "scan_tile_cover": f"WITH b(s, w, n, e) AS (VALUES {', '.join(str(tuple(map(float, b))) for b in _BOXES)}), c AS (SELECT s::DOUBLE AS s, w::DOUBLE AS w, n::DOUBLE AS n, e::DOUBLE AS e FROM b) SELECT DISTINCT 6 AS z, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT unnest(generate_series({_X('w')}, {_X('e')})) AS x, s, n FROM c), LATERAL (SELECT unnest(generate_series({_Y('n')}, {_Y('s')})) AS y)",
     "scan_forecast_grid": "SELECT lat, lon, round(-(lat / 3) * sin(radians(lon * 4)), 6) AS u, round(-(lat / 3) * cos(radians(lon * 4)), 6) AS v FROM (SELECT 10.0::DOUBLE + i * 40.0::DOUBLE / 8 AS lat, 20.0::DOUBLE + j * 64.0::DOUBLE / 8 AS lon FROM range(9) a(i), range(9) b(j))",
     "scan_recent": "SELECT o_orderkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), m) AS INT) AS lag_days FROM orders, (SELECT CAST(max(o_orderdate) AS DATE) AS m FROM orders) WHERE date_diff('day', CAST(o_orderdate AS DATE), m) <= 90",
