@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm import langid, packing, quality, simhash, substring
 from trackloom.llm.common import table
-from trackloom.session import materialize
+from trackloom.session import discard, made, materialize, release
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +55,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        since = made(spark)
+        done = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, since, done)  # what the stage wrote on its way
+        discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
