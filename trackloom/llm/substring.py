@@ -27,7 +27,7 @@ from trackloom.session import discard, fresh_path, materialize, remove
 WINDOW = 50
 RUN_WORDS = 16
 #: Runs of a kind before they are merged, and batches that a whole table is taken in by.
-MAX_RUNS, BATCHES = 2, 4
+MAX_RUNS, BATCHES = 1, 3
 #: Up to so many ids are broadcast.
 FEW_IDS = 1 << 17
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
