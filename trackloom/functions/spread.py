@@ -21,9 +21,12 @@ def join_by_key(rows: DataFrame, keyed: DataFrame, key: str | list[str], least:
     return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
 
 
-def lone_key(key: Column, matchable: Column) -> Column:
-    """The key as text, or one of its own that matches nothing: rows that can't match are spread instead of meeting in one task."""
-    return F.when(matchable & key.isNotNull(), F.concat(F.lit("k"), key.cast("string"))).otherwise(F.concat(F.lit("~"), F.monotonically_increasing_id().cast("string")))
+def lone_key(key: Column, matchable: Column, *columns: str) -> Column:
+    """The key as text, or one that matches nothing: rows that can't match are spread by the hash of their columns.
+
+    The hash depends on the row alone, so a task that is run again sends it to the same place; equal rows stay together.
+    """
+    return F.when(matchable & key.isNotNull(), F.concat(F.lit("k"), key.cast("string"))).otherwise(F.concat(F.lit("~"), F.xxhash64(*columns).cast("string")))
 
 
 def attach(rows: DataFrame, keyed: DataFrame, key: str, least: int, matchable: Column | None = None, count: str = "n") -> DataFrame:
@@ -40,6 +43,6 @@ def attach(rows: DataFrame, keyed: DataFrame, key: str, least: int, matchable: C
     cold = keyed.where(F.col(count) <= least).select(F.concat(F.lit("k"), F.col(key).cast("string")).alias(f"{pre}1"), *new)
     ok = F.lit(True) if matchable is None else F.coalesce(matchable, F.lit(False))
     met = rows.join(F.broadcast(hot), (F.col(key) == F.col(f"{pre}0")) & ok, "left")
-    met = met.withColumn(f"{pre}2", lone_key(F.col(key), ok & F.col(f"{pre}0").isNull()))
+    met = met.withColumn(f"{pre}2", lone_key(F.col(key), ok & F.col(f"{pre}0").isNull(), *[c for c, t in rows.dtypes if "map<" not in t and t != "variant"]))
     out = met.join(cold, F.col(f"{pre}2") == F.col(f"{pre}1"), "left")
     return out.select(*rows.columns, *[F.coalesce(f"{pre}_{c}", c).alias(c) for c in new])
