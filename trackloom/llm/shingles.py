@@ -33,7 +33,7 @@ COUNTED = 1 << 19
 #: Shingles that a task sends on at once.
 POSTED = 1 << 18
 PARITY_BITS = 1024
-TILE = 4096
+TILE = 1024
 PAIRS_AT_ONCE = 1 << 20
 WORDS_KEPT = 1 << 17
 #: Up to so many ids are broadcast.
