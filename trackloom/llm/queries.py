@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trackloom.llm import bpe, fingerprint, langid, packing, quality, sharding, simhash, substring, tokencount, vectors
+from trackloom.llm import bpe, collocations, fingerprint, langid, licenses, negatives, packing, quality, sharding, simhash, substring, tokencount, vectors
 from trackloom.llm.common import table
 
 
@@ -48,8 +49,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), anchors=F.col("vec_id") % 50 == 0, label=label)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_langid, op2_quality, op3_sharding, op4_substring, op5_vectors, op6_packing, op7_tokencount, op8_bpe, op9_fingerprint, op10_simhash)}
+    return {f.__name__: f for f in (
+        op1_langid, op2_quality, op3_sharding, op4_substring, op5_vectors, op6_packing, op7_tokencount, op8_bpe, op9_fingerprint, op10_simhash,
+        op11_licenses, op12_collocations, op13_negatives,
+    )}
 
 
 #: Cosines are summed in double precision over the components; label and finiteness rules as in the operator.
@@ -70,5 +87,47 @@ FROM embeddings LEFT JOIN low ON low.u = vec_id LEFT JOIN n ON n.u = vec_id
 """
 
 
+#: All phrases of one to four words with their counts; a candidate is checked against every longer one that holds it.
+OP12_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS id, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+words AS (SELECT lang, id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM pieces),
+runs AS (SELECT lang, w AS w1, lead(w, 1) OVER s AS w2, lead(w, 2) OVER s AS w3, lead(w, 3) OVER s AS w4 FROM words WINDOW s AS (PARTITION BY id ORDER BY i)),
+f AS (
+  SELECT lang, [w1] AS g, 1 AS k, count(*) AS a FROM runs GROUP BY lang, w1 HAVING count(*) >= 30
+  UNION ALL SELECT lang, [w1, w2], 2, count(*) FROM runs WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= 30
+  UNION ALL SELECT lang, [w1, w2, w3], 3, count(*) FROM runs WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 30
+  UNION ALL SELECT lang, [w1, w2, w3, w4], 4, count(*) FROM runs WHERE w4 IS NOT NULL GROUP BY lang, w1, w2, w3, w4 HAVING count(*) >= 30),
+n AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.g, c.k, c.a, l.a AS l, r.a AS r, l.k AS cut, CAST(2000000::HUGEINT * c.a // (l.a + r.a) AS BIGINT) AS score
+  FROM f c JOIN range(1, 4) t(cut) ON cut < c.k JOIN f l ON l.lang = c.lang AND l.g = list_slice(c.g, 1, cut) JOIN f r ON r.lang = c.lang AND r.g = list_slice(c.g, cut + 1, c.k)),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inside AS (
+  SELECT DISTINCT q.lang, list_slice(q.g, i, i + m - 1) AS g, q.a AS longer FROM f q, range(2, 4) t(m), range(1, 4) u(i) WHERE m < q.k AND i + m - 1 <= q.k),
+gone AS (SELECT DISTINCT best.lang, best.g FROM best JOIN inside ON inside.lang = best.lang AND inside.g = best.g WHERE 100 * longer >= 80 * best.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+FROM (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, n, score FROM best b JOIN n USING (lang) ANTI JOIN gone ON gone.lang = b.lang AND gone.g = b.g)
+QUALIFY rank <= 2000
+"""
+
+#: Components are whole numbers, so the products are exact in double precision.
+OP13_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND len(a.e) = len(b.e) AND (a.label <> b.label OR a.vec_id <> b.vec_id)),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_vectors": OP5_SQL}
+    return {"op5_vectors": OP5_SQL, "op12_collocations": OP12_SQL, "op13_negatives": OP13_SQL}
