@@ -6,10 +6,11 @@ import random
 import struct
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.operators import dedupe, gazetteer, graph, joins, monitor, placing, polygons, scalars, sky
+from trackloom.operators import dedupe, gazetteer, graph, joins, labels, monitor, placing, polygons, scalars, sky
 from trackloom.plans import registry
 from trackloom.session import discard, made, materialize, release
 from trackloom.sources import feeds, landed
@@ -90,14 +91,37 @@ def test_components_with_a_hub_and_long_paths(spark):
     assert got == {x: find(x) for x in root}
 
 
-def test_name_candidates_by_hand(spark, small, tables):
-    assert gazetteer.names_in("On Monday troops left Port of Spain, near Al Hasakah. The Army") == ["Port of Spain", "Port", "Spain", "Hasakah"]
-    assert gazetteer.names_in("New York Times Square Garden")[:3] == ["New York Times Square", "York Times Square Garden", "New York Times"]
-    assert gazetteer.names_in(None) == [] and gazetteer.names_in("of The") == []
-    assert len(gazetteer.names_in(" x ".join(f"Name{chr(65 + a)}{chr(65 + b)}" for a in range(26) for b in range(4)).translate({ord(c): None for c in "0123456789"}))) == 60
-    got = registry.queries()["place_candidates"](spark, small).collect()
-    want = {(i, k, n) for i, t in tables.sql("SELECT doc_id, text FROM documents").fetchall() for k, n in enumerate(gazetteer.names_in(t))}
-    assert {tuple(r) for r in got} == want
+def test_name_candidates_by_hand(spark):
+    many = " x ".join(f"Name{chr(65 + a)}{chr(65 + b)}" for a in range(26) for b in range(4))
+    cases = {
+        "On Monday troops left Port of Spain, near Al Hasakah. The Army": ["Port of Spain", "Port", "Spain", "Hasakah"],
+        "New York Times Square Garden": ["New York Times Square", "York Times Square Garden", "New York Times", "York Times Square", "Times Square Garden", "New York", "York Times", "Times Square", "Square Garden", "New", "York", "Times", "Square", "Garden"],
+        "Isle of the Man and of Kherson": ["Isle the Man", "Isle", "Man", "Kherson"],
+        "Isle of": ["Isle"], "of The": [], "": [], "preFab Saint-L\u00f4, S\u00e3o  Tom\u00e9\u00a0Port": ["Saint-L\u00f4", "S\u00e3o Tom\u00e9 Port", "S\u00e3o Tom\u00e9", "Tom\u00e9 Port", "S\u00e3o", "Tom\u00e9", "Port"],
+        "Foo bar Foo FOO": ["Foo", "Foo FOO"],
+    }
+    rows = [(i, t) for i, t in enumerate([*cases, many, None])]
+    got = {r.id: r.names for r in spark.createDataFrame(rows, "id int, text string").select("id", gazetteer.candidates(F.col("text")).alias("names")).collect()}
+    for i, want in enumerate(cases.values()):
+        assert want is None or got[i] == want, (i, got[i])
+    assert len(got[len(cases)]) == 60 and not got[len(cases) + 1]
+    long = spark.createDataFrame([("Abc " * 100_000,)], "text string").select(gazetteer.candidates(F.col("text")).alias("n")).first().n
+    assert long == ["Abc Abc Abc Abc", "Abc Abc Abc", "Abc Abc", "Abc"]
+    assert "sept" in gazetteer.PLAIN_WORDS and "tues" in gazetteer.PLAIN_WORDS and "northern" in gazetteer.PLAIN_WORDS
+
+
+TITLES = {
+    "Russia recalls its ambassador": "rupture", "Ambassador recalled for consultations": "rupture", "EU suspends diplomatic relations": "rupture", "Relations with X severed": "rupture", "Charg\u00e9 d'affaires summoned": "rupture",
+    "Sanctions imposed after talks collapse": "rupture", "Withdrawal from the treaty": "rupture", "Minister from Y withdraws a bill": "statement",
+    "Telephone conversation with the President": "meeting", "Minister spoke by phone with counterpart": "meeting", "Call with the Prime Minister": "meeting", "Minister received the delegation": "meeting",
+    "Warns of consequences": "threat", "Ultimatum expires": "threat", "Memorandum signed": "agreement", "Treaty ratified": "agreement", "Dealer prices": "statement",
+    "Minister calls for restraint": "demand", "Condemnation of the attack": "demand", "Relief package sent": "aid", "Humanitarian assistance": "aid", "Presidential message on a birthday": "statement", None: "statement",
+}
+
+
+def test_title_kinds_by_hand(spark):
+    got = spark.createDataFrame([(t,) for t in TITLES], "t string").select("t", labels.title_kind(F.col("t")).alias("k")).collect()
+    assert {r.t: r.k for r in got} == TITLES
 
 
 def score(spark, *values):
@@ -326,6 +350,12 @@ def test_vector_tiles_are_unpacked(spark):
     other = field(1, b"M") + field(2, point(1, 1, ()))
     got = feeds.tile_points(spark.createDataFrame([(1, 1, 0, bytearray(field(3, layer) + field(3, other)))], "z int, x int, y int, content binary"), "L").collect()
     assert len(got) == 1 and got[0].properties == {"a": "text", "b": "2.5"}
+    w = feeds.Wire(b"".join(map(varint, (0, 1, 127, 128, 300, 2**63, 2**64 - 1))))
+    assert w.numbers(0, len(w.content)).tolist() == [0, 1, 127, 128, 300, 2**63, 2**64 - 1] and w.numbers(0, 0).tolist() == []
+    assert feeds._signed(np.array([0, 1, 2, 3, 2**32 - 1], np.uint64)).tolist() == [0, -1, 1, -2, -(2**31)]
+    for broken in (varint(3 << 3 | 3), varint(3 << 3 | 2) + varint(9) + b"x", varint(1 << 3 | 1) + b"1234"):
+        with pytest.raises(ValueError):
+            feeds.Wire(broken).items(0, len(broken))
     assert abs(got[0].lon - 90.0) < 1e-9 and abs(got[0].lat - math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * 0.125))))) < 1e-9
 
 

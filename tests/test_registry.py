@@ -8,7 +8,7 @@ from trackloom.plans import registry
 Q, O = registry.queries(), registry.oracle_sql()
 #: Queries that SQL can't say, and the test that compares each with brute force or another arithmetic.
 CHECKED = {
-    "dedupe_leaders": "test_leaders_equal_a_greedy_pass", "dedupe_same_stories": "test_same_stories_equal_a_greedy_pass", "place_candidates": "test_name_candidates_by_hand", "place_reconcile": "test_verdicts_by_hand",
+    "dedupe_leaders": "test_leaders_equal_a_greedy_pass", "dedupe_same_stories": "test_same_stories_equal_a_greedy_pass", "place_reconcile": "test_verdicts_by_hand",
     "fn_terminator": "test_terminator_and_sun_times_lie_on_their_threshold", "fn_sun_times": "test_terminator_and_sun_times_lie_on_their_threshold", "orbit_track": "test_tracks_and_passes_equal_another_propagation",
     "orbit_passes": "test_tracks_and_passes_equal_another_propagation", "reach_contours": "test_contours_equal_scalar_arithmetic_and_stop_at_land",
 }
