@@ -222,7 +222,7 @@ def draught_profile(log: DataFrame, laden=0.85, ballast=0.55, least=5) -> DataFr
         F.countDistinct(d).alias("samples"), F.max_by(d, F.when(d.isNotNull(), F.struct("ts", "event_id"))).alias("latest"), F.min(d).alias("low"), F.max(d).alias("high")
     )
     r = F.col("latest") / F.col("high")
-    verdict = F.when(F.col("samples") < least, "unknown").when(r >= laden, "laden").when(r <= ballast, "ballast").otherwise("part")
+    verdict = F.when(F.col("samples") < least, "unknown").when(r > laden, "laden").when(r < ballast, "ballast").otherwise("unknown")
     return base.withColumn("state", verdict)
 
 
@@ -386,7 +386,7 @@ ORACLES = {
         SELECT field, round(max(v) - min(v), 6) AS spread, arg_min(publisher, {'v': v, 'p': publisher}) AS lowest, arg_min(publisher, {'v': -v, 'p': publisher}) AS highest, count(*) AS n FROM g GROUP BY 1 HAVING count(*) >= 2""",
     "agg_priors": oracle("positions", "SELECT entity_id, count(*) AS n, count(*) FILTER (kind = 'error') AS errors, max(ts) AS last_ts, arg_max(kind, {'t': ts, 'e': event_id}) AS last_kind FROM positions GROUP BY 1"),
     "agg_draught_profile": oracle(
-        "positions", "SELECT *, CASE WHEN samples < 5 THEN 'unknown' WHEN latest / high >= 0.85 THEN 'laden' WHEN latest / high <= 0.55 THEN 'ballast' ELSE 'part' END AS state FROM g",
+        "positions", "SELECT *, CASE WHEN samples < 5 THEN 'unknown' WHEN latest / high > 0.85 THEN 'laden' WHEN latest / high < 0.55 THEN 'ballast' ELSE 'unknown' END AS state FROM g",
         "g AS (SELECT entity_id, count(DISTINCT round(draught, 1)) FILTER (draught > 0) AS samples, arg_max(round(draught, 1), {'t': ts, 'e': event_id}) FILTER (draught > 0) AS latest, min(round(draught, 1)) FILTER (draught > 0) AS low, max(round(draught, 1)) FILTER (draught > 0) AS high FROM positions GROUP BY 1)",
     ),
     "agg_cell_rollup": oracle("positions", "SELECT cy, cx, observed, flagged, flagged / observed >= 0.25 AS jammed FROM (SELECT CAST(floor(lat + 1e-9) AS BIGINT) AS cy, CAST(floor(lon + 1e-9) AS BIGINT) AS cx, count(*) AS observed, count(*) FILTER (speed > 100) AS flagged FROM positions GROUP BY ALL)"),

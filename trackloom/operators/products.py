@@ -243,7 +243,7 @@ ORACLES = {
     ),
     "doc_port_calls": _CALLS("SELECT entity_id, place_id, match, arrived_at, departed_at, draught_in, draught_out FROM done"),
     "doc_vessel_profile": _CALLS(
-        """SELECT g.entity_id, CASE WHEN samples < 5 THEN 'unknown' WHEN latest / high >= 0.85 THEN 'laden' WHEN latest / high <= 0.55 THEN 'ballast' ELSE 'part' END AS state, last_place, CASE WHEN last_place IS NOT NULL THEN 'last port call: ' || last_place ELSE 'no port call on record' END || '; no declared destination. From position reports alone; no cargo is asserted.' AS sentence
+        """SELECT g.entity_id, CASE WHEN samples < 5 THEN 'unknown' WHEN latest / high > 0.85 THEN 'laden' WHEN latest / high < 0.55 THEN 'ballast' ELSE 'unknown' END AS state, last_place, CASE WHEN last_place IS NOT NULL THEN 'last port call: ' || last_place ELSE 'no port call on record' END || '; no declared destination. From position reports alone; no cargo is asserted.' AS sentence
         FROM (SELECT entity_id, count(DISTINCT round(draught, 1)) FILTER (draught > 0) AS samples, arg_max(round(draught, 1), {'t': ts, 'e': event_id}) FILTER (draught > 0) AS latest, max(round(draught, 1)) FILTER (draught > 0) AS high FROM positions GROUP BY 1) g LEFT JOIN (SELECT entity_id, arg_max(place_id, {'a': arrived_at, 'p': place_id}) AS last_place FROM done GROUP BY 1) x ON x.entity_id = g.entity_id""",
     ),
     "doc_flight_legs": oracle(

@@ -11,7 +11,7 @@ FLAGSHIP = "position_gaps"
 #: Modules that define QUERIES and ORACLES.
 MODULES: tuple[str, ...] = (
     *(f"trackloom.operators.{m}" for m in ("windows", "topk", "aggregates", "joins", "predicates", "dedupe", "upserts", "scalars", "gazetteer", "products", "monitor", "polygons", "labels", "sky", "placing")),
-    "trackloom.sources.landed", "trackloom.sources.feeds",
+    "trackloom.sources.landed", "trackloom.sources.feeds", "trackloom.sources.slots", "trackloom.streaming.rolling",
 )
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions.hexgrid import cell_of, centre_of
+from trackloom.session import ship
 from trackloom.sources.standins import oracle, positions, reports, sites, table
 
 #: The zero-based positions used of the event export's 61 tab-separated columns.
@@ -122,6 +124,12 @@ def jam_cells(df: DataFrame, ratio: float = 0.25, least: int = 2, cap: int = 100
     return r.where(F.col("ratio") >= ratio).orderBy(F.desc("ratio"), "cell").limit(cap)
 
 
+def jam_centres(cells: DataFrame) -> DataFrame:
+    """Interference cells (hexagons of resolution 4 as text) with the centres of those that are cells at all."""
+    ship(cells.sparkSession)
+    return cells.withColumn("at", centre_of(F.col("cell"))).where("at is not null").select("*", "at.lat", "at.lon").drop("at")
+
+
 def price_index(lines: DataFrame) -> DataFrame:
     """Rows (month, value) under the line whose first cell is "date", in a table (n, value) of numbered lines; what stands above is a preamble."""
     cells = F.split("value", ",")
@@ -245,6 +253,12 @@ def _feeds(s, d):
 
 
 _BOXES = [(10.0, -20.0, 30.0, 15.0), (25.0, 10.0, 45.0, 60.0), (-40.0, 100.0, -10.0, 155.0)]
+def _hexes(s, d):
+    ship(s)
+    r = reports(s, d).select(F.when(F.col("report_id") % 50 == 0, "no cell").otherwise(cell_of(F.col("lat"), F.col("lon"))).alias("cell"), "status")
+    return r.groupBy("cell").agg(F.count_if(F.col("status") == "F").alias("bad"), F.count_if(F.col("status") != "F").alias("good"))
+
+
 QUERIES = {
     "scan_events": lambda s, d: located_events(positional(_export(s, d), EVENT_COLUMNS)).select("event_id", "lat", "lon", "quad", "mentions", "goldstein", "is_root", "root_code", "url"),
     "scan_outlets": lambda s, d: outlets(table(s, d, "pages").select((F.col("page_id") % 20).alias("event_id"), F.upper(F.regexp_extract("url", "//([^/]+)", 1)).alias("domain"), "url").unionByName(table(s, d, "documents").select((F.col("doc_id") % 20).alias("event_id"), F.concat("source", F.lit(".org "), F.col("doc_id") % 90).alias("domain"), F.concat(F.lit("u"), "doc_id").alias("url"))), ["src1.org 1", "src2.org 2"], 30, 2).select("event_id", F.array_join("outlets", ",").alias("outlets"), F.array_join("links", ",").alias("links")),
@@ -260,6 +274,7 @@ QUERIES = {
     "scan_tile_cover": lambda s, d: tile_cover(s, _BOXES, 6),
     "scan_forecast_grid": lambda s, d: forecast_grid(s, 10.0, 20.0, 50.0, 84.0).select("lat", "lon", *[F.round(c, 6).alias(n) for c, n in zip(wind_components(F.col("lat") / 3, F.col("lon") * 4), ("u", "v"))]),
     "scan_recent": lambda s, d: recent(table(s, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day")), "day", 90).select("o_orderkey", "lag_days"),
+    "scan_jam_centres": lambda s, d: jam_centres(jam_cells(_hexes(s, d))),
     "scan_jam_cells": lambda s, d: jam_cells(table(s, d, "orders").groupBy((F.col("o_custkey") % 500).alias("cell")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("bad"), F.count_if(F.col("o_orderstatus") != "F").alias("good"))),
     "scan_code_blocks": lambda s, d: code_blocks(table(s, d, "part").selectExpr("hex(p_partkey * 16) as start", "hex(p_partkey * 16 + p_size - 5) as finish", "case when p_size % 7 = 0 then 'Unallocated' else p_brand end as country", "case when p_size % 2 = 0 then 'TRUE' else 'false' end as military")),
     "scan_static_text": lambda s, d: table(s, d, "part").select("p_partkey", static_text(F.concat("p_name", F.lit("@@ @"))).alias("text"), hull_size(F.col("p_size") % 5, F.col("p_partkey") % 3).alias("length")),
