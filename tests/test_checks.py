@@ -279,7 +279,7 @@ def test_verdicts_by_hand(spark):
     assert got[1].radius_km == 1.5 and got[6].radius_km == 400.0 and got[7].radius_km == 120.0
 
 
-def contour(g):
+def contour(g, wet=None):
     """One gap's contours by scalar arithmetic."""
     own = g.samples >= 20 and g.p95_kn is not None
     top = g.p95_kn if own else {"cargo": 22.0, "tanker": 16.0}.get(g.ship_class, 18.0)
@@ -300,20 +300,31 @@ def contour(g):
     budget = max(reach - gone, 0.0)
     if 1.96 * max(along, cross) > budget:
         along, cross = along * budget / (1.96 * max(along, cross)), cross * budget / (1.96 * max(along, cross))
-    out = {}
+    out, per_lon = {}, max(111.32 * math.cos(math.radians(y)), 1.0)
     for k in range(48):
         th, br = 2 * math.pi * k / 48, math.radians(lobe)
         n, e = along * math.cos(th) * math.cos(br) - cross * math.sin(th) * math.sin(br), along * math.cos(th) * math.sin(br) + cross * math.sin(th) * math.cos(br)
+        share = np.arange(1, 13) / 12
+        dry = ~wet(y + 1.96 * n / 111.32 * share, x + 1.96 * e / per_lon * share) if wet else np.zeros(12, bool)
+        free = 1.96 * (np.argmax(dry) / 12 if dry.any() else 1.0)
         for p, z in ((50, 0.6745), (80, 1.2816), (95, 1.96)):
-            out[g.id, p, k] = (y + z * n / 111.32, x + z * e / max(111.32 * math.cos(math.radians(y)), 1.0))
+            out[g.id, p, k] = (y + min(z, free) * n / 111.32, x + min(z, free) * e / per_lon)
     return out
 
 
 def test_contours_equal_scalar_arithmetic_and_stop_at_land(spark, small):
+    from tests.test_cover import inside
+
+    seas = {r.id: [[(p.x, p.y) for p in ring] for ring in r.rings] for r in placing._water(spark, small).collect()}
     want = {}
     for g in placing._gaps(spark, small).collect():
-        want |= contour(g)
+        near = [rings for rings in seas.values() if abs(rings[0][3][1] - g.lat) < 40]
+        want |= contour(g, lambda y, x: np.any([inside(rings, (x + 180) % 360 - 180, y) for rings in near], axis=0))  # noqa: B023
     got = {(r.id, r.band, r.vertex): (r.lat, r.lon) for r in registry.queries()["reach_contours"](spark, small).collect()}
+    full = {}
+    for g in placing._gaps(spark, small).collect()[:50]:
+        full |= contour(g)
+    assert any(full[k] != want[k] for k in full) and any(full[k] == want[k] for k in full)
     assert set(got) == set(want) and all(math.isclose(got[k][0], want[k][0], abs_tol=2e-5) and math.isclose(got[k][1], want[k][1], abs_tol=2e-5) for k in want)
     one = placing._gaps(spark, small).limit(1)
     g = one.first()
