@@ -93,17 +93,27 @@ def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
     paths[since:] = [p for p in paths[since:] if p in kept]
 
 
-def materialize(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, name: str, tidy: bool = False, **metrics: Column) -> DataFrame:
     """Cut lineage: write to the shared folder as Parquet and read it back, so that a lost executor costs no recomputation.
 
-    metrics are aggregates taken while writing; their values are in the `measured` dict of the result.
+    metrics are aggregates taken while writing; their values are in the `measured` dict of the result. tidy: what the write
+    shuffled is removed when it ends, instead of when the driver next collects its garbage; nothing reads it any more.
     """
     spark = df.sparkSession
     path, schema, seen = fresh_path(spark, name), df.schema, None
     if metrics:
         seen = Observation()
         df = df.observe(seen, *[c.alias(k) for k, c in metrics.items()])
-    df.write.parquet(path)
+    before = spark.conf.get(_TIDY, "false")
+    if tidy:
+        spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
     out = spark.read.schema(schema).parquet(path)
     out._trackloom_path = path
     out.measured = seen.get if seen else {}
