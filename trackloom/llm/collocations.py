@@ -75,7 +75,7 @@ def _words(docs: DataFrame, block_words: int) -> DataFrame:
                 counts = np.bincount(code, minlength=len(words))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([first + seq]), pa.array([lang]), pa.array([o.n]), pa.array([code.tobytes()], pa.binary()), pa.array([np.packbits(np.concatenate(o.tie)).tobytes()], pa.binary()),
-                     pa.array([[w.decode("utf-8") for w in words]], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))],
+                     pa.array([[w.decode("utf-8") for w in words]], pa.list_(pa.string())), pa.array([counts.astype(np.int32)], pa.list_(pa.int32()))],
                     ["block", "lang", "n_words", "code", "tie", "word", "c"],
                 )
                 seq += 1
@@ -90,15 +90,17 @@ def _words(docs: DataFrame, block_words: int) -> DataFrame:
                         held = 0
         yield from blocks()
 
-    return map_arrow(docs.select(F.col("lang").cast("string").alias("lang"), "text"), run, f"{_BLOCK}, word array<string>, c array<long>")
+    return map_arrow(docs.select(F.col("lang").cast("string").alias("lang"), "text"), run, f"{_BLOCK}, word array<string>, c array<int>")
 
 
 def _named(blocks: DataFrame, item: list[str], least: int) -> DataFrame:
     """The items of `least` or more counts over all blocks of their language: block, slot, the item, f and its name id."""
-    slots = blocks.select("block", "lang", F.posexplode(F.arrays_zip(*item, "c")).alias("slot", "x")).select("block", "lang", "slot", *[f"x.{c}" for c in (*item, "c")]).where("c > 0")
-    same = Window.partitionBy("lang", *item)
-    own = F.shiftleft(F.col("block"), SLOT_BITS) + F.col("slot")
-    return slots.select("*", F.sum("c").over(same).alias("f"), F.min(own).over(same).alias("id"), own.alias("own")).where(F.col("f") >= least)
+    first = F.shiftleft(F.col("block"), SLOT_BITS).alias("first")
+    slots = blocks.select(first, *(["lang"] if item == ["word"] else []), F.posexplode(F.arrays_zip(*item, "c")).alias("slot", "x"))
+    slots = slots.where("x.c > 0").select(*[c for c in ("lang",) if c in slots.columns], *[f"x.{c}" for c in (*item, "c")], (F.col("first") + F.col("slot")).alias("own"))
+    same = Window.partitionBy(*[c for c in slots.columns if c not in ("c", "own")])  # names of parents are of one language
+    named = slots.select("*", F.sum("c").over(same).alias("f"), F.min("own").over(same).alias("id")).where(F.col("f") >= least)
+    return named.withColumns({"block": F.shiftright("own", SLOT_BITS), "slot": F.col("own").bitwiseAND((1 << SLOT_BITS) - 1).cast("int")})
 
 
 def _pairs(blocks: DataFrame, named: DataFrame, text: bool) -> DataFrame:
@@ -123,26 +125,26 @@ def _pairs(blocks: DataFrame, named: DataFrame, text: bool) -> DataFrame:
                 out["block"], out["lang"], out["n_words"] = [key[0].as_py()], [left["lang"][0].as_py()], [len(at)]
                 out["code"] = [code.astype(np.int32).tobytes() if text else b""]
                 out["tie"] = [np.packbits(np.diff(at, prepend=-2) == 1).tobytes() if text else b""]
-                out["left"], out["right"], out["c"] = [name[items // len(slot)]], [name[items % len(slot)]], [counts]
-        kinds = {"lang": pa.string(), "code": pa.binary(), "tie": pa.binary(), "left": pa.list_(pa.int64()), "right": pa.list_(pa.int64()), "c": pa.list_(pa.int64())}
+                out["left"], out["right"], out["c"] = [name[items // len(slot)]], [name[items % len(slot)]], [counts.astype(np.int32)]
+        kinds = {"lang": pa.string(), "code": pa.binary(), "tie": pa.binary(), "left": pa.list_(pa.int64()), "right": pa.list_(pa.int64()), "c": pa.list_(pa.int32())}
         return pa.table({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
     ready(blocks.sparkSession)
     slim = blocks.select("block", "lang", "code", "tie")
-    return slim.groupBy("block").cogroup(named.select("block", "slot", "id").groupBy("block")).applyInArrow(run, f"{_BLOCK}, left array<long>, right array<long>, c array<long>")
+    return slim.groupBy("block").cogroup(named.select("block", "slot", "id").groupBy("block")).applyInArrow(run, f"{_BLOCK}, left array<long>, right array<long>, c array<int>")
 
 
 def _levels(docs: DataFrame, least: int, longest: int, block_words: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Words by language (lang, n), and per level the names: lang, id, f and the word or the parents left and right."""
+    """Words by language (lang, n), and per level the names: id, f, and the word with its lang or the parents left and right."""
     blocks = materialize(_words(docs, block_words), "phrase-blocks-1")
     totals = materialize(blocks.groupBy("lang").agg(F.sum("n_words").alias("n")), "phrase-totals")
     names = []
     for k in range(1, longest + 1):
         item = ["word"] if k == 1 else ["left", "right"]
-        named = materialize(_named(blocks, item, least), f"phrase-named-{k}")
-        names.append(named.where("id = own").select("lang", "id", "f", *item))
+        named = materialize(_named(blocks, item, least), f"phrase-named-{k}", tidy=True)
+        names.append(named.where("id = own").select("id", "f", *item, *(["lang"] if k == 1 else [])))
         if k < longest:
-            after = materialize(_pairs(blocks, named, k + 1 < longest), f"phrase-blocks-{k + 1}")
+            after = materialize(_pairs(blocks, named, k + 1 < longest), f"phrase-blocks-{k + 1}", tidy=True)
             discard(blocks)
             blocks = after
     discard(blocks)
@@ -173,10 +175,10 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, cover:
     level = names[0].select("lang", "id", "f", F.col("word").alias("phrase"), F.col("word").alias("last"), F.expr(kinds).alias("heads"), F.expr(kinds).alias("tails"))
     found = None
     for k in range(2, longest + 1):
-        left = level.select(F.col("id").alias("left"), F.col("phrase").alias("head"), F.concat("heads", F.array("f")).alias("heads"))
+        left = level.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.concat("heads", F.array("f")).alias("heads"))
         right = level.select(F.col("id").alias("right"), "last", F.concat(F.array("f"), "tails").alias("tails"))
         joined = names[k - 1].join(left, "left").join(right, "right")
-        level = materialize(joined.select("lang", "id", "f", "left", "right", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "heads", "tails"), f"phrase-level-{k}")
+        level = materialize(joined.select("lang", "id", "f", "left", "right", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "heads", "tails"), f"phrase-level-{k}", tidy=True)
         if k < longest:
             up = names[k].select(F.explode(F.array_distinct(F.array("left", "right"))).alias("id"), F.col("f").alias("up")).groupBy("id").agg(F.max("up").alias("up"))
             kept = level.join(up, "id", "left").where(F.col("up").isNull() | (_exact(100) * _exact(F.col("up")) < _exact(cover) * _exact(F.col("f")))).drop("up")
