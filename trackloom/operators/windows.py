@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.geo import haversine_km, initial_bearing, turn
 from trackloom.operators.tracks import with_previous
+from trackloom.session import materialize
 from trackloom.sources.standins import km_sql, oracle, positions, reports, table
 
 AT = 1_705_000_000.0  # a fixed "now" for the registered queries
@@ -34,6 +35,32 @@ def state_at(log: DataFrame, at: float, window: float) -> DataFrame:
     return last.select("entity_id", "r.*")
 
 
+def frames(log: DataFrame, start: float, step: float, count: int, window: float) -> DataFrame:
+    """state_at() of `count` moments, `step` seconds apart from `start` on, in one pass over the log: a column frame from 0 on, and the fixes.
+
+    A fix belongs to the first moment that isn't before it. One row per entity and moment is left of the log, its newest
+    fix by then; it stands for all moments up to the entity's next one, as long as it is within reach of their anchors.
+    The anchors, the newest fix of all by each moment, are one row per moment.
+    """
+    if step <= 0 or count < 1:
+        raise ValueError("step is over 0, count 1 at least")
+    last = start + step * (count - 1)
+    near = log.where((F.col("ts") <= last) & (F.col("ts") > start - 2 * window))
+    # dividing may round a fix on a moment to the next one: the moments themselves decide
+    k = F.ceil((F.col("ts") - start) / step).cast("int")
+    first = F.greatest(F.lit(0), F.when(start + (k - 1) * F.lit(step) >= F.col("ts"), k - 1).when(start + k * F.lit(step) < F.col("ts"), k + 1).otherwise(k))
+    slots = near.withColumn("slot", first).where(F.col("slot") < count).groupBy("entity_id", "slot").agg(F.max_by(F.struct("event_id", "ts", "lat", "lon", "kind"), F.struct("ts", "event_id")).alias("r"))
+    slots = materialize(slots, "frames")
+    moment = F.col("frame") * F.lit(step) + start
+    # at most one row a moment, so one task is enough
+    newest = slots.groupBy("slot").agg(F.max("r.ts").alias("newest"))
+    every = log.sparkSession.range(count).select(F.col("id").cast("int").alias("frame")).join(newest, F.col("frame") == F.col("slot"), "left")
+    anchors = every.select("frame", F.max("newest").over(Window.partitionBy(F.lit(0)).orderBy("frame")).alias("anchor")).where(F.col("anchor") > moment - window)
+    until = F.least(F.lead("slot").over(Window.partitionBy("entity_id").orderBy("slot")) - 1, F.lit(count - 1), F.floor((F.col("r.ts") - start + 2 * window) / step).cast("int"))
+    shown = slots.select("entity_id", "slot", "r", until.alias("until")).where("until >= slot").select("entity_id", "r", F.explode(F.sequence("slot", "until")).alias("frame"))
+    return shown.join(F.broadcast(anchors), "frame").where(F.col("r.ts") >= F.col("anchor") - window).select("frame", "entity_id", "r.*")
+
+
 def downsample(log: DataFrame, budget: int) -> DataFrame:
     """First fix of each of about `budget` equal time buckets of each entity's track; whole seconds wide, at least one."""
     budget = min(2000, max(2, budget))
@@ -79,6 +106,7 @@ def half_trend(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
 QUERIES = {
     "position_gaps": lambda s, d: position_gaps(positions(s, d)),
     "state_as_of": lambda s, d: state_at(positions(s, d), AT, 86_400.0),
+    "replay_frames": lambda s, d: frames(positions(s, d), AT - 47 * 3_600.0, 3_600.0, 48, 7_200.0),
     "track_downsample": lambda s, d: downsample(positions(s, d), 20),
     "step_verdicts": lambda s, d: classify_steps(positions(s, d), most_gap=86_400.0),
     "capital_per_country": lambda s, d: top_one(table(s, d, "customer"), ["c_nationkey"], F.struct("c_acctbal", -F.col("c_custkey")), "c_custkey", "c_name", "c_acctbal"),
@@ -100,6 +128,11 @@ ORACLES = {
         f"""SELECT entity_id, r.event_id, r.ts, r.lat, r.lon, r.kind FROM (SELECT entity_id, {_LAST} AS r FROM positions, a WHERE ts <= {AT} AND ts >= anchor - 86400 AND ts <= anchor GROUP BY entity_id)""",
         f"a AS (SELECT max(ts) AS anchor FROM positions WHERE ts > {AT} - 86400 AND ts <= {AT})",
     ),
+    "replay_frames": oracle(
+        "positions", "SELECT frame, entity_id, event_id, ts, lat, lon, kind FROM p JOIN a ON ts <= m AND ts >= anchor - 7200 QUALIFY row_number() OVER (PARTITION BY frame, entity_id ORDER BY ts DESC, event_id DESC) = 1",
+        f"m AS (SELECT CAST(i AS INT) AS frame, {AT} - 47 * 3600 + i * 3600 AS m FROM range(48) t(i))", f"p AS (SELECT * FROM positions WHERE ts > {AT} - 60 * 3600 AND ts <= {AT})",
+        "a AS (SELECT frame, m, max(ts) AS anchor FROM m JOIN p ON ts <= m AND ts > m - 7200 GROUP BY ALL)",
+    ),
     "track_downsample": oracle(
         "positions",
         """SELECT entity_id, bucket, event_id, ts, lat, lon FROM (SELECT p.entity_id, CAST(floor((ts - t0) / greatest(1, ceil((t1 - t0) / 20))) AS BIGINT) AS bucket, event_id, ts, lat, lon FROM positions p JOIN s USING (entity_id))
