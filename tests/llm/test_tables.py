@@ -289,6 +289,14 @@ def test_vectors_equal_brute_force(spark, tile):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_vec_id_at_several_vectors_is_several_rows(spark):
+    u, v, w = [1.0, 0.0], [0.0, 1.0], [1.0, 0.01]
+    rows = [(1, 0, u), (1, 1, v), (2, 0, u), (2, 1, v), (3, 1, v), (4, 0, w), (5, 2, u), (5, 2, u), (1, 0, v)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")).collect())
+    # (1, 0, u) with 2 and 4; (1, 1, v) with 2 and 3; (5, 2, u) with its copy; (1, 0, v) alone
+    assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (4, 2, 1, False), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (5, 1, 5, True), (5, 1, 5, True), (1, 0, 1, True)])
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     r = random.Random(0)
     items = [(r.randint(0, 100), r.choice(["a", "b", "c", "d", None]), r.choice([1, 2, 3, None])) for _ in range(300)]

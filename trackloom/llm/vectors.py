@@ -96,7 +96,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     are counted, not paired. Each label's representatives are dealt into tiles of about `tile` rows, and each pair of
     tiles is a group; it emits at most one row for each of its own. Vectors that are null, empty, zero or hold null or
     non-finite components, and rows with a null label or vec_id, link with nothing: n_links 0, component_id = vec_id.
-    Vectors of unequal lengths don't link. A repeated row links with its copy. An empty table gives no rows.
+    Vectors of unequal lengths don't link. Rows are vectors whatever their vec_id: a repeated row links with its copy, and
+    a vec_id that stands at several vectors or labels is a row of its own at each. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     ready(spark)
@@ -104,11 +105,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     usable = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     good_row = F.coalesce(usable & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    grouped = rows.where(good_row).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    groups = materialize(grouped, "vector-reps", rows=F.sum("copies"))
-    sizes = groups.groupBy("label").agg(F.count("*").alias("n"))
+    grouped = rows.where(good_row).groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    groups = materialize(grouped.withColumn("rep", F.monotonically_increasing_id()), "vector-reps", rows=F.sum("copies"))
+    hot = hot_least(groups.measured["rows"] or 0)
+    sizes = groups.groupBy("label").agg(F.count("*").alias("n")).withColumn("held", F.col("n"))
     tiled = (
-        groups.join(sizes, "label")
+        join_by_key(groups, sizes, "label", hot, "held")
         .withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -122,13 +124,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     part = materialize(part, "vector-links")
     total = part.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = connected_components(part.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    named = (
-        groups.join(total, "rep", "left")
-        .join(roots, F.col("rep") == F.col("node"), "left")
-        .select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), F.col("copies").alias("n"))
-    )
+    linked_groups = groups.join(total, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("component", "rep"))
+    least = linked_groups.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("held"))
+    named = join_by_key(linked_groups, least, "root", hot, "held").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id", F.col("copies").alias("n"))
     # rows that link with nothing stay out of the join, and vectors of very many rows meet theirs by broadcast
-    linked = join_by_key(rows.where(good_row), named, ["label", "embedding"], hot_least(groups.measured["rows"] or 0)).select("vec_id", "n_links", "component_id")
+    linked = join_by_key(rows.where(good_row), named, ["label", "embedding"], hot).select("vec_id", "n_links", "component_id")
     alone = rows.where(~good_row).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
