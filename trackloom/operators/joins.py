@@ -253,15 +253,15 @@ QUERIES = {
     "join_close_pairs": lambda s, d: stationary_pairs(vessels(s, d), _site2(s, d), NOW, PAIR_KM).select("a_id", "b_id", "separation_m", "together_hours"),
     "join_nearest_attached": lambda s, d: nearest_attached(positions(s, d).select("event_id", "lat", "lon"), _site2(s, d).selectExpr("site_id as place_id", "lat2 as place_lat", "lon2 as place_lon"), 40.0).select("event_id", "place_id", F.round("place_km", 6).alias("place_km")),
     "join_nearest_of_list": lambda s, d: nearest_of_list(positions(s, d).select("event_id", "lat", "lon"), _LIST, 900.0).select("event_id", "near_id", F.round("near_km", 6).alias("near_km")),
-    "join_names": lambda s, d: name_join(table(s, d, "part").selectExpr("p_partkey", "if(p_partkey % 3 = 0, upper(p_name), p_name) as name"), table(s, d, "part").where("p_size > 5").selectExpr("if(p_partkey % 2 = 0, p_name, concat(' ', replace(p_name, ' ', '-'))) as name", "p_brand as label", "p_partkey as ordinal"), "name", "label").select("p_partkey", "label", "matched"),
+    "join_names": lambda s, d: name_join(table(s, d, "part").selectExpr("p_partkey", "if(p_partkey % 3 = 0, upper(p_name), p_name) as name"), table(s, d, "part").selectExpr("if(p_partkey % 2 = 0, p_name, concat(' ', replace(p_name, ' ', '-'))) as name", "p_brand as label", "p_partkey as ordinal"), "name", "label").select("p_partkey", "label", "matched"),
     "join_hex_allocation": lambda s, d: hex_allocation(positions(s, d).select("event_id", F.lower(F.hex((F.col("event_id") * 3) % 2100)).alias("hex")), "hex", table(s, d, "part").selectExpr("p_partkey as start", "p_partkey + p_size as finish", "p_brand as country", "p_size % 2 = 0 as military")).select("event_id", "country", "military"),
     "join_corroborated": lambda s, d: corroborated(reports(s, d)),
     "join_priority": lambda s, d: priority_lookup(
         reports(s, d).select("report_id", "actor", F.col("mentions").alias("m"), "day"),
-        [("actor", table(s, d, "customer").where("c_custkey % 3 = 0").selectExpr("c_custkey as actor", "c_name as label"), "actor"), ("m", table(s, d, "nation").where("n_nationkey % 2 = 0").selectExpr("cast(n_nationkey as int) as m", "n_name as label"), "m")], "label",
+        [("actor", table(s, d, "customer").where("c_mktsegment = 'BUILDING'").selectExpr("c_custkey as actor", "c_name as label"), "actor"), ("m", table(s, d, "nation").where("n_regionkey < 3").selectExpr("cast(n_nationkey as int) as m", "n_name as label"), "m")], "label",
     ).select("report_id", "label", "matched_on"),
-    "join_longest_prefix": lambda s, d: longest_prefix(table(s, d, "part").select(F.col("p_partkey").cast("string").alias("code")), "code", table(s, d, "part").where("p_partkey < 200 and p_partkey % 3 = 1").select(F.col("p_partkey").cast("string").alias("prefix"), F.col("p_brand").alias("label"))),
-    "join_merge_feeds": lambda s, d: merge_feeds(table(s, d, "customer").where("c_custkey % 3 <> 0").selectExpr("c_custkey as id", "c_name as name", "c_acctbal as v"), table(s, d, "supplier").selectExpr("s_suppkey as id", "s_name as name", "case when s_suppkey % 2 = 0 then s_acctbal end as v"), "id", ["name", "v"], ["name"]),
+    "join_longest_prefix": lambda s, d: longest_prefix(table(s, d, "part").select(F.col("p_partkey").cast("string").alias("code")), "code", table(s, d, "part").where("p_type like 'PROMO%'").select(F.col("p_partkey").cast("string").alias("prefix"), F.col("p_brand").alias("label"))),
+    "join_merge_feeds": lambda s, d: merge_feeds(table(s, d, "customer").where("c_acctbal >= 0").selectExpr("c_custkey as id", "c_name as name", "c_acctbal as v"), table(s, d, "supplier").selectExpr("s_suppkey as id", "s_name as name", "case when s_suppkey % 2 = 0 then s_acctbal end as v"), "id", ["name", "v"], ["name"]),
     "join_truth_days": lambda s, d: truth_match(_grp(s, d).where("status <> 'F'"), _grp(s, d).where("status = 'F'"), 3, 800.0),
     "join_semi_anti": lambda s, d: reports(s, d).join(table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("report_id")), "report_id", "left_semi").join(table(s, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("actor")), "actor", "left_anti").select("report_id", "actor"),
     "join_snap_capital": lambda s, d: reports(s, d).withColumn("country", F.col("actor") % 25).join(sites(s, d).groupBy("country").agg(F.min_by(F.struct("site_lat", "site_lon"), "site_id").alias("c")), "country", "left").select("report_id", F.when(F.col("status") == "P", F.col("c.site_lat")).otherwise(F.col("lat")).alias("lat"), F.when(F.col("status") == "P", F.col("c.site_lon")).otherwise(F.col("lon")).alias("lon"), F.col("lat").alias("original_lat")),
@@ -294,16 +294,16 @@ ORACLES = {
     ),
     "join_nearest_attached": oracle("positions sites", f"SELECT p.event_id, n.site_id AS place_id, round(n.km, 6) AS place_km FROM positions p LEFT JOIN n USING (event_id)", f"n AS (SELECT event_id, site_id, km FROM (SELECT event_id, site_id, {_KM} AS km FROM positions p, sites s) WHERE km <= 40 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(km, 9), site_id DESC) = 1)"),
     "join_nearest_of_list": oracle("positions", f"SELECT p.event_id, id AS near_id, round(km, 6) AS near_km FROM positions p LEFT JOIN n USING (event_id)", f"l(id, y, x) AS (VALUES {', '.join(f'({i}, {y}::DOUBLE, {x}::DOUBLE)' for i, y, x in _LIST)})", f"n AS (SELECT event_id, id, km FROM (SELECT event_id, id, {km_sql('lat', 'lon', 'y', 'x')} AS km FROM positions, l) WHERE km <= 900 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY km, id DESC) = 1)"),
-    "join_names": """WITH d AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE ' ' || replace(p_name, ' ', '-') END AS name, p_brand AS label, p_partkey AS o FROM part WHERE p_size > 5), e AS (SELECT name, arg_min(label, o) AS label FROM d GROUP BY 1),
+    "join_names": """WITH d AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE ' ' || replace(p_name, ' ', '-') END AS name, p_brand AS label, p_partkey AS o FROM part), e AS (SELECT name, arg_min(label, o) AS label FROM d GROUP BY 1),
         z AS (SELECT trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS k, arg_min(label, o) AS label FROM d GROUP BY 1), p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS name FROM part)
         SELECT p_partkey, coalesce(e.label, z.label) AS label, CASE WHEN e.label IS NOT NULL THEN 'exact' WHEN z.label IS NOT NULL THEN 'normalised' ELSE 'none' END AS matched FROM p LEFT JOIN e ON e.name = p.name LEFT JOIN z ON z.k = trim(regexp_replace(lower(p.name), '[^a-z0-9]+', ' ', 'g'))""",
     "join_hex_allocation": "SELECT event_id, p_brand AS country, p_size % 2 = 0 AS military FROM events LEFT JOIN part ON (event_id * 3) % 2100 BETWEEN p_partkey AND p_partkey + p_size QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY p_size, p_partkey) = 1",
     "join_corroborated": oracle("reports", "SELECT a.report_id, string_agg(DISTINCT b.category, ',' ORDER BY b.category) AS sources, count(DISTINCT b.report_id) AS n FROM reports a JOIN reports b ON abs(a.lat - b.lat) <= 0.5 AND abs(a.lon - b.lon) <= 0.5 AND abs(a.day - b.day) <= 2 AND a.report_id <> b.report_id GROUP BY 1"),
-    "join_priority": oracle("reports", "SELECT report_id, coalesce(c_name, n_name) AS label, CASE WHEN c_name IS NOT NULL THEN 'actor' WHEN n_name IS NOT NULL THEN 'm' END AS matched_on FROM reports LEFT JOIN customer ON c_custkey = actor AND c_custkey % 3 = 0 LEFT JOIN nation ON n_nationkey = mentions AND n_nationkey % 2 = 0"),
-    "join_longest_prefix": """WITH d AS (SELECT CAST(p_partkey AS VARCHAR) AS prefix, p_brand AS label FROM part WHERE p_partkey < 200 AND p_partkey % 3 = 1), c AS (SELECT CAST(p_partkey AS VARCHAR) AS code FROM part)
+    "join_priority": oracle("reports", "SELECT report_id, coalesce(c_name, n_name) AS label, CASE WHEN c_name IS NOT NULL THEN 'actor' WHEN n_name IS NOT NULL THEN 'm' END AS matched_on FROM reports LEFT JOIN customer ON c_custkey = actor AND c_mktsegment = 'BUILDING' LEFT JOIN nation ON n_nationkey = mentions AND n_regionkey < 3"),
+    "join_longest_prefix": """WITH d AS (SELECT CAST(p_partkey AS VARCHAR) AS prefix, p_brand AS label FROM part WHERE p_type LIKE 'PROMO%'), c AS (SELECT CAST(p_partkey AS VARCHAR) AS code FROM part)
         SELECT code, prefix, label FROM c LEFT JOIN d ON starts_with(code, prefix) QUALIFY row_number() OVER (PARTITION BY code ORDER BY length(prefix) DESC NULLS LAST) = 1""",
     "join_merge_feeds": """SELECT coalesce(a.c_custkey, b.s_suppkey) AS id, coalesce(b.s_name, a.c_name) AS name, CASE WHEN b.s_suppkey IS NOT NULL THEN CASE WHEN b.s_suppkey % 2 = 0 THEN b.s_acctbal END ELSE a.c_acctbal END AS v,
-        CASE WHEN a.c_custkey IS NULL THEN 'b' WHEN b.s_suppkey IS NULL THEN 'a' ELSE 'a+b' END AS sources FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN supplier b ON a.c_custkey = b.s_suppkey""",
+        CASE WHEN a.c_custkey IS NULL THEN 'b' WHEN b.s_suppkey IS NULL THEN 'a' ELSE 'a+b' END AS sources FROM (SELECT * FROM customer WHERE c_acctbal >= 0) a FULL JOIN supplier b ON a.c_custkey = b.s_suppkey""",
     "join_truth_days": oracle("reports", f"SELECT report_id, truth_id, round(km, 6) AS km FROM (SELECT a.report_id, b.report_id AS truth_id, {km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km FROM reports a JOIN reports b ON a.actor % 50 = b.actor % 50 AND a.status <> 'F' AND b.status = 'F' AND abs(a.day - b.day) <= 3) WHERE km <= 800 QUALIFY row_number() OVER (PARTITION BY report_id ORDER BY round(km, 9), truth_id) = 1"),
     "join_semi_anti": oracle("reports", "SELECT report_id, actor FROM reports WHERE report_id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AND actor NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"),
     "join_snap_capital": oracle("reports sites", "SELECT report_id, CASE WHEN status = 'P' THEN site_lat ELSE lat END AS lat, CASE WHEN status = 'P' THEN site_lon ELSE lon END AS lon, lat AS original_lat FROM reports LEFT JOIN (SELECT country, arg_min(site_lat, site_id) AS site_lat, arg_min(site_lon, site_id) AS site_lon FROM sites GROUP BY 1) c ON c.country = actor % 25"),

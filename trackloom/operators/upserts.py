@@ -160,7 +160,7 @@ def changed_since(log: DataFrame, marks: dict[str, float]) -> tuple[DataFrame, D
 def _halves(s, d):
     p = positions(s, d)
     state = p.where(F.col("ts") < SPLIT).groupBy("entity_id").agg(F.max_by(F.struct("ts", "event_id", "lat", "lon"), F.struct("ts", "event_id")).alias("r")).select("entity_id", "r.*").withColumn("moved_at", F.col("ts") - 60)
-    return state, p.where((F.col("ts") >= SPLIT) & (F.col("entity_id") % 3 != 0))
+    return state, p.where((F.col("ts") >= SPLIT) & (F.col("kind") != "view"))
 
 
 def _cells(s, d, late: bool):
@@ -180,7 +180,7 @@ def _versions(s, d, new: bool):
 
 def _alerts(s, d):
     fire = reports(s, d).where("mentions = 8 and severity > 300000").select(F.col("actor").alias("subject")).distinct()
-    kept = table(s, d, "customer").where("c_custkey % 2 = 0").selectExpr("c_custkey as subject", "cast(c_custkey % 100 as int) as first_seen", "1 as occurrences", "case when c_custkey % 3 = 0 then 50 end as resolved_at")
+    kept = table(s, d, "customer").where("c_acctbal > 0").selectExpr("c_custkey as subject", "cast(c_custkey % 100 as int) as first_seen", "1 as occurrences", "case when c_custkey % 3 = 0 then 50 end as resolved_at")
     return alerts(fire, kept, 1000)
 
 
@@ -220,7 +220,7 @@ ORACLES = {
         """SELECT coalesce(o.entity_id, n.entity_id) AS entity_id, coalesce(n.ts, o.ts) AS ts, coalesce(n.event_id, o.event_id) AS event_id, coalesce(n.lat, o.lat) AS lat, coalesce(n.lon, o.lon) AS lon,
         CASE WHEN n.ts IS NULL THEN o.ts - 60 WHEN o.ts IS NULL OR abs(n.lat - o.lat) > 1e-5 OR abs(n.lon - o.lon) > 1e-5 THEN n.ts ELSE o.ts - 60 END AS moved_at FROM o FULL JOIN n ON o.entity_id = n.entity_id""",
         f"o AS (SELECT * FROM positions WHERE {_L} QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, event_id DESC) = 1)",
-        f"n AS (SELECT * FROM positions WHERE NOT {_L} AND entity_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, event_id DESC) = 1)",
+        f"n AS (SELECT * FROM positions WHERE NOT {_L} AND kind <> 'view' QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, event_id DESC) = 1)",
     ),
     "upsert_change_log": oracle("positions", "SELECT entity_id, event_id, ts FROM (SELECT *, lag(floor(lat)) OVER w AS y, lag(floor(lon)) OVER w AS x FROM positions WINDOW w AS (PARTITION BY entity_id ORDER BY ts, event_id)) WHERE y IS NULL OR floor(lat) <> y OR floor(lon) <> x"),
     "upsert_synthetic_key": oracle("positions", "SELECT event_id, substr(sha1(event_id || '|' || kind || '|' || coalesce(CAST(on_ground AS VARCHAR), 'None')), 1, 20) AS key FROM positions"),
@@ -239,7 +239,7 @@ ORACLES = {
         """SELECT coalesce(s.subject, f.subject) AS subject, CASE WHEN f.subject IS NOT NULL AND NOT (s.subject IS NOT NULL AND resolved_at IS NULL) THEN 1000 ELSE first_seen END AS first_seen,
         coalesce(occurrences, 0) + CASE WHEN f.subject IS NOT NULL THEN 1 ELSE 0 END AS occurrences, CASE WHEN f.subject IS NULL THEN coalesce(resolved_at, 1000) END AS resolved_at FROM s FULL JOIN f ON s.subject = f.subject""",
         "f AS (SELECT DISTINCT actor AS subject FROM reports WHERE mentions = 8 AND severity > 300000)",
-        "s AS (SELECT c_custkey AS subject, CAST(c_custkey % 100 AS INT) AS first_seen, 1 AS occurrences, CASE WHEN c_custkey % 3 = 0 THEN 50 END AS resolved_at FROM customer WHERE c_custkey % 2 = 0)",
+        "s AS (SELECT c_custkey AS subject, CAST(c_custkey % 100 AS INT) AS first_seen, 1 AS occurrences, CASE WHEN c_custkey % 3 = 0 THEN 50 END AS resolved_at FROM customer WHERE c_acctbal > 0)",
     ),
     "upsert_health": oracle(
         "positions", f"SELECT *, CASE WHEN {T0 + 30.5 * 86400} - newest > 54000 THEN 'frozen' WHEN NOT ok THEN 'error' ELSE 'fresh' END AS verdict FROM h",

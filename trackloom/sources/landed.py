@@ -242,7 +242,7 @@ def _features(s, d):
         F.col("site_id") % 3 == 1, F.to_json(F.struct(F.lit("LineString").alias("type"), F.array(F.array("x", "y"), F.array(F.col("x") + 1, F.col("y") + 1)).alias("coordinates")))).otherwise(
         F.to_json(F.struct(F.lit("MultiLineString").alias("type"), F.array(F.array(F.array("x", "y")), F.array(F.array("x", "y"), F.array("y", "x"), F.array("x", "x"))).alias("coordinates"))))
     one = F.concat(F.lit('{"id":"'), F.col("site_id"), F.lit('","properties":{"k":"v"},"geometry":'), geometry, F.lit("}"))
-    return features(rows.groupBy((F.col("site_id") % 4).alias("doc")).agg(F.concat(F.lit('{"features":['), F.array_join(F.collect_list(one), ","), F.lit("]}")).alias("value")))
+    return features(rows.groupBy(F.floor(F.col("site_id") / 30).alias("doc")).agg(F.concat(F.lit('{"features":['), F.array_join(F.collect_list(one), ","), F.lit("]}")).alias("value")))
 
 
 def _feeds(s, d):
