@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 FLAGSHIP = "position_gaps"
 #: Modules that define QUERIES and ORACLES.
 MODULES: tuple[str, ...] = (
-    *(f"trackloom.operators.{m}" for m in ("windows", "topk", "aggregates", "joins", "predicates", "dedupe", "incidents", "upserts", "scalars", "gazetteer", "nameindex", "products", "monitor", "fusion", "polygons", "labels", "sky", "placing", "viewport")),
+    *(f"trackloom.operators.{m}" for m in ("windows", "topk", "aggregates", "joins", "predicates", "dedupe", "incidents", "upserts", "scalars", "gazetteer", "nameindex", "products", "monitor", "fusion", "polygons", "labels", "sky", "placing", "viewport", "readings", "exposure")),
     "trackloom.sources.landed", "trackloom.sources.feeds", "trackloom.sources.slots", "trackloom.streaming.rolling", "trackloom.streaming.alerts",
 )
 
