@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.operators.joins import within_radius
+from trackloom.functions.geo import haversine_km
+from trackloom.operators.joins import _spread, cell_for
 from trackloom.sources.standins import km_sql, oracle, reports, table
 
 #: Days that count as recent, sites that a document shows, and what an unnamed site is called.
@@ -37,16 +38,18 @@ def exposed_sites(events: DataFrame, sites: DataFrame) -> DataFrame:
     """Sites inside at least one event's radius, with the number of such events: site_id, category, name, lat2, lon2, event_count.
 
     events: lat, lon, radius_km. Events of one place and radius, as country centroids give them, are one row with a count
-    before anything is joined. They meet the sites band by band of radius, so a small circle doesn't pay for the widest; the
-    counts are added before they are shuffled.
+    before anything is joined. A circle lies in one cell of its band's size, and sites are copied to the cells of each band
+    that reach them, so a small circle doesn't pay for the widest and events are read once; counts are added before the shuffle.
     """
     circles = _search(events).where("state = 'searched'").groupBy("lat", "lon", "radius_km").agg(F.count("*").alias("n"))
-    hits, low = [], 0.0
-    for high in BANDS:
-        top = F.col("radius_km") <= high if high != BANDS[-1] else F.lit(True)
-        hits.append(within_radius(circles.where((F.col("radius_km") > low) & top), sites, high).where("km <= radius_km").select("site_id", "n"))
-        low = high
-    counts = reduce(DataFrame.unionByName, hits).groupBy("site_id").agg(F.sum("n").alias("event_count"))
+    band = reduce(lambda c, i: F.when(F.col("radius_km") <= BANDS[i], i).otherwise(c), reversed(range(len(BANDS) - 1)), F.lit(len(BANDS) - 1))
+    cells = [cell_for(km) for km in BANDS]
+    size, across = (F.element_at(F.array(*map(F.lit, v)), F.col("_band") + 1) for v in (cells, [int(round(360 / c)) for c in cells]))
+    placed = circles.withColumn("_band", band).withColumn("_cy", F.floor(F.col("lat") / size).cast("int")).withColumn("_cx", F.pmod(F.floor(F.col("lon") / size).cast("int"), across))
+    at = sites.select("site_id", "lat2", "lon2")
+    reach = reduce(DataFrame.unionByName, [_spread(at, km, ("lat2", "lon2"), c).withColumn("_band", F.lit(i)) for i, (km, c) in enumerate(zip(BANDS, cells))])
+    hits = placed.join(reach, ["_band", "_cy", "_cx"]).where(haversine_km("lat", "lon", "lat2", "lon2") <= F.col("radius_km"))
+    counts = hits.groupBy("site_id").agg(F.sum("n").alias("event_count"))
     return sites.join(counts, "site_id")
 
 
