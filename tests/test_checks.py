@@ -394,3 +394,16 @@ def test_scratch_tables_are_measured_and_released(spark):
     assert not os.path.exists(path(a)) and b.count() == 3
     discard(b)
     assert made(spark) == since
+
+
+def test_vessels_of_few_draughts_are_told_from_those_between_the_ratios(spark):
+    from trackloom.operators import products
+
+    tracks = {1: (6, 7, 8, 9, 10, 7), 2: (6, 7, 8, 9, 10, 10), 3: (4, 6, 7, 8, 9, 10, 5), 4: (10, 7), 5: (None, 0)}  # the last reading is the latest
+    log = spark.createDataFrame([(e, 10 * e + k, float(k), None if d is None else float(d)) for e, ds in tracks.items() for k, d in enumerate(ds)], "entity_id long, event_id long, ts double, draught double")
+    calls = spark.createDataFrame([(2, 5, 1.0)], "entity_id long, place_id long, arrived_at double")
+    got = {r.entity_id: (r.state, r.reason, r.samples, r.latest, r.low, r.high) for r in products.profile_document(log, calls).collect()}
+    assert got == {
+        1: ("unknown", None, 5, 7.0, 6.0, 10.0), 2: ("laden", None, 5, 10.0, 6.0, 10.0), 3: ("ballast", None, 7, 5.0, 4.0, 10.0),
+        4: ("unknown", "insufficient_samples", 2, 7.0, 7.0, 10.0), 5: ("unknown", "insufficient_samples", 0, None, None, None),
+    }

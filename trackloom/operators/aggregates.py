@@ -15,6 +15,8 @@ from trackloom.sources.standins import km_sql, oracle, positions, reports, sites
 T0 = 1_704_067_200.0  # 2024-01-01
 DAY = 86_400.0
 SPEED_SENTINEL = 102.3
+#: Distinct draughts below which nothing is said of a vessel's load.
+LEAST_DRAUGHTS = 5
 
 
 def filtered_counts(log: DataFrame) -> DataFrame:
@@ -216,7 +218,7 @@ def spread(df: DataFrame) -> DataFrame:
     return out.where("n >= 2")
 
 
-def draught_profile(log: DataFrame, laden=0.85, ballast=0.55, least=5) -> DataFrame:
+def draught_profile(log: DataFrame, laden=0.85, ballast=0.55, least=LEAST_DRAUGHTS) -> DataFrame:
     d = F.when(F.col("draught") > 0, F.round("draught", 1))
     base = log.groupBy("entity_id").agg(
         F.countDistinct(d).alias("samples"), F.max_by(d, F.when(d.isNotNull(), F.struct("ts", "event_id"))).alias("latest"), F.min(d).alias("low"), F.max(d).alias("high")

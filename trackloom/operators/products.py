@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.geo import in_box
-from trackloom.operators.aggregates import T0, draught_profile, mix
+from trackloom.operators.aggregates import LEAST_DRAUGHTS, T0, draught_profile, mix
 from trackloom.operators.dedupe import REC, incident_clusters
 from trackloom.operators.joins import BOXES, NOW, PAIR_KM, box_labels, first_box, look_back, nearest_attached, stationary_pairs, vessels
 from trackloom.operators.labels import implied_trade
@@ -126,9 +126,13 @@ def interference_document(steps: DataFrame, cells: DataFrame, least: int = 2, sh
 
 
 def profile_document(log: DataFrame, calls: DataFrame) -> DataFrame:
-    """Each vessel's draught profile with its last port call and a sentence that says what they imply and what they don't."""
+    """Each vessel's draught profile with its last port call and a sentence that says what they imply and what they don't.
+
+    reason tells vessels of too few samples from those between the ratios; both are unknown.
+    """
     last = calls.groupBy("entity_id").agg(F.max_by("place_id", F.struct("arrived_at", "place_id")).alias("last_place"), F.max("arrived_at").alias("last_call"))
     j = draught_profile(log).join(last, "entity_id", "left")
+    j = j.withColumn("reason", F.when(F.col("samples") < LEAST_DRAUGHTS, "insufficient_samples"))
     return j.withColumn("sentence", implied_trade(F.lit(None).cast("string"), F.col("last_place").cast("string"), F.lit(None).cast("string")))
 
 
@@ -191,7 +195,7 @@ QUERIES = {
     "doc_field_activity": lambda s, d: field_activity(nearest_attached(positions(s, d), _places(s, d), 60.0).where("place_id is not null"), 20),
     "doc_interference_cells": lambda s, d: interference_document(_steps(s, d), _cells(s, d))[0],
     "doc_interference_aircraft": lambda s, d: interference_document(_steps(s, d), _cells(s, d))[1],
-    "doc_vessel_profile": lambda s, d: profile_document(positions(s, d), port_call_document(_slow(positions(s, d)), _places(s, d))).select("entity_id", "state", "last_place", "sentence"),
+    "doc_vessel_profile": lambda s, d: profile_document(positions(s, d), port_call_document(_slow(positions(s, d)), _places(s, d))).select("entity_id", "state", "reason", "samples", "latest", "low", "high", "last_place", "sentence"),
     "doc_event_feed": lambda s, d: feed(reports(s, d).select("report_id", "severity", "lat", "lon"), "report_id", [F.desc_nulls_last("severity")], None, 1_200),
     "doc_event_region": lambda s, d: feed(reports(s, d).select("report_id", "severity", "lat", "lon"), "report_id", [F.desc_nulls_last("severity")], BOXES["middle"], 1_200),
     "doc_export": lambda s, d: export_document(positions(s, d), ["view", "click", "absent"], BOXES["middle"], T0 + 30 * 86_400, 3_600.0),
@@ -243,8 +247,8 @@ ORACLES = {
     ),
     "doc_port_calls": _CALLS("SELECT entity_id, place_id, match, arrived_at, departed_at, draught_in, draught_out FROM done"),
     "doc_vessel_profile": _CALLS(
-        """SELECT g.entity_id, CASE WHEN samples < 5 THEN 'unknown' WHEN latest / high > 0.85 THEN 'laden' WHEN latest / high < 0.55 THEN 'ballast' ELSE 'unknown' END AS state, last_place, CASE WHEN last_place IS NOT NULL THEN 'last port call: ' || last_place ELSE 'no port call on record' END || '; no declared destination. From position reports alone; no cargo is asserted.' AS sentence
-        FROM (SELECT entity_id, count(DISTINCT round(draught, 1)) FILTER (draught > 0) AS samples, arg_max(round(draught, 1), {'t': ts, 'e': event_id}) FILTER (draught > 0) AS latest, max(round(draught, 1)) FILTER (draught > 0) AS high FROM positions GROUP BY 1) g LEFT JOIN (SELECT entity_id, arg_max(place_id, {'a': arrived_at, 'p': place_id}) AS last_place FROM done GROUP BY 1) x ON x.entity_id = g.entity_id""",
+        """SELECT g.entity_id, CASE WHEN samples < 5 THEN 'unknown' WHEN latest / high > 0.85 THEN 'laden' WHEN latest / high < 0.55 THEN 'ballast' ELSE 'unknown' END AS state, CASE WHEN samples < 5 THEN 'insufficient_samples' END AS reason, samples, latest, low, high, last_place, CASE WHEN last_place IS NOT NULL THEN 'last port call: ' || last_place ELSE 'no port call on record' END || '; no declared destination. From position reports alone; no cargo is asserted.' AS sentence
+        FROM (SELECT entity_id, count(DISTINCT round(draught, 1)) FILTER (draught > 0) AS samples, arg_max(round(draught, 1), {'t': ts, 'e': event_id}) FILTER (draught > 0) AS latest, min(round(draught, 1)) FILTER (draught > 0) AS low, max(round(draught, 1)) FILTER (draught > 0) AS high FROM positions GROUP BY 1) g LEFT JOIN (SELECT entity_id, arg_max(place_id, {'a': arrived_at, 'p': place_id}) AS last_place FROM done GROUP BY 1) x ON x.entity_id = g.entity_id""",
     ),
     "doc_flight_legs": oracle(
         "positions sites",
