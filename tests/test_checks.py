@@ -407,3 +407,16 @@ def test_vessels_of_few_draughts_are_told_from_those_between_the_ratios(spark):
         1: ("unknown", None, 5, 7.0, 6.0, 10.0), 2: ("laden", None, 5, 10.0, 6.0, 10.0), 3: ("ballast", None, 7, 5.0, 4.0, 10.0),
         4: ("unknown", "insufficient_samples", 2, 7.0, 7.0, 10.0), 5: ("unknown", "insufficient_samples", 0, None, None, None),
     }
+
+
+def test_tidy_tables_are_written_with_zstd(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from trackloom.session import discard, materialize
+
+    df = materialize(spark.range(1000), "tidy-test", tidy=True)
+    found = {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in glob.glob(df._trackloom_path.removeprefix("file:") + "/*.parquet")}
+    assert found == {"ZSTD"} and df.count() == 1000
+    discard(df)
