@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as P
@@ -90,3 +92,49 @@ def test_similar_words_below_the_rule_stay(spark):
 
 def test_empty_table(spark):
     assert shingles.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pairs_met_grow_with_the_rows_of_a_group(spark, monkeypatch):
+    # near-copies that bucket ends leave in many components: all their pairs were met at once
+    r = random.Random(7)
+    base = ["w%d" % k for k in range(200)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for at in r.sample(range(200), r.randint(3, 6)):
+            w[at] = "x%d" % r.randint(0, 400)
+        rows.append((i, " ".join(w)))
+    met = []
+
+    def counted(df, name, **how):
+        out = materialize(df, name, **how)
+        if name == "shingle-left":
+            met.append(out.count())
+        return out
+
+    materialize = shingles.materialize
+    monkeypatch.setattr(shingles, "materialize", counted)
+    got = {x.doc_id: x.component_id for x in shingles.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert {i: got.get(i, i) for i in want} == want
+    assert max(met) < 4 * len(rows), met
+
+
+def test_likeliest_mates_are_a_row_a_row_at_most():
+    r = np.random.default_rng(3)
+    m, words = 200, shingles.PARITY_BITS // 64
+    base = r.integers(0, 1 << 63, words, dtype=np.uint64)
+    bits = np.array([base ^ np.eye(1, words, k % words, dtype=np.uint64)[0] * np.uint64(1 << (k % 60)) for k in range(m)])
+    k = np.arange(m, dtype=np.int64)
+    cols = [k // 100, 0 * k, 0 * k, k, 0 * k + 300, k // 2, [x.tobytes() for x in bits]]
+    rows = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["b", "i", "j", "k", "n", "c", "bits"])
+
+    def pairs(find, *parts):
+        return {p for b in find(iter(parts)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+
+    every, mates = pairs(shingles._pairs, rows), pairs(shingles._mates, rows)
+    assert every == {(x, y) for x in range(m) for y in range(x + 1, m) if x // 100 == y // 100 and x // 2 != y // 2}
+    assert mates <= every and len(mates) <= m and {x for p in mates for x in p} == set(range(m))
+    assert pairs(shingles._pairs, rows[:37], rows[37:150], rows[150:]) == every
+    gap = {p: int(np.bitwise_count(bits[p[0]] ^ bits[p[1]]).sum()) for p in every}
+    assert all(min(gap[p] for p in mates if x in p) == min(gap[p] for p in every if x in p) for x in range(m))

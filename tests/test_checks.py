@@ -420,3 +420,26 @@ def test_tidy_tables_are_written_with_zstd(spark):
     found = {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in glob.glob(df._trackloom_path.removeprefix("file:") + "/*.parquet")}
     assert found == {"ZSTD"} and df.count() == 1000
     discard(df)
+
+
+@pytest.mark.parametrize("few", [0, 40, None])
+def test_small_graphs_are_settled_at_once(spark, monkeypatch, few):
+    """A graph that one task holds is written twice, not once a round; larger ones take rounds, with equal results."""
+    r = random.Random(9)
+    edges = [(k, k + 1) for k in range(300)] + [(1000 + k, 1000) for k in range(50)] + [(r.randrange(2000, 2200), r.randrange(2000, 2200)) for _ in range(150)]
+    r.shuffle(edges)
+    wrote, write = [], graph._written
+    monkeypatch.setattr(graph, "_written", lambda e: wrote.append(1) or write(e))
+    frame = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    rows = (graph.connected_components(frame) if few is None else graph.connected_components(frame, few=few)).collect()
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in edges:
+        new = dict(root)
+        for u, v in edges:
+            if u != v:
+                new[u] = new[v] = min(new[u], new[v])
+        if new == root:
+            break
+        root = new
+    assert {x.node: x.component for x in rows} == root and len(rows) == len(root)
+    assert len(wrote) == 2 if few is None else len(wrote) > 2

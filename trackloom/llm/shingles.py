@@ -7,13 +7,16 @@ shingle among the first n - ceil(0.8 n) + 1 of each. Those that no other text ho
 takes part only with what of its prefix they leave; most have none left. Equal sets are one node.
 
 Links. In each bucket (texts with a prefix shingle in common) all meet the first and last of it, and the pairs are checked
-on their whole sets. Then all pairs of a bucket whose ends are not yet in one component are checked too, but for those
-that sizes or parity bitmaps rule out: bitmaps that differ in d bits are of sets that differ in d shingles at least.
+on their whole sets. Then pairs of a bucket whose ends are not yet in one component are checked too, but for those that
+sizes or parity bitmaps rule out: bitmaps that differ in d bits are of sets that differ in d shingles at least. First each
+text meets its likeliest mate of each bucket, which joins most of a group of near-copies by pairs in proportion to its
+rows; then all pairs are taken whose ends are apart even so. No link between components is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -193,43 +196,9 @@ def _shared(docs: DataFrame, groups: int) -> DataFrame:
     return map_arrow(_dealt(counted), cut, "b long, k long, n int")
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (b, i, j, k, n, c, bits) sorted by (b, i, j) to the pairs (u < v) of a group in different components that may be alike.
-
-    A group holds two tiles at most. A batch's last group waits for the next batch.
-    """
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Rows (b, i, j, k, n, c, bits) sorted by (b, i, j) as columns of whole groups. A batch's last group waits for the next batch."""
     kept = [np.zeros(0, np.int64)] * 6 + [np.zeros((0, PARITY_BITS // 64), np.uint64)]
-
-    def solve(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        b, i, j, k, n, c, bits = cols
-        if len(b) < 2:
-            return
-        new = np.r_[True, (b[1:] != b[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
-        last = np.append(np.flatnonzero(new)[1:], len(b))[np.cumsum(new) - 1]  # end of each row's group
-        at, lag, found, count = np.arange(len(b)), 1, [], 0
-        while True:
-            at = at[at + lag < last[at]]
-            if not len(at):
-                break
-            to = at + lag
-            ok = (c[at] != c[to]) & (5 * np.minimum(n[at], n[to]) >= 4 * np.maximum(n[at], n[to]))
-            x, y = at[ok], to[ok]
-            ok = 9 * np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= n[x] + n[y]
-            if ok.any():
-                found.append((k[x[ok]], k[y[ok]]))
-                count += len(found[-1][0])
-            if count > PAIRS_AT_ONCE:
-                yield emit(found)
-                found, count = [], 0
-            lag += 1
-        if found:
-            yield emit(found)
-
-    def emit(found: list) -> pa.RecordBatch:
-        u, v = map(np.concatenate, zip(*found))
-        both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["u", "v"])
-
     for batch in batches:
         cols = [batch.column(x).to_numpy().astype(np.int64) for x in range(6)]
         cols.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint64).reshape(-1, PARITY_BITS // 64))
@@ -238,13 +207,68 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         tail = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
         cut = tail[-1] + 1 if len(tail) else 0
-        yield from solve([c[:cut] for c in cols])
+        if cut:
+            yield [c[:cut] for c in cols]
         kept = [c[cut:] for c in cols]
-    yield from solve(kept)
+    if len(kept[0]):
+        yield kept
+
+
+def _maybe(cols: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places x < y of rows of one group, in different components, that may be alike, and the bits they differ in; no place comes twice as x, or as y, at once."""
+    b, i, j, _, n, c, bits = cols
+    new = np.r_[True, (b[1:] != b[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+    last = np.append(np.flatnonzero(new)[1:], len(b))[np.cumsum(new) - 1]  # end of each row's group
+    at, lag = np.arange(len(b)), 1
+    while True:
+        at = at[at + lag < last[at]]
+        if not len(at):
+            return
+        to = at + lag
+        ok = (c[at] != c[to]) & (5 * np.minimum(n[at], n[to]) >= 4 * np.maximum(n[at], n[to]))
+        x, y = at[ok], to[ok]
+        d = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+        ok = 9 * d <= n[x] + n[y]
+        if ok.any():
+            yield x[ok], y[ok], d[ok]
+        lag += 1
+
+
+def _emitted(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["u", "v"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as of _grouped() to all pairs (u < v) of a group in different components that may be alike. A group holds two tiles at most."""
+    for cols in _grouped(batches):
+        k, found, count = cols[3], [], 0
+        for x, y, _ in _maybe(cols):
+            found.append((k[x], k[y]))
+            count += len(x)
+            if count > PAIRS_AT_ONCE:
+                yield _emitted(*map(np.concatenate, zip(*found)))
+                found, count = [], 0
+        if found:
+            yield _emitted(*map(np.concatenate, zip(*found)))
+
+
+def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the pairs of _pairs(), those of each row with its likeliest mate, that whose bits differ least: a row a row at most."""
+    for cols in _grouped(batches):
+        k = cols[3]
+        least, mate = np.full(len(k), PARITY_BITS + 1), np.full(len(k), -1)
+        for x, y, d in _maybe(cols):
+            for one, other in ((x, y), (y, x)):
+                less = d < least[one]
+                least[one[less]], mate[one[less]] = d[less], other[less]
+        has = np.flatnonzero(mate >= 0)
+        if len(has):
+            yield _emitted(k[has], k[mate[has]])
 
 
-def _apart(shared: DataFrame, reps: DataFrame, roots: DataFrame, tile: int) -> DataFrame:
-    """Distinct pairs (u, v) of the buckets whose ends are in different components and that sizes and bitmaps leave open."""
+def _apart(shared: DataFrame, reps: DataFrame, roots: DataFrame, tile: int, find: Callable) -> DataFrame:
+    """Distinct pairs (u, v) of the buckets whose ends are in different components and that sizes and bitmaps leave open: those that `find` takes."""
     labelled = shared.join(roots, shared["k"] == roots["node"], "left").select("b", "k", "n", F.coalesce("component", "k").alias("c"))
     mixed = labelled.groupBy("b").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("rows")).where("low <> high")
     tiles = mixed.select("b", F.ceil(F.col("rows") / tile).cast("int").alias("tiles"))
@@ -255,7 +279,7 @@ def _apart(shared: DataFrame, reps: DataFrame, roots: DataFrame, tile: int) -> D
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select("b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "k", "n", "c", "bits")
     )
-    return map_arrow(dealt.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j"), _pairs, "u long, v long").distinct()
+    return map_arrow(dealt.repartition("b", "i", "j").sortWithinPartitions("b", "i", "j"), find, "u long, v long").distinct()
 
 
 def _open(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -323,7 +347,7 @@ def near_copies(docs: DataFrame, tile: int = TILE, similar: Callable[[DataFrame]
     repeated = bool(sets.groupBy("doc_id").count().where("count > 1").take(1))
     discard(sets)
 
-    shared = materialize(_shared(slim, groups), "shingle-buckets", rows=F.count("*"))
+    shared = materialize(_shared(slim, groups), "shingle-buckets", tidy=True, rows=F.count("*"))
     ends = shared.groupBy("b").agg(F.min(F.struct("k", "n")).alias("low"), F.max(F.struct("k", "n")).alias("high"), F.count("*").alias("rows"))
     meets = join_by_key(shared, ends, "b", hot_least(shared.measured["rows"]), "rows").select("k", "n", F.explode(F.array("low", "high")).alias("end")).where("k <> end.k and 5 * least(n, end.n) >= 4 * greatest(n, end.n)")
     first = meets.select(F.least("k", "end.k").alias("u"), F.greatest("k", "end.k").alias("v"))
@@ -334,14 +358,19 @@ def near_copies(docs: DataFrame, tile: int = TILE, similar: Callable[[DataFrame]
     linked = materialize(_checked(first, whole), "shingle-linked")
     discard(whole)
 
-    left = _apart(shared, reps, connected_components(linked.select("u", "v")), tile)
-    left = materialize(left.join(first, ["u", "v"], "left_anti"), "shingle-left")
-    whole = _whole(slim, reps, left, repeated)
-    rest = materialize(_checked(left, whole), "shingle-linked")
-    for done in (whole, shared, first, left):
+    tried, links = [first], [linked]
+    for find in (_mates, _pairs):
+        met, found = (reduce(DataFrame.unionByName, x) for x in (tried, links))
+        roots = connected_components(found.select("u", "v"))
+        left = materialize(_apart(shared, reps, roots, tile, find).join(met, ["u", "v"], "left_anti"), "shingle-left")
+        whole = _whole(slim, reps, left, repeated)
+        links.append(materialize(_checked(left, whole), "shingle-linked"))
+        tried.append(left)
+        discard(whole)
+    for done in (shared, *tried):
         discard(done)
-    edges = linked.unionByName(rest).select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v")).unionByName(same)
+    edges = reduce(DataFrame.unionByName, links).select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v")).unionByName(same)
     out = connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-    for done in (reps, same, linked, rest):
+    for done in (reps, same, *links):
         discard(done)
     return out
