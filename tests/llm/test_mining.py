@@ -199,3 +199,29 @@ def test_bounds_drop_no_pair_and_drop_most(spark):
         assert kept[exact >= low[:, None]].all()
     i, _ = negatives.survivors(a.pick(slice(0, 50)), a, low, np.full(50, np.inf), np.ones((50, 900), bool))
     assert len(i) < 50 * 900 / 20
+
+
+def test_pairs_are_counted_as_packed_arrays(spark):
+    """A block's pairs are sent in fewer than 10 bytes each, and come back counted, named by their least place."""
+    r = np.random.default_rng(5)
+    rows, want = [], {}
+    for block in (3, 5, 9, 1 << 20):
+        both = np.unique(r.integers(0, 300, (20000, 2)), axis=0)
+        names = (r.permutation(300) % 7 << collocations.SLOT_BITS) + 7 * np.arange(300)
+        names = np.sort(names) if block == 9 else np.arange(300) * 1000 + (11 << collocations.SLOT_BITS)
+        left, right, c = names[both[:, 0]], names[both[:, 1]], r.integers(1, 6, len(both))
+        rows.append((block, left.tolist(), right.tolist(), c.tolist()))
+        for slot, (a, b, n) in enumerate(zip(*rows[-1][1:])):
+            want.setdefault((a, b), []).append(((block << collocations.SLOT_BITS) + slot, n))
+    frame = spark.createDataFrame(rows, "block long, left array<long>, right array<long>, c array<int>")
+    for groups in (1, 13):
+        got = collocations._counted(frame, groups, 7).collect()
+        expected = {own: min(x for x, _ in places) for places in want.values() if sum(n for _, n in places) >= 7 for own, _ in places}
+        assert {x.own: x.id for x in got} == expected and len(got) == len(expected)
+        heads = {(x.left, x.right): (x.id, x.f) for x in got if x.own == x.id}
+        assert heads == {k: (min(x for x, _ in v), sum(n for _, n in v)) for k, v in want.items() if sum(n for _, n in v) >= 7}
+    block, left, right, c = rows[0]
+    columns = [np.array(left), np.array(right), np.array(c, np.int32), np.diff(np.arange(len(c)), prepend=0).astype(np.int32)]
+    sent = collocations._squeezed(columns)
+    assert len(sent) < 10 * len(c)
+    assert all(np.array_equal(x, y) for x, y in zip(collocations._restored(sent, len(c), "i8", "i8", "i4", "i4"), columns))

@@ -27,6 +27,8 @@ COVER = 80
 SCALE = 2_000_000
 #: Words of a block; one document more may follow. Slots have SLOT_BITS of a name, blocks of a task SEQ_BITS.
 BLOCK_WORDS, SLOT_BITS, SEQ_BITS = 1 << 21, 30, 12
+#: Pairs that a task counts at once; there are as many groups as the pairs of all blocks need.
+COUNTED = 1 << 19
 #: Parts of a language whose best are found first.
 PARTS = 64
 
@@ -93,14 +95,78 @@ def _words(docs: DataFrame, block_words: int) -> DataFrame:
     return map_arrow(docs.select(F.col("lang").cast("string").alias("lang"), "text"), run, f"{_BLOCK}, word array<string>, c array<int>")
 
 
-def _named(blocks: DataFrame, item: list[str], least: int) -> DataFrame:
-    """The items of `least` or more counts over all blocks of their language: block, slot, the item, f and its name id."""
+def _named(blocks: DataFrame, least: int) -> DataFrame:
+    """The words of `least` or more counts over all blocks of their language: own (block and slot), lang, word, f and its name id."""
     first = F.shiftleft(F.col("block"), SLOT_BITS).alias("first")
-    slots = blocks.select(first, *(["lang"] if item == ["word"] else []), F.posexplode(F.arrays_zip(*item, "c")).alias("slot", "x"))
-    slots = slots.where("x.c > 0").select(*[c for c in ("lang",) if c in slots.columns], *[f"x.{c}" for c in (*item, "c")], (F.col("first") + F.col("slot")).alias("own"))
-    same = Window.partitionBy(*[c for c in slots.columns if c not in ("c", "own")])  # names of parents are of one language
-    named = slots.select("*", F.sum("c").over(same).alias("f"), F.min("own").over(same).alias("id")).where(F.col("f") >= least)
-    return named.withColumns({"block": F.shiftright("own", SLOT_BITS), "slot": F.col("own").bitwiseAND((1 << SLOT_BITS) - 1).cast("int")})
+    slots = blocks.select(first, "lang", F.posexplode(F.arrays_zip("word", "c")).alias("slot", "x"))
+    slots = slots.where("x.c > 0").select("lang", "x.word", "x.c", (F.col("first") + F.col("slot")).alias("own"))
+    same = Window.partitionBy("lang", "word")
+    return slots.select("*", F.sum("c").over(same).alias("f"), F.min("own").over(same).alias("id")).where(F.col("f") >= least)
+
+
+def _squeezed(columns: list[np.ndarray]) -> bytes:
+    """The columns' bytes by place (all first bytes, all second ones), since high ones are alike, with zstd."""
+    return pa.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def _restored(data: bytes, n: int, *types: str) -> list[np.ndarray]:
+    widths = [np.dtype(t).itemsize for t in types]
+    raw, at, out = np.frombuffer(pa.decompress(data, n * sum(widths), codec="zstd", asbytes=True), np.uint8), 0, []
+    for w, t in zip(widths, types):
+        out.append(np.ascontiguousarray(raw[at : at + n * w].reshape(w, n).T).reshape(-1).view(t))
+        at += n * w
+    return out
+
+
+def _counted(blocks: DataFrame, groups: int, least: int) -> DataFrame:
+    """_named() for pairs: own (block and slot), the name id, and on the row with id = own also f, left and right.
+
+    Pairs go to groups by their hash as packed arrays, a row for each block and group, and are counted there.
+    """
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, *arrays in zip(*b.columns):
+                left, right, c = (x.values.to_numpy() for x in arrays)
+                h = left.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ right.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+                group = ((h >> np.uint64(20)) % np.uint64(groups)).astype(np.int64)
+                order = np.argsort(group, kind="stable")  # slots stay sorted in a group
+                group = group[order]
+                cuts = np.flatnonzero(np.diff(group, prepend=-1))
+                ends = np.append(cuts[1:], len(group))
+                parts = [order[x:y] for x, y in zip(cuts, ends)]
+                data = [_squeezed([left[at], right[at], c[at], np.diff(at, prepend=0).astype(np.int32)]) for at in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(group[cuts]), pa.array(np.full(len(cuts), block.as_py(), np.int64)), pa.array((ends - cuts).astype(np.int32)), pa.array(data, pa.binary())], ["g", "block", "n", "data"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def named() -> pa.RecordBatch:
+            left, right, c, own = map(np.concatenate, zip(*held))
+            order = np.lexsort((own, right, left))
+            left, right, c, own = left[order], right[order], c[order], own[order]
+            first = np.flatnonzero(np.r_[True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
+            many = np.diff(np.append(first, len(own)))
+            f = np.repeat(np.add.reduceat(c.astype(np.int64), first), many)
+            name = np.repeat(own[first], many)
+            on = f >= least
+            own, name = own[on], name[on]
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(name), *(pa.array(x[on], mask=own != name) for x in (f, left, right))], ["own", "id", "f", "left", "right"])
+
+        for b in batches:
+            for g, block, n, data in zip(*(b.column(x).to_pylist() for x in range(4))):
+                if g != now:
+                    if held:
+                        yield named()
+                    now, held = g, []
+                left, right, c, step = _restored(data, n, "i8", "i8", "i4", "i4")
+                held.append((left, right, c, (block << SLOT_BITS) + np.cumsum(step, dtype=np.int64)))
+        if held:
+            yield named()
+
+    posted = map_arrow(blocks.select("block", "left", "right", "c"), post, "g long, block long, n int, data binary")
+    return map_arrow(posted.repartition("g").sortWithinPartitions("g"), count, "own long, id long, f long, left long, right long")
 
 
 def _pairs(blocks: DataFrame, named: DataFrame, text: bool) -> DataFrame:
@@ -131,7 +197,8 @@ def _pairs(blocks: DataFrame, named: DataFrame, text: bool) -> DataFrame:
 
     ready(blocks.sparkSession)
     slim = blocks.select("block", "lang", "code", "tie")
-    return slim.groupBy("block").cogroup(named.select("block", "slot", "id").groupBy("block")).applyInArrow(run, f"{_BLOCK}, left array<long>, right array<long>, c array<int>")
+    places = named.select(F.shiftright("own", SLOT_BITS).alias("block"), F.col("own").bitwiseAND((1 << SLOT_BITS) - 1).cast("int").alias("slot"), "id")
+    return slim.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(run, f"{_BLOCK}, left array<long>, right array<long>, c array<int>")
 
 
 def _levels(docs: DataFrame, least: int, longest: int, block_words: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -140,11 +207,11 @@ def _levels(docs: DataFrame, least: int, longest: int, block_words: int) -> tupl
     totals = materialize(blocks.groupBy("lang").agg(F.sum("n_words").alias("n")), "phrase-totals")
     names = []
     for k in range(1, longest + 1):
-        item = ["word"] if k == 1 else ["left", "right"]
-        named = materialize(_named(blocks, item, least), f"phrase-named-{k}", tidy=True)
-        names.append(named.where("id = own").select("id", "f", *item, *(["lang"] if k == 1 else [])))
+        found = _named(blocks, least) if k == 1 else _counted(blocks, max(1, -(-(blocks.measured["items"] or 0) // COUNTED)), least)
+        named = materialize(found, f"phrase-named-{k}", tidy=True)
+        names.append(named.where("id = own").select("id", "f", *(["word", "lang"] if k == 1 else ["left", "right"])))
         if k < longest:
-            after = materialize(_pairs(blocks, named, k + 1 < longest), f"phrase-blocks-{k + 1}", tidy=True)
+            after = materialize(_pairs(blocks, named, k + 1 < longest), f"phrase-blocks-{k + 1}", tidy=True, items=F.sum(F.size("c")))
             discard(blocks)
             blocks = after
     discard(blocks)
