@@ -2,14 +2,19 @@
 
 import hashlib
 import math
+import os
+import pathlib
 import random
+import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.llm import bpe, fingerprint, langid, quality, tokencount
+from trackloom.llm import bpe, common, fingerprint, langid, quality, tokencount
 
 TOKENIZERS = pytest.importorskip("tokenizers")
 ALPHABET = "aaabbcdeEthTHEinging  \n\t 's're é漢字😀   0123 ,.!?ſ​　\x1c\x85"
@@ -278,3 +283,36 @@ def test_token_operators_on_edge_rows(spark, library):
     assert sorted(back.text) == sorted(t or "" for _, t, _ in rows)
     for op in (bpe.round_trip, tokencount.count_tokens):
         assert op(df.limit(0)).count() == 0
+
+
+def test_language_scoring_stays_in_little_memory():
+    """300,000 different words in texts of one worker: scores as those of a fresh worker, words and scores held within bounds."""
+    path, draw = langid.default_path(), np.random.default_rng(3)
+    p = draw.random((len(langid.vocabulary(path)), 4))
+    model = langid.LanguageModel(["a", "b", "c", "d"], p / p.sum(axis=0))
+    words = ["".join(map(chr, 97 + draw.integers(0, 26, 8))) for _ in range(300_000)]
+    made = [" ".join(words[k : k + 500]) for k in range(0, len(words), 500)]
+    score = langid.Scorer(model)
+    score.score(["a"])
+    batch = pa.record_batch([pa.array(made)], ["text"])
+    tracemalloc.start()
+    got = [r for group in langid._groups(batch) for r in score.score(group)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6 and score.rows.nbytes < 8e6, most
+    assert got[::100] == langid.Scorer(model).score(made[::100])
+
+
+def test_finished_tasks_give_memory_back(spark):
+    """A worker that lives on after a task holds none of the 200 MB that the task has freed."""
+
+    def run(batches):
+        for b in batches:
+            blocks = [bytes(60_000 + k % 7) for k in range(3500)]
+            common._kept = blocks[-1]  # above what is freed, so that the heap can't shrink by itself
+            del blocks
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()] * b.num_rows)], ["pid"])
+
+    pid = common.map_arrow(spark.range(1).coalesce(1), run, "pid long").first()["pid"]
+    rollup = pathlib.Path(f"/proc/{pid}/smaps_rollup").read_text()
+    assert int(re.search(r"Pss_Anon:\s+(\d+)", rollup)[1]) < 150_000

@@ -27,9 +27,9 @@ SMOOTHING = 0.05
 #: Probability of a letter that no piece spells, in every language.
 LETTER = 1e-6
 #: A worker's cache, emptied when full: words, and log scores over all languages.
-CACHE_WORDS, CACHE_SCORES = 800_000, 8_000_000
+CACHE_WORDS, CACHE_SCORES = 150_000, 1_500_000
 #: Characters of the texts that are scored together.
-TOGETHER = 2_000_000
+TOGETHER = 500_000
 #: Words longer than this are scored with rescaling and not cached.
 LONG = 24
 _SPACE = "▁"
