@@ -225,3 +225,26 @@ def test_pairs_are_counted_as_packed_arrays(spark):
     sent = collocations._squeezed(columns)
     assert len(sent) < 10 * len(c)
     assert all(np.array_equal(x, y) for x, y in zip(collocations._restored(sent, len(c), "i8", "i8", "i4", "i4"), columns))
+
+
+def test_names_go_back_as_packed_arrays(spark):
+    """Packed, a group gives a block's places as one row of few bytes, and its names as one row; both say what the rows say."""
+    r = np.random.default_rng(6)
+    rows = []
+    for block in (3, 5, 1 << 20):
+        both = np.unique(r.integers(0, 300, (20000, 2)), axis=0)
+        left, right = ((both[:, k] * 1000 + (2 << collocations.SLOT_BITS)).tolist() for k in (0, 1))
+        rows.append((block, left, right, r.integers(1, 6, len(both)).tolist()))
+    frame = spark.createDataFrame(rows, "block long, left array<long>, right array<long>, c array<int>")
+    plain = collocations._counted(frame, 4, 7).collect()
+    got = collocations._counted(frame, 4, 7, packed=True).collect()
+    places, names = [x for x in got if x.block is not None], [x for x in got if x.block is None]
+    assert len(places) == 12 and len(names) == 4 and len(plain) > 8_000
+    found = {}
+    for x in places:
+        step, name = collocations._restored(x.data, x.n, "i4", "i8")
+        found |= zip(((x.block << collocations.SLOT_BITS) + np.cumsum(step)).tolist(), name.tolist())
+    assert found == {x.own: x.id for x in plain} and sum(len(x.data) for x in places) < 9 * len(plain)
+    assert {y for x in names for y in zip(x.id, x.f, x.left, x.right)} == {(x.id, x.f, x.left, x.right) for x in plain if x.own == x.id}
+    last = collocations._counted(frame, 4, 7, packed=True, places=False).collect()
+    assert sorted(last) == sorted(names) and collocations._counted(frame, 4, 10**6, packed=True).count() == 0

@@ -118,10 +118,12 @@ def _restored(data: bytes, n: int, *types: str) -> list[np.ndarray]:
     return out
 
 
-def _counted(blocks: DataFrame, groups: int, least: int) -> DataFrame:
+def _counted(blocks: DataFrame, groups: int, least: int, packed: bool = False, places: bool = True) -> DataFrame:
     """_named() for pairs: own (block and slot), the name id, and on the row with id = own also f, left and right.
 
-    Pairs go to groups by their hash as packed arrays, a row for each block and group, and are counted there.
+    Pairs go to groups by their hash as packed arrays, a row for each block and group, and are counted there. packed: what is
+    named comes as arrays, too: a row for each group and block with n slots and their names in data, if `places` are wanted,
+    and a row without a block for each group with its names' id, f, left and right.
     """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,13 +138,13 @@ def _counted(blocks: DataFrame, groups: int, least: int) -> DataFrame:
                 cuts = np.flatnonzero(np.diff(group, prepend=-1))
                 ends = np.append(cuts[1:], len(group))
                 parts = [order[x:y] for x, y in zip(cuts, ends)]
-                data = [_squeezed([left[at], right[at], c[at], np.diff(at, prepend=0).astype(np.int32)]) for at in parts]
+                data = [_squeezed([np.diff(left[at], prepend=0), right[at], c[at], np.diff(at, prepend=0).astype(np.int32)]) for at in parts]
                 yield pa.RecordBatch.from_arrays([pa.array(group[cuts]), pa.array(np.full(len(cuts), block.as_py(), np.int64)), pa.array((ends - cuts).astype(np.int32)), pa.array(data, pa.binary())], ["g", "block", "n", "data"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
-        def named() -> pa.RecordBatch:
+        def named() -> Iterator[pa.RecordBatch]:
             left, right, c, own = map(np.concatenate, zip(*held))
             order = np.lexsort((own, right, left))
             left, right, c, own = left[order], right[order], c[order], own[order]
@@ -151,28 +153,46 @@ def _counted(blocks: DataFrame, groups: int, least: int) -> DataFrame:
             f = np.repeat(np.add.reduceat(c.astype(np.int64), first), many)
             name = np.repeat(own[first], many)
             on = f >= least
-            own, name = own[on], name[on]
-            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(name), *(pa.array(x[on], mask=own != name) for x in (f, left, right))], ["own", "id", "f", "left", "right"])
+            own, name, f, left, right = (x[on] for x in (own, name, f, left, right))
+            if not packed:
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(name), *(pa.array(x, mask=own != name) for x in (f, left, right))], names)
+                return
+            if not len(own):
+                return
+            head = np.flatnonzero(own == name)
+            lists = [pa.array([x[head]], pa.list_(pa.int64())) for x in (own, f, left, right)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), *lists], names)
+            if places:
+                order = np.argsort(own)
+                block, slot, name = own[order] >> SLOT_BITS, (own[order] & ((1 << SLOT_BITS) - 1)).astype(np.int32), name[order]
+                cuts = np.flatnonzero(np.diff(block, prepend=-1))
+                ends = np.append(cuts[1:], len(block))
+                data = [_squeezed([np.diff(slot[x:y], prepend=np.int32(0)), name[x:y]]) for x, y in zip(cuts, ends)]
+                none = pa.nulls(len(cuts), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(block[cuts]), pa.array((ends - cuts).astype(np.int32)), pa.array(data, pa.binary()), *[none] * 4], names)
 
         for b in batches:
             for g, block, n, data in zip(*(b.column(x).to_pylist() for x in range(4))):
                 if g != now:
                     if held:
-                        yield named()
+                        yield from named()
                     now, held = g, []
                 left, right, c, step = _restored(data, n, "i8", "i8", "i4", "i4")
-                held.append((left, right, c, (block << SLOT_BITS) + np.cumsum(step, dtype=np.int64)))
+                held.append((np.cumsum(left), right, c, (block << SLOT_BITS) + np.cumsum(step, dtype=np.int64)))
         if held:
-            yield named()
+            yield from named()
 
+    names = ["block", "n", "data", "id", "f", "left", "right"] if packed else ["own", "id", "f", "left", "right"]
+    kinds = "block long, n int, data binary, id array<long>, f array<long>, left array<long>, right array<long>" if packed else "own long, id long, f long, left long, right long"
     posted = map_arrow(blocks.select("block", "left", "right", "c"), post, "g long, block long, n int, data binary")
-    return map_arrow(posted.repartition("g").sortWithinPartitions("g"), count, "own long, id long, f long, left long, right long")
+    return map_arrow(posted.repartition("g").sortWithinPartitions("g"), count, kinds)
 
 
 def _pairs(blocks: DataFrame, named: DataFrame, text: bool) -> DataFrame:
     """Blocks of the next level: each block meets the names of its items, and its tied neighbours with names become items.
 
-    text: whether the block's text is wanted at all, that is whether a further level follows.
+    named: as _named() or a packed _counted() gives it. Items are in the order of their parents' names, so that those of a block
+    pack well. text: whether the block's text is wanted at all, that is whether a further level follows.
     """
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -180,7 +200,13 @@ def _pairs(blocks: DataFrame, named: DataFrame, text: bool) -> DataFrame:
         if left.num_rows and right.num_rows:
             code = np.frombuffer(left["code"][0].as_py(), np.int32)
             tie = _flags(left["tie"][0].as_py(), len(code))
-            slot, name = right["slot"].to_numpy(), right["id"].to_numpy()
+            if packed:
+                each = [_restored(data, n, "i4", "i8") for n, data in zip(right["n"].to_pylist(), right["data"].to_pylist())]
+                slot, name = np.concatenate([np.cumsum(x[0]) for x in each]), np.concatenate([x[1] for x in each])
+            else:
+                slot, name = right["slot"].to_numpy(), right["id"].to_numpy()
+            order = np.argsort(name)
+            slot, name = slot[order], name[order]
             new = np.full(max(int(code.max(initial=-1)), int(slot.max())) + 1, -1, np.int64)
             new[slot] = np.arange(len(slot))
             code = new[code]
@@ -197,7 +223,10 @@ def _pairs(blocks: DataFrame, named: DataFrame, text: bool) -> DataFrame:
 
     ready(blocks.sparkSession)
     slim = blocks.select("block", "lang", "code", "tie")
-    places = named.select(F.shiftright("own", SLOT_BITS).alias("block"), F.col("own").bitwiseAND((1 << SLOT_BITS) - 1).cast("int").alias("slot"), "id")
+    if packed := "data" in named.columns:
+        places = named.where("block is not null").select("block", "n", "data")
+    else:
+        places = named.select(F.shiftright("own", SLOT_BITS).alias("block"), F.col("own").bitwiseAND((1 << SLOT_BITS) - 1).cast("int").alias("slot"), "id")
     return slim.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(run, f"{_BLOCK}, left array<long>, right array<long>, c array<int>")
 
 
@@ -207,9 +236,12 @@ def _levels(docs: DataFrame, least: int, longest: int, block_words: int) -> tupl
     totals = materialize(blocks.groupBy("lang").agg(F.sum("n_words").alias("n")), "phrase-totals")
     names = []
     for k in range(1, longest + 1):
-        found = _named(blocks, least) if k == 1 else _counted(blocks, max(1, -(-(blocks.measured["items"] or 0) // COUNTED)), least)
+        found = _named(blocks, least) if k == 1 else _counted(blocks, max(1, -(-(blocks.measured["items"] or 0) // COUNTED)), least, packed=True, places=k < longest)
         named = materialize(found, f"phrase-named-{k}", tidy=True)
-        names.append(named.where("id = own").select("id", "f", *(["word", "lang"] if k == 1 else ["left", "right"])))
+        if k == 1:
+            names.append(named.where("id = own").select("id", "f", "word", "lang"))
+        else:
+            names.append(named.where("block is null").select(F.explode(F.arrays_zip("id", "f", "left", "right")).alias("x")).select("x.*"))
         if k < longest:
             after = materialize(_pairs(blocks, named, k + 1 < longest), f"phrase-blocks-{k + 1}", tidy=True, items=F.sum(F.size("c")))
             discard(blocks)
