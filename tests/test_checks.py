@@ -443,3 +443,11 @@ def test_small_graphs_are_settled_at_once(spark, monkeypatch, few):
         root = new
     assert {x.node: x.component for x in rows} == root and len(rows) == len(root)
     assert len(wrote) == 2 if few is None else len(wrote) > 2
+
+
+def test_one_decimal_is_the_exact_value_with_ties_to_even(spark):
+    from trackloom.operators.labels import distance_text, one_decimal, speed_text
+
+    xs = [0.0, 0.05, 0.15, 0.25, 0.35, 0.75, 0.95, 9.95, 1.25, -1.25, -0.35, 2.5, 3.0, 97_656.25, 144_531.25, 0.3, 2.9999999999999996, 1e13 + 0.25, *(k / 20 for k in range(1, 400, 2)), *(k / 32 for k in range(200)), *(k * 0.3718281 for k in range(200))]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", one_decimal(F.col("x")).alias("t"), distance_text(F.col("x")).alias("d"), speed_text(F.col("x")).alias("s")).collect()
+    assert [(r.t, r.d, r.s) for r in got] == [(f"{r.x:.1f}", f"{r.x:.1f} km", f"{r.x:.0f} km/h") for r in got]

@@ -96,14 +96,28 @@ def callsign_countries(df: DataFrame, callsign: str, series: DataFrame) -> DataF
     return marked.join(hit, "_cs", "left").drop("_cs")
 
 
+def one_decimal(x: Column) -> Column:
+    """A double's exact value to one decimal, ties to even, as printf has it; format_string rounds its shortest digits, ties up."""
+    size = F.abs(x)
+    whole = F.floor(size)
+    part = size - whole
+    tenths = F.floor(part * 10)
+    # part * 20 as a sum of two exact products and what its rounding left out, held against the middle of two tenths
+    twenty = part * 16 + part * 4
+    past = (twenty - (tenths * 2 + 1)) + (part * 4 - (twenty - part * 16))
+    n = whole * 10 + tenths + F.when((past > 0) | ((past == 0) & (tenths % 2 == 1)), 1).otherwise(0)
+    text = F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+    return F.when(size < 1e14, text).otherwise(F.format_string("%.1f", x))
+
+
 def distance_text(km: Column, system: str = "metric") -> Column:
     size, unit = {"imperial": (KM_PER_MI, "mi"), "nautical": (KM_PER_NM, "nm")}.get(system, (1.0, "km"))
-    return F.when(km.isNull() | F.isnan(km), "n/a").otherwise(F.format_string(f"%.1f {unit}", km / size))
+    return F.when(km.isNull() | F.isnan(km), "n/a").otherwise(F.concat(one_decimal(km / size), F.lit(f" {unit}")))
 
 
 def speed_text(kmh: Column, system: str = "metric") -> Column:
     size, unit = {"imperial": (KM_PER_MI, "mph"), "nautical": (KM_PER_NM, "kn")}.get(system, (1.0, "km/h"))
-    return F.when(kmh.isNull() | F.isnan(kmh), "n/a").otherwise(F.format_string(f"%.0f {unit}", kmh / size))
+    return F.when(kmh.isNull() | F.isnan(kmh), "n/a").otherwise(F.format_string(f"%.0f {unit}", F.rint(kmh / size)))
 
 
 def eta_text(month: Column, day: Column, hour: Column, minute: Column) -> Column:
