@@ -451,3 +451,21 @@ def test_one_decimal_is_the_exact_value_with_ties_to_even(spark):
     xs = [0.0, 0.05, 0.15, 0.25, 0.35, 0.75, 0.95, 9.95, 1.25, -1.25, -0.35, 2.5, 3.0, 97_656.25, 144_531.25, 0.3, 2.9999999999999996, 1e13 + 0.25, *(k / 20 for k in range(1, 400, 2)), *(k / 32 for k in range(200)), *(k * 0.3718281 for k in range(200))]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", one_decimal(F.col("x")).alias("t"), distance_text(F.col("x")).alias("d"), speed_text(F.col("x")).alias("s")).collect()
     assert [(r.t, r.d, r.s) for r in got] == [(f"{r.x:.1f}", f"{r.x:.1f} km", f"{r.x:.0f} km/h") for r in got]
+
+
+def test_places_at_one_point_are_met_once(spark, monkeypatch):
+    met, spread = [], joins._spread
+
+    def counted(right, *more):
+        met.append(right.count())
+        return spread(right, *more)
+
+    monkeypatch.setattr(joins, "_spread", counted)
+    rows = spark.createDataFrame([(1, 0.0, 0.0), (2, 5.0, 5.0), (3, 50.0, 50.0)], "event_id long, lat double, lon double")
+    sites = spark.range(400).selectExpr("id as place_id", "id % 2 * 5 + 0.1D as lat2", "id % 2 * 5 + 0.1D as lon2")
+    kinds = sites.withColumn("kind", F.when(F.col("place_id") < 390, "old").otherwise("new"))
+    got = joins.nearest_attached(rows, sites.selectExpr("place_id", "lat2 as place_lat", "lon2 as place_lon"), 30.0)
+    assert {r.event_id: r.place_id for r in got.collect()} == {1: 398, 2: 399, 3: None}
+    assert {r.event_id: r.place_id for r in joins.nearest(rows, sites, 30.0, "event_id", "place_id").collect()} == {1: 398, 2: 399}
+    assert {r.event_id: r.place_id for r in joins.nearest(rows.withColumn("kind", F.lit("old")), kinds, 30.0, "event_id", "place_id", also=("kind",)).collect()} == {1: 388, 2: 389}
+    assert met == [2, 2, 4]
