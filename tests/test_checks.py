@@ -469,3 +469,42 @@ def test_places_at_one_point_are_met_once(spark, monkeypatch):
     assert {r.event_id: r.place_id for r in joins.nearest(rows, sites, 30.0, "event_id", "place_id").collect()} == {1: 398, 2: 399}
     assert {r.event_id: r.place_id for r in joins.nearest(rows.withColumn("kind", F.lit("old")), kinds, 30.0, "event_id", "place_id", also=("kind",)).collect()} == {1: 388, 2: 389}
     assert met == [2, 2, 4]
+
+
+def test_pairs_within_days_equal_brute_force(spark):
+    """Near poles and the antimeridian too, and with some five copies of a row at middle latitudes."""
+    from trackloom.functions.geo import EARTH_KM
+
+    r = random.Random(5)
+    rows = [(k, r.choice("ab"), r.choice((0.0, 0.0, 55.0, 89.2, -89.7)) + r.uniform(-0.7, 0.7) * (1 if k % 2 else 0.2), r.choice((-180.0, 179.6, 10.0)) + r.uniform(-0.6, 0.6), r.randrange(12)) for k in range(700)]
+    df = spark.createDataFrame([*rows, (900, "a", None, 1.0, 3), (901, "a", 1.0, 1.0, None)], "id long, category string, lat double, lon double, day int")
+    right = df.selectExpr("id as other", "category", "lat as lat2", "lon as lon2", "day as day2")
+
+    def km(a, b):
+        p, q = math.radians(a[2]), math.radians(b[2])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
+        return 2 * EARTH_KM * math.asin(math.sqrt(min(1.0, h)))
+
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and abs(a[4] - b[4]) <= 2 and abs(a[2]) <= 90 >= abs(b[2]) and km(a, b) <= 50)
+    pairs = joins.within_days(df, right, 50.0, 2, ("category",), "id < other")
+    got = sorted((x.id, x.other) for x in pairs.select("id", "other").collect() if abs(rows[x.id][2]) <= 90 >= abs(rows[x.other][2]))
+    assert got == want and len(want) > 2000
+    even = spark.range(2000).selectExpr("id", "-50 + id * 0.0571 as lat", "-180 + id * 0.18 as lon", "cast(id * 7 % 300 as int) as day")
+    counted = []
+    join = type(even).join
+    try:
+        type(even).join = lambda self, other, *a, **k: counted.append(other.count()) or join(self, other, *a, **k)
+        joins.within_days(even, even.selectExpr("id as other", "lat as lat2", "lon as lon2", "day as day2"), 50.0, 2)
+    finally:
+        type(even).join = join
+    assert 2000 < counted[0] < 6 * 2000
+
+
+def test_rounds_carry_centres_alone(spark, monkeypatch):
+    """Nodes that hang on one centre are named at the end; they aren't written again each round."""
+    edges = [(c, c * 1000 + k) for c in range(1, 40) for k in range(100)] + [(c, c + 1) for c in range(1, 39)] + [(70_000, 70_001)]
+    wrote, write = [], graph._written
+    monkeypatch.setattr(graph, "_written", lambda e: wrote.append(write(e)) or wrote[-1])
+    rows = graph.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(9), few=0).collect()
+    assert {x.node: x.component for x in rows} == {n: 70_000 if n >= 70_000 else 1 for e in edges for n in e} and len(rows) == len({n for e in edges for n in e})
+    assert wrote[0].measured["n"] > 3000 and all(w.measured["n"] < 1500 for w in wrote[1:])

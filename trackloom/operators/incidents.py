@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trackloom.functions.spread import hot_least, join_by_key
 from trackloom.operators.dedupe import ORACLES as ONE_RUN
 from trackloom.operators.graph import connected_components
-from trackloom.operators.joins import within_radius
+from trackloom.operators.joins import within_days
 from trackloom.session import discard, fresh_path, materialize, remove
 from trackloom.sources.standins import reports
 
@@ -90,10 +90,9 @@ class Incidents:
 
     def _edges(self, fresh: DataFrame, both: DataFrame) -> DataFrame:
         """Links of new reports with reports near in place and time, as pairs of incidents."""
-        left = fresh.select("report_id", "category", "lat", "lon", "day", F.floor(F.col("day") / self.days).alias("d"))
-        beside = F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.floor(F.col("day") / self.days) + i))
-        right = both.select("incident", "category", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("day").alias("day2"), beside.alias("d"))
-        near = within_radius(left, right, self.km, also=("category", "d")).where((F.col("report_id") != F.col("incident")) & (F.abs(F.col("day") - F.col("day2")) <= self.days))
+        left = fresh.select("report_id", "category", "lat", "lon", "day")
+        right = both.select("incident", "category", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("day").alias("day2"))
+        near = within_days(left, right, self.km, self.days, ("category",), "report_id <> incident")
         return near.select(F.col("report_id").alias("u"), F.col("incident").alias("v"))
 
     def superseded(self, batch: int) -> DataFrame:
