@@ -508,3 +508,9 @@ def test_rounds_carry_centres_alone(spark, monkeypatch):
     rows = graph.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(9), few=0).collect()
     assert {x.node: x.component for x in rows} == {n: 70_000 if n >= 70_000 else 1 for e in edges for n in e} and len(rows) == len({n for e in edges for n in e})
     assert wrote[0].measured["n"] > 3000 and all(w.measured["n"] < 1500 for w in wrote[1:])
+
+
+def test_names_of_a_text_are_looked_for_once(spark):
+    """The pattern and the words of a run stand once in the expression, not once in each lambda, where they'd run per element."""
+    said = spark.createDataFrame([(1, "X")], "id long, t string").select(gazetteer.candidates(F.col("t")).alias("names"))._jdf.queryExecution().analyzed().toString()
+    assert said.count("regexp_extract_all(") == 1 and said.count("split(") == 1
